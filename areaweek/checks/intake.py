@@ -13,7 +13,7 @@ from areaweek.functions.numbers import scaled_sum
 from areaweek.functions.text import slug
 from areaweek.functions.urls import file_name
 from areaweek.operators.panel import clean_panel
-from areaweek.runtime import run_dir
+from areaweek.runtime import materialize, run_dir
 from areaweek.sources import links as L
 from areaweek.sources import payloads as P
 from areaweek.sources import reports as G
@@ -362,9 +362,12 @@ YEAR_SHIFT = 24
 
 
 def _reports(spark, sf):
-    """Order counts per (year, week, priority, nation): the content of the grids."""
+    """Order counts per (year, week, priority, nation): the content of the grids.
+
+    Written once, because header, body and total rows of the grids all use it.
+    """
     day = F.col("o_orderdate")
-    return (
+    counts = (
         R.placed_orders(spark, sf)
         .groupBy(
             (iso_year(day) + YEAR_SHIFT).alias("year"),
@@ -375,6 +378,7 @@ def _reports(spark, sf):
         )
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    return materialize(counts, "reports")
 
 
 REPORTS_SQL = f"""
@@ -391,15 +395,15 @@ def _doc_id(prefix):
 
 
 def _row(idx, *cells):
-    cells = [F.lit(c) for c in cells]
+    cells = [F.lit(c).cast("string") for c in cells]
     return F.struct(F.lit(idx).alias("row_idx"), F.array(*cells).alias("cells"))
 
 
-def _row_grid(spark, sf):
+def _row_grid(reports):
     """One page per week with a row per nation, below a blank and a header row
     and above a total row; counts are written with thousands separators."""
-    counts = (
-        _reports(spark, sf).groupBy("year", "week", "n_nationkey", "district").agg(F.sum("n").alias("n"))
+    counts = reports.groupBy("year", "week", "n_nationkey", "district").agg(
+        F.sum("n").alias("n")
     )
     text = F.lit(None).cast("string")
     body = counts.select(
@@ -427,8 +431,8 @@ def _row_grid(spark, sf):
     )
 
 
-def _row_docs(spark, sf):
-    weeks = _reports(spark, sf).select("year", "week").distinct()
+def _row_docs(reports):
+    weeks = reports.select("year", "week").distinct()
     page = F.concat(
         F.lit("Update "), F.col("year").cast("string"), F.lit("\nWEEK: "),
         F.col("week").cast("string"), F.lit(" of the year 2099"),
@@ -444,12 +448,14 @@ def _names(spark, sf):
     return [r.district for r in R.nations(spark, sf).orderBy("n_nationkey").limit(200).collect()]
 
 
-def _column_grid(spark, sf):
+def _column_grid(reports, names):
     """One page per week with a column per nation and a row per priority, urgent
     orders standing for the disease; a title row comes before the header."""
-    names = _names(spark, sf)
-    per_row = _reports(spark, sf).groupBy("year", "week", "priority").agg(
-        F.map_from_entries(F.collect_list(F.struct("district", F.col("n").cast("string")))).alias("by_area")
+    # At most one entry per nation and row.
+    per_row = reports.groupBy("year", "week", "priority").agg(
+        F.map_from_entries(
+            F.collect_list(F.struct("district", F.col("n").cast("string")))
+        ).alias("by_area")
     )
     disease = F.when(F.col("priority") == "1-URGENT", "Dengue  Fever").otherwise(F.col("priority"))
     cells = F.concat(
@@ -474,8 +480,8 @@ def _volume_name():
     return F.concat(F.lit("vol_"), (F.col("year") - 1972).cast("string"), F.lit("_en.pdf"))
 
 
-def _column_docs(spark, sf):
-    weeks = _reports(spark, sf).select("year", "week").distinct()
+def _column_docs(reports):
+    weeks = reports.select("year", "week").distinct()
     page = F.concat(F.lit("Epidemiological return, week "), F.col("week").cast("string"))
     return weeks.select(
         _doc_id("cols").alias("doc_id"), _volume_name().alias("file_name"),
@@ -489,24 +495,41 @@ def _column_docs(spark, sf):
     FROM reports GROUP BY ALL"""
 )
 def grid_rows_areas(spark, sf):
-    return G.rows_are_areas(_row_grid(spark, sf), "ndcu").select("doc_id", "district", "cases")
+    return G.rows_are_areas(_row_grid(_reports(spark, sf)), "ndcu").select("doc_id", "district", "cases")
 
 
 @check(
-    f"""WITH {REPORTS_SQL}
-    SELECT 'rows-' || year || '-' || week AS doc_id, n_label AS district, CAST(n AS BIGINT) AS cases
-    FROM (SELECT year, week, CAST(n_nationkey AS VARCHAR) AS n_label, SUM(n) * 1000 AS n
-          FROM reports JOIN nation ON trim(n_name) = district GROUP BY 1, 2, 3)"""
+    """
+    SELECT 'customer-' || o_custkey AS doc_id, o_orderkey + 1 AS row_idx,
+           o_orderpriority AS district, CAST(floor(o_totalprice) AS BIGINT) AS cases
+    FROM orders
+    """
 )
 def grid_rows_first_column(spark, sf):
-    """The layout whose area is the first column and whose header comes first."""
-    grid = _row_grid(spark, sf).where("row_idx >= 2 and row_idx < 999")
-    cells = F.when(
-        F.col("row_idx") == 2, F.array(F.lit("No"), F.lit("Area"), F.lit("Dengue cases"))
-    ).otherwise(F.col("cells"))
-    return G.rows_are_areas(grid.withColumn("cells", cells), "pdf").select(
-        "doc_id", "district", "cases"
+    """The layout whose area is the first column and whose header comes first:
+    a document per customer with a row per order, between header and total."""
+    orders = R.table(spark, sf, "orders")
+    body = orders.select(
+        "o_custkey", (F.col("o_orderkey") + 1).alias("row_idx"),
+        F.array(
+            F.concat(F.lit(" "), "o_orderpriority"),
+            F.lit(None).cast("string"),
+            F.format_number(F.floor("o_totalprice"), 0),
+        ).alias("cells"),
+    )
+    lead = F.inline(
+        F.array(
+            _row(0, "Area", "Code", "Dengue cases"),
+            _row(-1, None, None, None),
+            _row((1 << 31) - 1, "Total", "", "1"),
+        )
     )
+    ends = R.table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), lead)
+    grid = T.union_sources([body, ends]).select(
+        F.concat(F.lit("customer-"), F.col("o_custkey").cast("string")).alias("doc_id"),
+        F.lit("orders.pdf").alias("file_name"), F.lit(1).alias("page_no"), "row_idx", "cells",
+    )
+    return G.rows_are_areas(grid, "pdf").select("doc_id", "row_idx", "district", "cases")
 
 
 @check(
@@ -515,7 +538,8 @@ def grid_rows_first_column(spark, sf):
     FROM reports WHERE priority = '1-URGENT'"""
 )
 def grid_cols_areas(spark, sf):
-    found = G.columns_are_areas(_column_grid(spark, sf), _names(spark, sf))
+    names = _names(spark, sf)
+    found = G.columns_are_areas(_column_grid(_reports(spark, sf), names), names)
     return found.select("doc_id", "district", "cases")
 
 
@@ -528,9 +552,10 @@ def grid_cols_areas(spark, sf):
     WHERE priority = '1-URGENT' AND year BETWEEN 2015 AND 2020"""
 )
 def extract_cases_all(spark, sf):
-    by_row = G.extract_cases(_row_grid(spark, sf), _row_docs(spark, sf), "ndcu")
+    reports, names = _reports(spark, sf), _names(spark, sf)
+    by_row = G.extract_cases(_row_grid(reports), _row_docs(reports), "ndcu")
     by_column = G.extract_cases(
-        _column_grid(spark, sf), _column_docs(spark, sf), "wer", _names(spark, sf)
+        _column_grid(reports, names), _column_docs(reports), "wer", names
     )
     return T.union_sources(
         [
