@@ -92,7 +92,7 @@ def resolve(base: Column, href: Column) -> Column:
     return (
         F.when(F.length(scheme(href)) > 0, href)
         .when(href.startswith("//"), F.concat(scheme(base), F.lit(":"), href))
-        .when(href == "", F.regexp_replace(base, "#.*$", ""))
+        .when(href == "", base)
         .when(href.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), href))
         .when(href.startswith("?"), F.concat(root, base_path, href))
         .otherwise(F.concat(root, tidy, tail))
