@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from areaweek import schemas
 from areaweek.checks import relations as R
@@ -443,11 +444,6 @@ def _row_docs(reports):
     )
 
 
-def _names(spark, sf):
-    """The nations' names: one short list, whatever the scale."""
-    return [r.district for r in R.nations(spark, sf).orderBy("n_nationkey").limit(200).collect()]
-
-
 def _column_grid(reports, names):
     """One page per week with a column per nation and a row per priority, urgent
     orders standing for the disease; a title row comes before the header."""
@@ -538,7 +534,7 @@ def grid_rows_first_column(spark, sf):
     FROM reports WHERE priority = '1-URGENT'"""
 )
 def grid_cols_areas(spark, sf):
-    names = _names(spark, sf)
+    names = R.nation_names(spark, sf)
     found = G.columns_are_areas(_column_grid(_reports(spark, sf), names), names)
     return found.select("doc_id", "district", "cases")
 
@@ -552,7 +548,7 @@ def grid_cols_areas(spark, sf):
     WHERE priority = '1-URGENT' AND year BETWEEN 2015 AND 2020"""
 )
 def extract_cases_all(spark, sf):
-    reports, names = _reports(spark, sf), _names(spark, sf)
+    reports, names = _reports(spark, sf), R.nation_names(spark, sf)
     by_row = G.extract_cases(_row_grid(reports), _row_docs(reports), "ndcu")
     by_column = G.extract_cases(
         _column_grid(reports, names), _column_docs(reports), "wer", names
@@ -612,4 +608,5 @@ def csv_round_trip(spark, sf):
 def area_files(spark, sf):
     path = run_dir(spark, "areas")
     T.write_by_area(R.cases(spark, sf), path)
-    return T.read_csv(spark, path, schemas.CASES_RAW)
+    with_slug = StructType([*schemas.CASES_RAW.fields, StructField("slug", StringType())])
+    return T.read_csv(spark, path, with_slug)

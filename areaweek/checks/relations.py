@@ -7,12 +7,13 @@ hundredths and do not depend on row order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from areaweek.config import WEATHER_MEASURES
 from areaweek.functions.isoweek import iso_week, iso_year
 from areaweek.operators.features import baseline, lag_features, temporal_split
+from areaweek.operators.names import inline_names
 from areaweek.operators.panel import clean_panel, join_weather
 from areaweek.operators.rollup import weekly_rollup
 from areaweek.plans.backtest import assess
@@ -29,6 +30,14 @@ def nations(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def nation_names(spark: SparkSession, sf: str) -> list[str]:
+    """The nations' names in key order; the list is refused when it is not short."""
+    names = inline_names(nations(spark, sf).orderBy("n_nationkey"), "district")
+    if names is None:
+        raise ValueError("too many nations for an inline list")
+    return names
+
+
 def placed_orders(spark: SparkSession, sf: str) -> DataFrame:
     """Orders with their customer's nation. A customer with very many orders is
     split by the skew join; the counts above it combine before their shuffle."""
@@ -105,8 +114,6 @@ def assessed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 def forecast(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(panel, assessed rows, their last two weeks per area as horizons 1 and 2)."""
-    from pyspark.sql import Window
-
     rows, scored = assessed(spark, sf)
     scored = materialize(scored, "assessed")
     back = F.row_number().over(

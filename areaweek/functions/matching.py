@@ -38,7 +38,3 @@ def find_area(text: Column, names: Sequence[str], mode: str = "longest") -> Colu
         hit = hit.when(F.contains(lowered, F.lit(name.lower())), name)
     return hit
 
-
-def names_any(text: Column, names: Sequence[str]) -> Column:
-    """Whether any of the names occurs in ``text``."""
-    return F.coalesce(find_area(text, names).isNotNull(), F.lit(False))

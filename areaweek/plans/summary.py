@@ -18,8 +18,8 @@ from areaweek.schemas import AREAS
 
 
 def area_frame(spark, rows: Sequence[tuple[str, float, float]] = MAP_CENTROIDS) -> DataFrame:
-    """The fixed area table; 25 literal rows, so always small enough to broadcast."""
-    return spark.createDataFrame(list(rows), AREAS)
+    """The fixed area table; literal rows, so always small enough to broadcast."""
+    return F.broadcast(spark.createDataFrame(list(rows), AREAS))
 
 
 def national_overview(forecast: DataFrame, compat: bool = False) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from areaweek.config import AREA_NAMES
-from areaweek.functions.matching import find_area, names_any
+from areaweek.functions.matching import find_area
 from areaweek.functions.text import (
     clean_text,
     digits_to_int,
@@ -53,50 +53,49 @@ def _first_index(header: Column, words: Sequence[str]) -> Column:
     return F.get(F.filter(hits, lambda i: i.isNotNull()), F.lit(0))
 
 
-def headers_first_filled(rows: DataFrame) -> DataFrame:
-    """Header of each page: its first row with any non-blank cell."""
-    filled = rows.where(F.exists("cells", lambda c: clean_text(c) != ""))
-    return filled.groupBy(*PAGE).agg(
-        F.min("row_idx").alias("header_idx"),
-        _clean_cells(F.min_by("cells", "row_idx")).alias("header"),
+def _first_rows(rows: DataFrame, *at: Column) -> DataFrame:
+    """Header row number of each page: the first of the given minima that exists.
+
+    Only integers are aggregated, so this hashes and never sorts the cells.
+    """
+    found = rows.groupBy(*PAGE).agg(*[F.min(c).alias(f"_m{i}") for i, c in enumerate(at)])
+    return found.select(
+        *PAGE, F.coalesce(*[F.col(f"_m{i}") for i in range(len(at))]).alias("header_idx")
     )
 
 
-def headers_by_areas(rows: DataFrame, names: Sequence[str] = AREA_NAMES) -> DataFrame:
-    """Header of each page: its first row naming several areas, else its first row."""
-    hits = F.size(F.filter("cells", lambda c: names_any(clean_text(c), names)))
-    at = F.when(hits >= HEADER_AREAS, F.col("row_idx"))
-    return (
-        rows.withColumn("_at", at)
-        .groupBy(*PAGE)
-        .agg(
-            F.coalesce(F.min("_at"), F.min("row_idx")).alias("header_idx"),
-            _clean_cells(
-                F.coalesce(F.min_by("cells", "_at"), F.min_by("cells", "row_idx"))
-            ).alias("header"),
-        )
-    )
+def _header_places(useful: DataFrame, first: DataFrame) -> DataFrame:
+    """What was found in header rows, out of the few rows that could serve as one."""
+    return useful.withColumnRenamed("row_idx", "header_idx").join(first, [*PAGE, "header_idx"])
 
 
 def rows_are_areas(grids: DataFrame, layout: str = "ndcu") -> DataFrame:
     """Tables with one row per area: label and count columns found by header.
 
-    ``ndcu`` finds the area column by its header, ``pdf`` takes the first one;
-    pages without a count column give nothing.
+    ``ndcu``: the header is the first row with any non-blank cell and names the
+    area column. ``pdf``: the header is the first row and the area comes first.
+    Pages whose header has no count column give nothing.
     """
     rows = filled_rows(grids)
-    heads = headers_first_filled(rows) if layout == "ndcu" else headers_first_row(rows)
-    area_at = (
-        F.coalesce(_first_index(F.col("header"), (AREA_WORD,)), F.lit(0))
-        if layout == "ndcu"
-        else F.lit(0)
+    header = F.col("header")
+    if layout == "ndcu":
+        filled = F.exists("cells", lambda c: clean_text(c) != "")
+        first = _first_rows(rows, F.when(filled, F.col("row_idx")))
+        area_at = F.coalesce(_first_index(header, (AREA_WORD,)), F.lit(0))
+    else:
+        first = _first_rows(rows, F.col("row_idx"))
+        area_at = F.lit(0)
+    useful = (
+        rows.withColumn("header", _clean_cells("cells"))
+        .select(
+            *PAGE,
+            "row_idx",
+            area_at.alias("area_at"),
+            _first_index(header, VALUE_WORDS[layout]).alias("value_at"),
+        )
+        .where(F.col("value_at").isNotNull())
     )
-    places = heads.select(
-        *PAGE,
-        "header_idx",
-        area_at.alias("area_at"),
-        _first_index(F.col("header"), VALUE_WORDS[layout]).alias("value_at"),
-    ).where(F.col("value_at").isNotNull())
+    places = _header_places(useful, first)
     body = rows.join(places, PAGE).where(F.col("row_idx") > F.col("header_idx"))
     tidy = body.select(
         *PAGE,
@@ -111,41 +110,41 @@ def rows_are_areas(grids: DataFrame, layout: str = "ndcu") -> DataFrame:
     )
 
 
-def headers_first_row(rows: DataFrame) -> DataFrame:
-    """Header of each page: its first row."""
-    return rows.groupBy(*PAGE).agg(
-        F.min("row_idx").alias("header_idx"),
-        _clean_cells(F.min_by("cells", "row_idx")).alias("header"),
-    )
-
-
 def columns_are_areas(
     grids: DataFrame, names: Sequence[str] = AREA_NAMES, mode: str = "longest"
 ) -> DataFrame:
-    """Tables with one column per area: the first dengue row, turned into rows."""
+    """Tables with one column per area: the first dengue row, turned into rows.
+
+    The header is the first row naming several areas, else the first row.
+    """
     rows = filled_rows(grids)
+    areas = F.transform(_clean_cells("cells"), lambda c: find_area(c, names, mode))
+    named = rows.select(*PAGE, "row_idx", areas.alias("areas"))
+    hits = F.size(F.filter("areas", lambda a: a.isNotNull()))
+    first = _first_rows(
+        named, F.when(hits >= HEADER_AREAS, F.col("row_idx")), F.col("row_idx")
+    )
     columns = F.filter(
-        F.transform(
-            "header",
-            lambda c, i: F.struct(i.alias("at"), find_area(c, names, mode).alias("district")),
-        ),
+        F.transform("areas", lambda a, i: F.struct(i.alias("at"), a.alias("district"))),
         lambda s: (s["at"] > 0) & s["district"].isNotNull(),
     )
-    heads = (
-        headers_by_areas(rows, names)
-        .select(*PAGE, "header_idx", columns.alias("columns"))
-        .where(F.size("columns") > 0)
+    useful = named.select(*PAGE, "row_idx", columns.alias("columns")).where(
+        F.size("columns") > 0
     )
+    places = _header_places(useful, first)
     # Few rows name the disease, so they are picked out before the join.
-    named = rows.where(F.contains(F.lower(clean_text(F.get("cells", F.lit(0)))), F.lit(DISEASE_WORD)))
+    label = F.lower(clean_text(F.get("cells", F.lit(0))))
     disease = (
-        named.join(heads, PAGE)
+        rows.where(F.contains(label, F.lit(DISEASE_WORD)))
+        .join(places, PAGE)
         .where(F.col("row_idx") > F.col("header_idx"))
         .groupBy(*PAGE)
         .agg(F.min(F.struct("row_idx", "cells", "columns")).alias("_r"))
     )
     tidy = disease.select(
-        *PAGE, F.col("_r.row_idx").alias("row_idx"), F.col("_r.cells").alias("cells"),
+        *PAGE,
+        F.col("_r.row_idx").alias("row_idx"),
+        F.col("_r.cells").alias("cells"),
         F.explode("_r.columns").alias("c"),
     ).select(
         *PAGE,

@@ -8,22 +8,30 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from areaweek.functions.text import slug
 
+# Header row; quotes inside quoted text are doubled.
+CSV = {"header": True, "escape": '"'}
+
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], schema: StructType) -> DataFrame:
     """One scan over a file, a folder or a glob of CSVs with headers.
 
-    Columns are matched by name, so files may order them differently and extra
-    ones are ignored. A pattern that matches nothing is an error.
+    Declared columns are found by name: other columns are ignored, absent ones
+    read as null. All files must share one header, which Spark verifies. A
+    pattern that matches nothing is an error.
     """
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("enforceSchema", False)
-        .csv(path)
+    header = spark.read.options(**CSV).csv(path).columns
+    declared = {f.name: f for f in schema.fields}
+    physical = StructType([declared.get(c, StructField(c, StringType())) for c in header])
+    rows = spark.read.schema(physical).options(**CSV, enforceSchema=False)
+    return rows.csv(path).select(
+        *[
+            F.col(f.name) if f.name in header else F.lit(None).cast(f.dataType).alias(f.name)
+            for f in schema.fields
+        ]
     )
 
 
@@ -39,12 +47,19 @@ def read_optional(spark: SparkSession, path: str, schema: StructType) -> DataFra
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        return empty(spark, schema)
+
+
+def empty(spark: SparkSession, schema: StructType) -> DataFrame:
+    """A relation without rows, which the optimizer recognises as such."""
+    return spark.range(0).select(
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
+    )
 
 
 def write_csv(df: DataFrame, path: str) -> None:
     """Replace a CSV folder, also when there are no rows."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").options(**CSV).csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
@@ -56,9 +71,8 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
 
 def write_by_area(df: DataFrame, path: str, key: str = "district") -> None:
     """One folder per area, named by its slug; an area's rows may fill many files."""
-    df.withColumn("slug", slug(F.col(key))).write.mode("overwrite").partitionBy("slug").option(
-        "header", True
-    ).csv(path)
+    named = df.withColumn("slug", slug(F.col(key)))
+    named.write.mode("overwrite").partitionBy("slug").options(**CSV).csv(path)
 
 
 def trailing_days(
