@@ -204,12 +204,8 @@ def payload_quarantine(spark, sf):
         .otherwise(F.to_json(F.struct(F.col("daily").dropFields("temperature_2m_max").alias("daily"))))
     )
     payloads = blocks.select(F.col("user_id").cast("string").alias("district"), body.alias("body"))
-    good, bad = P.split_payloads(payloads, "daily")
-    return T.union_sources(
-        [
-            good.select("district", F.lit("usable").alias("status")),
-            bad.select("district", F.lit("quarantined").alias("status")),
-        ]
+    return P.mark_payloads(payloads, "daily").select(
+        "district", F.when(F.col("usable"), "usable").otherwise("quarantined").alias("status")
     )
 
 

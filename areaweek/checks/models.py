@@ -31,7 +31,8 @@ def backtest_metrics(spark, sf):
 
 @check(name="forecast_recursive")
 def forecast_recursive_check(spark, sf):
-    return forecast_recursive(R.panel(spark, sf), R.weather(spark, sf), SMALL_FOREST)
+    weekly = R.written_weather(spark, sf)
+    return forecast_recursive(R.panel(spark, sf, weekly), weekly, SMALL_FOREST)
 
 
 @check()

@@ -85,36 +85,47 @@ def weather(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def panel(spark: SparkSession, sf: str) -> DataFrame:
+def written_weather(spark: SparkSession, sf: str) -> DataFrame:
+    """Weekly weather written once, for queries that use it besides the panel."""
+    return materialize(weather(spark, sf), "weather")
+
+
+def panel(spark: SparkSession, sf: str, weekly: DataFrame | None = None) -> DataFrame:
     """Every case week with its weather, if any; counts as doubles."""
-    joined = join_weather(cases(spark, sf), weather(spark, sf), trim=False)
+    weekly = weather(spark, sf) if weekly is None else weekly
+    joined = join_weather(cases(spark, sf), weekly, trim=False)
     return joined.withColumn("cases", F.col("cases").cast("double"))
 
 
-def clean(spark: SparkSession, sf: str) -> DataFrame:
+def clean(spark: SparkSession, sf: str, weekly: DataFrame | None = None) -> DataFrame:
     """Panel weeks with complete weather, written once for the jobs on top."""
-    return materialize(clean_panel(panel(spark, sf), require=WEATHER_MEASURES), "panel")
+    rows = clean_panel(panel(spark, sf, weekly), require=WEATHER_MEASURES)
+    return materialize(rows, "panel")
 
 
-def split(spark: SparkSession, sf: str):
-    rows = clean(spark, sf)
+def split(spark: SparkSession, sf: str, weekly: DataFrame | None = None):
+    rows = clean(spark, sf, weekly)
     return rows, temporal_split(lag_features(rows))
 
 
-def assessed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def assessed(
+    spark: SparkSession, sf: str, weekly: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(panel, test-year rows with needs, risk and actions).
 
     The observed count stands in for the prediction, which makes the rules
     checkable without a model.
     """
-    rows, parts = split(spark, sf)
+    rows, parts = split(spark, sf, weekly)
     scored = parts.test.withColumn("predicted_cases", F.col("cases"))
     return rows, assess(scored, baseline(rows, parts.train_years))
 
 
-def forecast(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def forecast(
+    spark: SparkSession, sf: str, weekly: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(panel, assessed rows, their last two weeks per area as horizons 1 and 2)."""
-    rows, scored = assessed(spark, sf)
+    rows, scored = assessed(spark, sf, weekly)
     scored = materialize(scored, "assessed")
     back = F.row_number().over(
         Window.partitionBy("district").orderBy(F.desc("year"), F.desc("week"))

@@ -53,10 +53,9 @@ env AS (
   FROM weather)"""
 
 
-def _env(spark, sf, **kw):
+def _env(weekly):
     return A.env_alerts(
-        R.weather(spark, sf), THRESHOLDS, rain="rainfall_mm", temp="temp_avg_c",
-        humidity="humidity_pct", **kw,
+        weekly, THRESHOLDS, rain="rainfall_mm", temp="temp_avg_c", humidity="humidity_pct"
     )
 
 
@@ -64,7 +63,7 @@ def _env(spark, sf, **kw):
     f"WITH {R.WEATHER_SQL},{ENV_SQL} SELECT * FROM env WHERE env_risk <> 'environment_low'"
 )
 def env_risk(spark, sf):
-    return _env(spark, sf)
+    return _env(R.weather(spark, sf))
 
 
 @check(
@@ -75,7 +74,7 @@ def env_risk(spark, sf):
     LIMIT 20"""
 )
 def env_alerts_worst(spark, sf):
-    ranked = _env(spark, sf).orderBy(
+    ranked = _env(R.weather(spark, sf)).orderBy(
         F.desc(F.col("env_risk") == "environment_high"), F.desc("rainfall_mm"),
         "district", "year", "week",
     )
@@ -241,8 +240,9 @@ def forecast_display(spark, sf):
          LEFT JOIN weather_lines w ON b.district = w.district"""
 )
 def explain_risk(spark, sf):
-    rows, scored, ahead = R.forecast(spark, sf)
-    alerts = _env(spark, sf).withColumn("date", F.col("year") * 100 + F.col("week"))
+    weekly = R.written_weather(spark, sf)
+    rows, scored, ahead = R.forecast(spark, sf, weekly)
+    alerts = _env(weekly).withColumn("date", F.col("year") * 100 + F.col("week"))
     return S.explain_risk(
         scored, ahead, alerts, rows,
         rain="rainfall_mm", temp="temp_avg_c", humidity="humidity_pct",

@@ -473,8 +473,8 @@ live AS (
          LEFT JOIN clim c ON t.district = c.district AND t.target_week = c.week"""
 )
 def weather_cascade(spark, sf):
-    rows = R.clean(spark, sf)
-    weekly = R.weather(spark, sf)
+    weekly = R.written_weather(spark, sf)
+    rows = R.clean(spark, sf, weekly)
     last = latest_period(rows)
     period = F.col("year") * 100 + F.col("week")
     live = (

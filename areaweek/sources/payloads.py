@@ -10,8 +10,9 @@ from pyspark.sql import types as T
 
 from areaweek import schemas
 from areaweek.config import WeatherApi
+from areaweek.functions.numbers import mean_of, real, sum_of
 from areaweek.functions.urls import form_encode
-from areaweek.operators.rollup import HOURLY_MEANS, HOURLY_SUMS, hourly_to_daily
+from areaweek.operators.rollup import HOURLY_MEANS, HOURLY_SUMS
 
 # Parameters of the daily observation service.
 MAP_PARAMETERS = ("PRECTOTCORR", "T2M", "RH2M")
@@ -70,12 +71,16 @@ def _is_valid(kind: str) -> Column:
     raise ValueError(f"unknown payload kind: {kind}")
 
 
+def mark_payloads(payloads: DataFrame, kind: str) -> DataFrame:
+    """Add ``usable``: whether a body parses and holds what its kind needs."""
+    body = schemas.MAP_BODY if kind == "map" else schemas.FORECAST_BODY
+    return _parsed(payloads, body).withColumn("usable", _is_valid(kind)).drop("_j")
+
+
 def split_payloads(payloads: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
     """(usable, quarantined) payloads; a bad one never stops the others."""
-    body = schemas.MAP_BODY if kind == "map" else schemas.FORECAST_BODY
-    parsed = _parsed(payloads, body)
-    ok = _is_valid(kind)
-    return parsed.where(ok), parsed.where(~ok).drop("_j")
+    marked = mark_payloads(payloads, kind)
+    return marked.where("usable").drop("usable"), marked.where("not usable").drop("usable")
 
 
 def map_rows(
@@ -121,6 +126,50 @@ def join_daily_hourly(daily: DataFrame, from_hourly: DataFrame, key: str = "dist
     return daily.join(from_hourly, [key, "date"], "left")
 
 
+def full_rows(payloads: DataFrame, key: str = "district", digits: int | None = None) -> DataFrame:
+    """Daily arrays, and hourly arrays averaged into the same dates.
+
+    Same result as joining ``daily_rows`` with the rolled-up ``hourly_rows``, for
+    one payload per key: both kinds of rows leave the body together and meet in
+    one aggregate, so the text is read and parsed once and nothing is joined.
+    """
+    parsed = _parsed(payloads, schemas.FORECAST_BODY)
+
+    def rows(block: str, arrays: Mapping[str, str]) -> Column:
+        n = F.size(f"_j.{block}.time")
+        blank = F.array_repeat(F.lit(None).cast("double"), n)
+        cols = [F.col(f"_j.{block}.time").alias("time")]
+        cols += [F.coalesce(f"_j.{block}.{src}", blank).alias(out) for out, src in arrays.items()]
+
+        def row(r: Column) -> Column:
+            values = [
+                (r[c] if c in arrays else F.lit(None).cast("double")).alias(c)
+                for c in [*DAILY_ARRAYS, *HOURLY_ARRAYS]
+            ]
+            return F.struct(
+                F.to_date(r["time"]).alias("date"), F.lit(block == "daily").alias("is_day"), *values
+            )
+
+        return F.transform(F.arrays_zip(*cols), row)
+
+    both = F.concat(rows("daily", DAILY_ARRAYS), rows("hourly", HOURLY_ARRAYS))
+    has_hours = F.count_if(~F.col("is_day")) > 0
+    per_day = (
+        parsed.select(key, F.inline(both))
+        .groupBy(key, "date")
+        .agg(
+            F.bool_or("is_day").alias("_listed"),
+            *[F.max(c).alias(c) for c in DAILY_ARRAYS],
+            *[mean_of(real(F.col(c)), digits).alias(out) for out, c in HOURLY_MEANS.items()],
+            *[
+                F.when(has_hours, sum_of(real(F.col(c)), digits)).alias(out)
+                for out, c in HOURLY_SUMS.items()
+            ],
+        )
+    )
+    return per_day.where("_listed").drop("_listed")
+
+
 def parse_weather(payloads: DataFrame, kind: str, digits: int | None = None) -> DataFrame:
     """Payloads of one kind to daily rows; unusable payloads are left out.
 
@@ -128,15 +177,11 @@ def parse_weather(payloads: DataFrame, kind: str, digits: int | None = None) ->
     forecast with hourly readings averaged into their dates.
     """
     good, _ = split_payloads(payloads, kind)
-    good = good.drop("_j")
     if kind == "map":
         return map_rows(good)
     if kind == "daily":
         return daily_rows(good)
-    hourly = hourly_to_daily(hourly_rows(good), digits=digits)
-    return join_daily_hourly(daily_rows(good, DAILY_ARRAYS), hourly).select(
-        *schemas.FORECAST_7DAY.fieldNames()
-    )
+    return full_rows(good, digits=digits).select(*schemas.FORECAST_7DAY.fieldNames())
 
 
 def request_manifest(areas: DataFrame, api: WeatherApi = WeatherApi()) -> DataFrame:

@@ -1,9 +1,10 @@
 """Report grids (extracted table rows) to tidy case rows.
 
 Grid rows are ``(doc_id, file_name, page_no, row_idx, cells)``; one table per
-page. Header search is an aggregate per page with map-side combining, and only
-column positions travel back to the grid rows, so a document or page that makes
-up much of the data never has to fit into one task.
+page. Header search is an aggregate per page over row and column numbers: it
+combines before the shuffle, hashes instead of sorting, and only the positions
+found travel back to the grid rows. A document or page that makes up much of the
+data never has to fit into one task.
 """
 
 from __future__ import annotations
@@ -53,22 +54,6 @@ def _first_index(header: Column, words: Sequence[str]) -> Column:
     return F.get(F.filter(hits, lambda i: i.isNotNull()), F.lit(0))
 
 
-def _first_rows(rows: DataFrame, *at: Column) -> DataFrame:
-    """Header row number of each page: the first of the given minima that exists.
-
-    Only integers are aggregated, so this hashes and never sorts the cells.
-    """
-    found = rows.groupBy(*PAGE).agg(*[F.min(c).alias(f"_m{i}") for i, c in enumerate(at)])
-    return found.select(
-        *PAGE, F.coalesce(*[F.col(f"_m{i}") for i in range(len(at))]).alias("header_idx")
-    )
-
-
-def _header_places(useful: DataFrame, first: DataFrame) -> DataFrame:
-    """What was found in header rows, out of the few rows that could serve as one."""
-    return useful.withColumnRenamed("row_idx", "header_idx").join(first, [*PAGE, "header_idx"])
-
-
 def rows_are_areas(grids: DataFrame, layout: str = "ndcu") -> DataFrame:
     """Tables with one row per area: label and count columns found by header.
 
@@ -79,23 +64,34 @@ def rows_are_areas(grids: DataFrame, layout: str = "ndcu") -> DataFrame:
     rows = filled_rows(grids)
     header = F.col("header")
     if layout == "ndcu":
-        filled = F.exists("cells", lambda c: clean_text(c) != "")
-        first = _first_rows(rows, F.when(filled, F.col("row_idx")))
+        could_be_header = F.exists("header", lambda c: c != "")
         area_at = F.coalesce(_first_index(header, (AREA_WORD,)), F.lit(0))
     else:
-        first = _first_rows(rows, F.col("row_idx"))
+        could_be_header = F.lit(True)
         area_at = F.lit(0)
-    useful = (
+    value_at = _first_index(header, VALUE_WORDS[layout])
+    marked = (
         rows.withColumn("header", _clean_cells("cells"))
         .select(
             *PAGE,
-            "row_idx",
+            F.when(could_be_header, F.col("row_idx")).alias("at"),
             area_at.alias("area_at"),
-            _first_index(header, VALUE_WORDS[layout]).alias("value_at"),
+            value_at.alias("value_at"),
         )
-        .where(F.col("value_at").isNotNull())
+        .withColumn("useful_at", F.when(F.col("value_at").isNotNull(), F.col("at")))
+    )
+    # The header is of use only if it is also the first row with a count column.
+    places = (
+        marked.groupBy(*PAGE)
+        .agg(
+            F.min("at").alias("header_idx"),
+            F.min("useful_at").alias("useful_idx"),
+            F.min_by("area_at", "useful_at").alias("area_at"),
+            F.min_by("value_at", "useful_at").alias("value_at"),
+        )
+        .where(F.col("header_idx") == F.col("useful_idx"))
+        .drop("useful_idx")
     )
-    places = _header_places(useful, first)
     body = rows.join(places, PAGE).where(F.col("row_idx") > F.col("header_idx"))
     tidy = body.select(
         *PAGE,
@@ -121,8 +117,13 @@ def columns_are_areas(
     areas = F.transform(_clean_cells("cells"), lambda c: find_area(c, names, mode))
     named = rows.select(*PAGE, "row_idx", areas.alias("areas"))
     hits = F.size(F.filter("areas", lambda a: a.isNotNull()))
-    first = _first_rows(
-        named, F.when(hits >= HEADER_AREAS, F.col("row_idx")), F.col("row_idx")
+    first = (
+        named.groupBy(*PAGE)
+        .agg(
+            F.min(F.when(hits >= HEADER_AREAS, F.col("row_idx"))).alias("best"),
+            F.min("row_idx").alias("top"),
+        )
+        .select(*PAGE, F.coalesce("best", "top").alias("header_idx"))
     )
     columns = F.filter(
         F.transform("areas", lambda a, i: F.struct(i.alias("at"), a.alias("district"))),
@@ -131,7 +132,7 @@ def columns_are_areas(
     useful = named.select(*PAGE, "row_idx", columns.alias("columns")).where(
         F.size("columns") > 0
     )
-    places = _header_places(useful, first)
+    places = useful.withColumnRenamed("row_idx", "header_idx").join(first, [*PAGE, "header_idx"])
     # Few rows name the disease, so they are picked out before the join.
     label = F.lower(clean_text(F.get("cells", F.lit(0))))
     disease = (
