@@ -9,7 +9,7 @@ from areaweek import schemas
 from areaweek.checks import relations as R
 from areaweek.checks.registry import check
 from areaweek.config import WeatherApi
-from areaweek.functions.isoweek import iso_week, iso_year
+from areaweek.functions.isoweek import iso_week, iso_year, monday_of
 from areaweek.functions.numbers import scaled_sum
 from areaweek.functions.text import slug
 from areaweek.functions.urls import file_name
@@ -32,7 +32,7 @@ def _entries(key, value):
 @check(
     """
     SELECT trim(n_name) AS district, CAST(l_shipdate AS DATE) AS date,
-           CAST(SUM(CAST(round(l_quantity * 100) AS BIGINT)) AS DOUBLE) / 100 AS "PRECTOTCORR",
+           CAST(SUM(CAST(floor(l_quantity * 100 + 0.5) AS BIGINT)) AS DOUBLE) / 100 AS "PRECTOTCORR",
            MAX(l_extendedprice) AS "T2M",
            CASE WHEN MAX(l_discount) > 0.05 THEN MAX(l_discount) END AS "RH2M"
     FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
@@ -68,7 +68,7 @@ HOURS_SQL = """
 hours AS (
   SELECT user_id, date_trunc('hour', ts) AS ts, MAX(value) AS temperature_2m,
          MAX(CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS relative_humidity_2m,
-         CAST(SUM(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / 100 AS rain,
+         CAST(SUM(CAST(floor(value * 100 + 0.5) AS BIGINT)) AS DOUBLE) / 100 AS rain,
          CASE WHEN user_id % 2 = 0 THEN CAST(COUNT(*) AS DOUBLE) END AS precipitation_probability,
          MIN(value) AS dew_point_2m
   FROM events GROUP BY user_id, date_trunc('hour', ts))"""
@@ -153,20 +153,20 @@ def _day_block(spark, sf):
     f"""WITH {HOURS_SQL},
     days AS (
       SELECT user_id, CAST(ts AS DATE) AS date,
-             CAST(SUM(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / 100 AS rain_sum,
+             CAST(SUM(CAST(floor(value * 100 + 0.5) AS BIGINT)) AS DOUBLE) / 100 AS rain_sum,
              MAX(value) AS precipitation_sum, CAST(COUNT(*) AS DOUBLE) AS daylight_duration,
              MAX(value) AS temp_max, MIN(value) AS temp_min
       FROM events GROUP BY 1, 2),
     from_hours AS (
       SELECT user_id, CAST(ts AS DATE) AS date,
-             CAST(SUM(CAST(round(temperature_2m * 100) AS BIGINT)) AS DOUBLE) / 100
+             CAST(SUM(CAST(floor(temperature_2m * 100 + 0.5) AS BIGINT)) AS DOUBLE) / 100
                / COUNT(temperature_2m) AS temp_daily_avg,
-             CAST(SUM(CAST(round(relative_humidity_2m * 100) AS BIGINT)) AS DOUBLE) / 100
+             CAST(SUM(CAST(floor(relative_humidity_2m * 100 + 0.5) AS BIGINT)) AS DOUBLE) / 100
                / COUNT(relative_humidity_2m) AS humidity_daily_avg,
-             CAST(SUM(CAST(round(rain * 100) AS BIGINT)) AS DOUBLE) / 100 AS rain_daily_total,
-             CAST(SUM(CAST(round(precipitation_probability * 100) AS BIGINT)) AS DOUBLE) / 100
+             CAST(SUM(CAST(floor(rain * 100 + 0.5) AS BIGINT)) AS DOUBLE) / 100 AS rain_daily_total,
+             CAST(SUM(CAST(floor(precipitation_probability * 100 + 0.5) AS BIGINT)) AS DOUBLE) / 100
                / NULLIF(COUNT(precipitation_probability), 0) AS precip_prob_daily_avg,
-             CAST(SUM(CAST(round(dew_point_2m * 100) AS BIGINT)) AS DOUBLE) / 100
+             CAST(SUM(CAST(floor(dew_point_2m * 100 + 0.5) AS BIGINT)) AS DOUBLE) / 100
                / COUNT(dew_point_2m) AS dew_point_avg
       FROM hours GROUP BY 1, 2)
     SELECT CAST(d.user_id AS VARCHAR) AS district, d.date, d.rain_sum, d.precipitation_sum,
@@ -212,7 +212,7 @@ def payload_quarantine(spark, sf):
 @check(
     """
     SELECT CAST(user_id AS VARCHAR) AS district, CAST(ts AS DATE) AS date,
-           CAST(SUM(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / 100 AS rain_sum,
+           CAST(SUM(CAST(floor(value * 100 + 0.5) AS BIGINT)) AS DOUBLE) / 100 AS rain_sum,
            MAX(value) AS temp_max, MIN(value) AS temp_min
     FROM events GROUP BY 1, 2
     """
@@ -363,19 +363,22 @@ def _reports(spark, sf):
 
     Written once, because header, body and total rows of the grids all use it.
     """
-    day = F.col("o_orderdate")
     counts = (
         R.placed_orders(spark, sf)
         .groupBy(
-            (iso_year(day) + YEAR_SHIFT).alias("year"),
-            iso_week(day).alias("week"),
+            monday_of(F.col("o_orderdate")).alias("day"),
             F.col("o_orderpriority").alias("priority"),
             "n_nationkey",
             "district",
         )
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    return materialize(counts, "reports")
+    day = F.col("day")
+    dated = counts.select(
+        (iso_year(day) + YEAR_SHIFT).alias("year"), iso_week(day).alias("week"),
+        "priority", "n_nationkey", "district", "n",
+    )
+    return materialize(dated, "reports")
 
 
 REPORTS_SQL = f"""

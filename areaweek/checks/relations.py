@@ -11,11 +11,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from areaweek.config import WEATHER_MEASURES
-from areaweek.functions.isoweek import iso_week, iso_year
 from areaweek.operators.features import baseline, lag_features, temporal_split
 from areaweek.operators.names import inline_names
 from areaweek.operators.panel import clean_panel, join_weather
-from areaweek.operators.rollup import weekly_rollup
+from areaweek.operators.rollup import weekly_counts, weekly_rollup
 from areaweek.plans.backtest import assess
 from areaweek.runtime import materialize
 
@@ -49,12 +48,7 @@ def placed_orders(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cases(spark: SparkSession, sf: str) -> DataFrame:
-    day = F.col("o_orderdate")
-    return (
-        placed_orders(spark, sf)
-        .groupBy("district", iso_year(day).alias("year"), iso_week(day).alias("week"))
-        .agg(F.count(F.lit(1)).alias("cases"))
-    )
+    return weekly_counts(placed_orders(spark, sf), date="o_orderdate")
 
 
 def daily_weather(spark: SparkSession, sf: str) -> DataFrame:
@@ -163,10 +157,10 @@ WEATHER_SQL = """
 weather AS (
   SELECT trim(n_name) AS district, CAST(isoyear(l_shipdate) AS INTEGER) AS year,
          CAST(week(l_shipdate) AS INTEGER) AS week,
-         CAST(SUM(CAST(round(l_quantity * 100) AS BIGINT)) AS DOUBLE) / 100 AS rainfall_mm,
-         CAST(SUM(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / 100
+         CAST(SUM(CAST(floor(l_quantity * 100 + 0.5) AS BIGINT)) AS DOUBLE) / 100 AS rainfall_mm,
+         CAST(SUM(CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT)) AS DOUBLE) / 100
            / COUNT(l_extendedprice) AS temp_avg_c,
-         CAST(SUM(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) / 100
+         CAST(SUM(CAST(floor(l_discount * 100 + 0.5) AS BIGINT)) AS DOUBLE) / 100
            / COUNT(l_discount) AS humidity_pct
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
        JOIN nation ON s_nationkey = n_nationkey

@@ -43,7 +43,7 @@ from areaweek.sources.tables import trailing_days, union_sources
 
 def scaled_sum_sql(c: str, digits: int) -> str:
     unit = 10**digits
-    return f"CAST(SUM(CAST(round({c} * {unit}) AS BIGINT)) AS DOUBLE) / {unit}"
+    return f"CAST(SUM(CAST(floor({c} * {unit} + 0.5) AS BIGINT)) AS DOUBLE) / {unit}"
 
 
 def scaled_mean_sql(c: str, digits: int) -> str:
@@ -64,8 +64,8 @@ def weekly_weather(spark, sf):
     """
     SELECT trim(n_name) AS district, CAST(isoyear(l_shipdate) AS INTEGER) AS year,
            CAST(week(l_shipdate) AS INTEGER) AS week,
-           CAST(SUM(CAST(round(l_quantity * 100) AS BIGINT)) AS DOUBLE) / 100 AS rainfall_mm,
-           CAST(SUM(CAST(round((l_extendedprice + l_quantity) / 2.0 * 1000) AS BIGINT)) AS DOUBLE)
+           CAST(SUM(CAST(floor(l_quantity * 100 + 0.5) AS BIGINT)) AS DOUBLE) / 100 AS rainfall_mm,
+           CAST(SUM(CAST(floor((l_extendedprice + l_quantity) / 2.0 * 1000 + 0.5) AS BIGINT)) AS DOUBLE)
              / 1000 / COUNT(*) AS temp_avg_c,
            COUNT(*) AS n_days
     FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
@@ -88,10 +88,10 @@ def weekly_weather_midpoint(spark, sf):
 HOURLY_SQL = """
 daily AS (
   SELECT user_id, CAST(ts AS DATE) AS date,
-         CAST(SUM(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / 100 AS rain_daily_total,
-         CAST(SUM(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / 100
+         CAST(SUM(CAST(floor(value * 100 + 0.5) AS BIGINT)) AS DOUBLE) / 100 AS rain_daily_total,
+         CAST(SUM(CAST(floor(value * 100 + 0.5) AS BIGINT)) AS DOUBLE) / 100
            / COUNT(value) AS temp_daily_avg,
-         CAST(SUM(CAST(round(k * 100) AS BIGINT)) AS DOUBLE) / 100
+         CAST(SUM(CAST(floor(k * 100 + 0.5) AS BIGINT)) AS DOUBLE) / 100
            / COUNT(k) AS humidity_daily_avg
   FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events)
   GROUP BY 1, 2)"""
@@ -143,7 +143,7 @@ def weekly_from_daily(spark, sf):
       FROM events GROUP BY 1, 2),
     purchases AS (
       SELECT user_id, CAST(ts AS DATE) AS date,
-             CAST(SUM(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / 100 AS spent
+             CAST(SUM(CAST(floor(value * 100 + 0.5) AS BIGINT)) AS DOUBLE) / 100 AS spent
       FROM events WHERE event_type = 'purchase' GROUP BY 1, 2)
     SELECT t.user_id, t.date, t.n_events, t.top_value, p.spent
     FROM totals t LEFT JOIN purchases p ON t.user_id = p.user_id AND t.date = p.date

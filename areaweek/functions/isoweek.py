@@ -16,6 +16,11 @@ def iso_week(date: Column) -> Column:
     return F.weekofyear(date).cast("int")
 
 
+def monday_of(date: Column) -> Column:
+    """Monday of the date's ISO week: the cheap grouping key for (year, week)."""
+    return F.trunc(date.cast("date"), "week")
+
+
 def week_start(year: Column, week: Column) -> Column:
     """Monday of an ISO week; 4 January always lies in week 1."""
     first = F.date_trunc("week", F.make_date(year, F.lit(1), F.lit(4))).cast("date")

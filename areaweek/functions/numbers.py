@@ -52,10 +52,11 @@ def scaled_sum(c: Column, digits: int) -> Column:
     """Sum of a fixed-decimal measure, added up as whole units of its last digit.
 
     Long addition does not depend on the order of rows, so reruns and retried
-    tasks give the same bits; plain double sums do not.
+    tasks give the same bits; plain double sums do not. ``floor`` of the shifted
+    value stays a primitive operation, where ``round`` goes through decimals.
     """
     unit = 10**digits
-    return F.sum(F.round(c * unit).cast("bigint")).cast("double") / float(unit)
+    return F.sum(F.floor(c * float(unit) + 0.5)).cast("double") / float(unit)
 
 
 def sum_of(c: Column, digits: int | None = None) -> Column:

@@ -42,8 +42,7 @@ def join_weather(
 ) -> DataFrame:
     """Cases with their week's weather; unmatched weeks stay unless dropped.
 
-    ``trim`` cleans area names read from files. Pass False when they are already
-    clean: two aggregates over the same keys then join without another shuffle.
+    ``trim`` cleans area names read from files; pass False when they are clean.
     """
     if trim:
         cases = cases.withColumn("district", F.trim("district"))

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from areaweek.functions.isoweek import iso_week, iso_year
+from areaweek.functions.isoweek import iso_week, iso_year, monday_of
 from areaweek.functions.numbers import mean_of, real, sum_of
 
 
@@ -41,11 +41,23 @@ def weekly_rollup(
     digits: int | None = None,
     count_as: str | None = None,
 ) -> DataFrame:
-    """Daily rows to one row per (key, ISO year, ISO week)."""
-    dated = daily.withColumns(
-        {"year": iso_year(F.col(date)), "week": iso_week(F.col(date))}
-    )
-    return rollup(dated, [key, "year", "week"], sums, means, digits, count_as)
+    """Daily rows to one row per (key, ISO year, ISO week).
+
+    Groups by the week's Monday, which is one cheap step per row; year and week
+    are derived once per group.
+    """
+    dated = daily.withColumn("_monday", monday_of(F.col(date)))
+    weekly = rollup(dated, [key, "_monday"], sums, means, digits, count_as)
+    values = [c for c in weekly.columns if c not in (key, "_monday")]
+    day = F.col("_monday")
+    return weekly.select(key, iso_year(day).alias("year"), iso_week(day).alias("week"), *values)
+
+
+def weekly_counts(
+    records: DataFrame, count_as: str = "cases", key: str = "district", date: str = "date"
+) -> DataFrame:
+    """Number of records per (key, ISO year, ISO week)."""
+    return weekly_rollup(records, {}, {}, key=key, date=date, count_as=count_as)
 
 
 def weekly_weather(daily: DataFrame, digits: int | None = None) -> DataFrame:

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from areaweek.config import ALERT_CLASSES, ENV_CLASSES, EnvThresholds
-from areaweek.functions.isoweek import iso_week, iso_year
 from areaweek.functions.numbers import real
 from areaweek.functions.rules import env_risk, severity
+from areaweek.operators.rollup import weekly_rollup
 
 
 def risk_alerts(forecast: DataFrame) -> DataFrame:
@@ -46,17 +46,7 @@ def env_alerts(
     instead of single days. ``compat`` sorts the class names as text.
     """
     if grain == "week":
-        weather = (
-            weather.withColumns(
-                {"year": iso_year(F.col("date")), "week": iso_week(F.col("date"))}
-            )
-            .groupBy("district", "year", "week")
-            .agg(
-                F.sum(real(F.col(rain))).alias(rain),
-                F.avg(real(F.col(temp))).alias(temp),
-                F.avg(real(F.col(humidity))).alias(humidity),
-            )
-        )
+        weather = weekly_rollup(weather, {rain: rain}, {temp: temp, humidity: humidity})
     elif grain != "day":
         raise ValueError(f"unknown grain: {grain}")
     rated = with_env_risk(weather, thresholds, rain, temp, humidity)

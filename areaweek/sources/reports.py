@@ -32,6 +32,7 @@ VALUE_WORDS = {"ndcu": ("dengue", "cases"), "pdf": ("dengue",)}
 AREA_WORD = "district"
 DISEASE_WORD = "dengue"
 HEADER_AREAS = 3
+NOT_BLANK = r"(?U)[^\s\x1c-\x1f]"
 
 
 def filled_rows(grids: DataFrame) -> DataFrame:
@@ -39,19 +40,26 @@ def filled_rows(grids: DataFrame) -> DataFrame:
     return grids.where(F.exists("cells", lambda c: c.isNotNull()))
 
 
-def _clean_cells(cells: Column | str) -> Column:
-    return F.transform(cells, clean_text)
+def _row_text(cells: str) -> Column:
+    """All cells of a row in lower case, for one cheap look at the whole row."""
+    return F.lower(F.array_join(cells, "\n"))
 
 
-def _first_index(header: Column, words: Sequence[str]) -> Column:
-    """0-based position of the first header cell containing one of the words."""
-    hits = F.transform(
-        header,
-        lambda c, i: F.when(
-            F.exists(F.lit(list(words)), lambda w: F.contains(F.lower(c), w)), i
-        ),
-    )
-    return F.get(F.filter(hits, lambda i: i.isNotNull()), F.lit(0))
+def _has_word(text: Column, words: Sequence[str]) -> Column:
+    found = F.contains(text, F.lit(words[0]))
+    for w in words[1:]:
+        found = found | F.contains(text, F.lit(w))
+    return found
+
+
+def _first_index(cells: str, words: Sequence[str]) -> Column:
+    """0-based position of the first cell containing one of the words; null if none.
+
+    Cells are only looked at one by one in rows whose text has a word at all.
+    """
+    hits = F.transform(cells, lambda c, i: F.when(_has_word(F.lower(c), words), i))
+    first = F.get(F.filter(hits, lambda i: i.isNotNull()), F.lit(0))
+    return F.when(_has_word(_row_text(cells), words), first)
 
 
 def rows_are_areas(grids: DataFrame, layout: str = "ndcu") -> DataFrame:
@@ -62,24 +70,18 @@ def rows_are_areas(grids: DataFrame, layout: str = "ndcu") -> DataFrame:
     Pages whose header has no count column give nothing.
     """
     rows = filled_rows(grids)
-    header = F.col("header")
     if layout == "ndcu":
-        could_be_header = F.exists("header", lambda c: c != "")
-        area_at = F.coalesce(_first_index(header, (AREA_WORD,)), F.lit(0))
+        could_be_header = _row_text("cells").rlike(NOT_BLANK)
+        area_at = F.coalesce(_first_index("cells", (AREA_WORD,)), F.lit(0))
     else:
         could_be_header = F.lit(True)
         area_at = F.lit(0)
-    value_at = _first_index(header, VALUE_WORDS[layout])
-    marked = (
-        rows.withColumn("header", _clean_cells("cells"))
-        .select(
-            *PAGE,
-            F.when(could_be_header, F.col("row_idx")).alias("at"),
-            area_at.alias("area_at"),
-            value_at.alias("value_at"),
-        )
-        .withColumn("useful_at", F.when(F.col("value_at").isNotNull(), F.col("at")))
-    )
+    marked = rows.select(
+        *PAGE,
+        F.when(could_be_header, F.col("row_idx")).alias("at"),
+        area_at.alias("area_at"),
+        _first_index("cells", VALUE_WORDS[layout]).alias("value_at"),
+    ).withColumn("useful_at", F.when(F.col("value_at").isNotNull(), F.col("at")))
     # The header is of use only if it is also the first row with a count column.
     places = (
         marked.groupBy(*PAGE)
@@ -114,7 +116,11 @@ def columns_are_areas(
     The header is the first row naming several areas, else the first row.
     """
     rows = filled_rows(grids)
-    areas = F.transform(_clean_cells("cells"), lambda c: find_area(c, names, mode))
+    # Cells are matched one by one only in rows whose whole text names an area.
+    areas = F.when(
+        find_area(clean_text(_row_text("cells")), names).isNotNull(),
+        F.transform("cells", lambda c: find_area(clean_text(c), names, mode)),
+    )
     named = rows.select(*PAGE, "row_idx", areas.alias("areas"))
     hits = F.size(F.filter("areas", lambda a: a.isNotNull()))
     first = (
