@@ -9,14 +9,17 @@ from areaweek.config import VOLUME_YEAR_OFFSET
 
 # What counts as a year, a week label and a volume number.
 YEAR_PATTERN = r"(20[0-9]{2})"
-WEEK_PATTERN = r"[Ww]eek[\s:]*([0-5]?[0-9])"
+WEEK_PATTERN = r"[Ww]eek(?U:[\s\x1c-\x1f:]*)([0-5]?[0-9])"
 VOLUME_PATTERN = r"(?i)vol[_\- ]?([0-9]+)"
 
+# White space as Unicode and Python see it.
+SPACE = r"(?U:[\s\x1c-\x1f]+)"
+
 
 def clean_text(c: Column) -> Column:
     """Runs of Unicode white space become one blank; ends trimmed; null is empty."""
     text = F.coalesce(c.cast("string"), F.lit(""))
-    return F.trim(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " "))
+    return F.trim(F.regexp_replace(text, SPACE, " "))
 
 
 def digits_to_int(c: Column) -> Column:
@@ -41,9 +44,10 @@ def first_week(text: Column, compat: bool = False) -> Column:
     """
     body = F.coalesce(text, F.lit(""))
     if compat:
-        return F.regexp_extract(body, "(?U)" + WEEK_PATTERN, 1).try_cast("int")
-    found = F.regexp_extract(body, "(?iU)" + WEEK_PATTERN, 1).try_cast("int")
-    return F.when(found.between(1, 53), found)
+        return F.regexp_extract(body, WEEK_PATTERN, 1).try_cast("int")
+    found = F.regexp_extract(body, "(?i)" + WEEK_PATTERN, 1).try_cast("int")
+    # Filtering a one-element array tests the number without searching twice.
+    return F.get(F.filter(F.array(found), lambda w: w.between(1, 53)), F.lit(0))
 
 
 def volume_year(file_name: Column) -> Column:

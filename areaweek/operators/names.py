@@ -44,9 +44,12 @@ def match_by_length(
     if size["bytes"] + ROW_BYTES * size["n"] <= BROADCAST_BYTES:
         known = F.broadcast(known)
 
-    lowered = F.lower(clean_text(F.col(text_col)))
-    keyed = df.withColumn("_text", lowered).withColumn("_tid", F.sha2("_text", 256))
-    texts = keyed.groupBy("_tid").agg(F.first("_text").alias("_text"))
+    keyed = df.withColumn("_tid", F.sha2(F.coalesce(text_col, F.lit("")), 256))
+    texts = (
+        keyed.groupBy("_tid")
+        .agg(F.first(text_col).alias("_text"))
+        .select("_tid", F.lower(clean_text(F.col("_text"))).alias("_text"))
+    )
     # An empty match with a look-ahead of n characters at every position walks
     # the text once; cutting by position would start over for each one.
     every = F.lit([f"(?s)(?=(.{{{n}}}))" for n in size["lengths"]])
@@ -65,7 +68,7 @@ def match_by_length(
         .agg(F.min(F.struct((-F.length("_name")).alias("n"), F.col("_name"))).alias("_best"))
         .select("_tid", F.col("_best._name").alias(out))
     )
-    return keyed.join(best, "_tid", "left").drop("_tid", "_text")
+    return keyed.join(best, "_tid", "left").drop("_tid")
 
 
 def match_names(

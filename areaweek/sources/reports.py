@@ -175,9 +175,11 @@ def doc_year_week(
     year = first_year(F.col("first_page_text"))
     if use_volume:
         year = F.coalesce(year, volume_year(F.col("file_name")))
-    out = docs.select(
-        "doc_id", year.alias("year"), first_week(F.col("first_page_text"), compat).alias("week")
-    ).dropna(subset=["year", "week"])
+    week = first_week(F.col("first_page_text"), compat)
+    # Generated columns are computed once; the filters on them would otherwise be
+    # pushed below and search the texts again.
+    found = F.inline(F.array(F.struct(year.alias("year"), week.alias("week"))))
+    out = docs.select("doc_id", found).dropna(subset=["year", "week"])
     return out.where(F.col("year").between(*years)) if years else out
 
 
