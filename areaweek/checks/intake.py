@@ -490,7 +490,7 @@ def _column_docs(reports):
     FROM reports GROUP BY ALL"""
 )
 def grid_rows_areas(spark, sf):
-    return G.rows_are_areas(_row_grid(_reports(spark, sf)), "ndcu").select("doc_id", "district", "cases")
+    return G.rows_are_areas(_row_grid(_reports(spark, sf)), "area_rows").select("doc_id", "district", "cases")
 
 
 @check(
@@ -524,7 +524,7 @@ def grid_rows_first_column(spark, sf):
         F.concat(F.lit("customer-"), F.col("o_custkey").cast("string")).alias("doc_id"),
         F.lit("orders.pdf").alias("file_name"), F.lit(1).alias("page_no"), "row_idx", "cells",
     )
-    return G.rows_are_areas(grid, "pdf").select("doc_id", "row_idx", "district", "cases")
+    return G.rows_are_areas(grid, "first_column").select("doc_id", "row_idx", "district", "cases")
 
 
 @check(
@@ -540,22 +540,22 @@ def grid_cols_areas(spark, sf):
 
 @check(
     f"""WITH {REPORTS_SQL}
-    SELECT 'ndcu' AS layout, district, year, week, CAST(SUM(n) * 1000 AS BIGINT) AS cases
+    SELECT 'area_rows' AS layout, district, year, week, CAST(SUM(n) * 1000 AS BIGINT) AS cases
     FROM reports WHERE year BETWEEN 2021 AND 2025 GROUP BY ALL
     UNION ALL
-    SELECT 'wer', district, year, week, n FROM reports
+    SELECT 'area_columns', district, year, week, n FROM reports
     WHERE priority = '1-URGENT' AND year BETWEEN 2015 AND 2020"""
 )
 def extract_cases_all(spark, sf):
     reports, names = _reports(spark, sf), R.nation_names(spark, sf)
-    by_row = G.extract_cases(_row_grid(reports), _row_docs(reports), "ndcu")
+    by_row = G.extract_cases(_row_grid(reports), _row_docs(reports), "area_rows")
     by_column = G.extract_cases(
-        _column_grid(reports, names), _column_docs(reports), "wer", names
+        _column_grid(reports, names), _column_docs(reports), "area_columns", names
     )
     return T.union_sources(
         [
-            by_row.withColumn("layout", F.lit("ndcu")),
-            by_column.withColumn("layout", F.lit("wer")),
+            by_row.withColumn("layout", F.lit("area_rows")),
+            by_column.withColumn("layout", F.lit("area_columns")),
         ]
     )
 
@@ -588,7 +588,7 @@ def doc_year_week(spark, sf):
             F.lit("vol_"), (F.col("n_chars") % 20 + 40).cast("string"), F.lit("_en.pdf")
         ).alias("file_name"),
     )
-    years = G.LAYOUT_YEARS["wer"]
+    years = G.LAYOUT_YEARS["area_columns"]
     return G.doc_year_week(G.in_volume_years(docs, years), years)
 
 

@@ -53,17 +53,14 @@ env AS (
   FROM weather)"""
 
 
-def _env(weekly):
-    return A.env_alerts(
-        weekly, THRESHOLDS, rain="rainfall_mm", temp="temp_avg_c", humidity="humidity_pct"
-    )
+COLUMNS = {"rain": "rainfall_mm", "temp": "temp_avg_c", "humidity": "humidity_pct"}
 
 
 @check(
     f"WITH {R.WEATHER_SQL},{ENV_SQL} SELECT * FROM env WHERE env_risk <> 'environment_low'"
 )
 def env_risk(spark, sf):
-    return _env(R.weather(spark, sf))
+    return A.env_alerts(R.weather(spark, sf), THRESHOLDS, **COLUMNS)
 
 
 @check(
@@ -74,7 +71,7 @@ def env_risk(spark, sf):
     LIMIT 20"""
 )
 def env_alerts_worst(spark, sf):
-    ranked = _env(R.weather(spark, sf)).orderBy(
+    ranked = A.env_hits(R.weather(spark, sf), THRESHOLDS, **COLUMNS).orderBy(
         F.desc(F.col("env_risk") == "environment_high"), F.desc("rainfall_mm"),
         "district", "year", "week",
     )
@@ -242,11 +239,10 @@ def forecast_display(spark, sf):
 def explain_risk(spark, sf):
     weekly = R.written_weather(spark, sf)
     rows, scored, ahead = R.forecast(spark, sf, weekly)
-    alerts = _env(weekly).withColumn("date", F.col("year") * 100 + F.col("week"))
-    return S.explain_risk(
-        scored, ahead, alerts, rows,
-        rain="rainfall_mm", temp="temp_avg_c", humidity="humidity_pct",
+    alerts = A.env_hits(weekly, THRESHOLDS, **COLUMNS).withColumn(
+        "date", F.col("year") * 100 + F.col("week")
     )
+    return S.explain_risk(scored, ahead, alerts, rows, **COLUMNS)
 
 
 @check(
@@ -258,9 +254,7 @@ def explain_risk(spark, sf):
     FROM env"""
 )
 def env_labels(spark, sf):
-    rated = A.with_env_risk(
-        R.weather(spark, sf), THRESHOLDS, "rainfall_mm", "temp_avg_c", "humidity_pct"
-    )
+    rated = A.with_env_risk(R.weather(spark, sf), THRESHOLDS, **COLUMNS)
     return rated.select(
         "district", "year", "week", fixed1(F.col("temp_avg_c")).alias("temp_text"),
         label(F.col("env_risk")).alias("env_label"),

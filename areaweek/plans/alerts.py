@@ -31,25 +31,37 @@ def with_env_risk(
     )
 
 
-def env_alerts(
+def env_hits(
     weather: DataFrame,
     thresholds: EnvThresholds = EnvThresholds(),
     grain: str = "day",
     rain: str = "rain_daily_total",
     temp: str = "temp_daily_avg",
     humidity: str = "humidity_daily_avg",
-    compat: bool = False,
 ) -> DataFrame:
-    """Rows of moderate or high environmental risk, worst first.
+    """Rows of moderate or high environmental risk, in no order.
 
     ``grain='week'`` applies the thresholds to weekly rain and mean conditions
-    instead of single days. ``compat`` sorts the class names as text.
+    instead of single days.
     """
     if grain == "week":
         weather = weekly_rollup(weather, {rain: rain}, {temp: temp, humidity: humidity})
     elif grain != "day":
         raise ValueError(f"unknown grain: {grain}")
     rated = with_env_risk(weather, thresholds, rain, temp, humidity)
-    hits = rated.where(F.col("env_risk").isin(*ENV_CLASSES[1:]))
+    return rated.where(F.col("env_risk").isin(*ENV_CLASSES[1:]))
+
+
+def env_alerts(
+    weather: DataFrame,
+    thresholds: EnvThresholds = EnvThresholds(),
+    grain: str = "day",
+    rain: str = "rain_daily_total",
+    temp: str = "temp_daily_avg",
+    humidity: str = "humidity_daily_avg",
+    compat: bool = False,
+) -> DataFrame:
+    """Environmental alerts, worst first; ``compat`` sorts class names as text."""
+    hits = env_hits(weather, thresholds, grain, rain, temp, humidity)
     worst = F.col("env_risk") if compat else severity(F.col("env_risk"), ENV_CLASSES)
     return hits.orderBy(worst.desc(), F.desc_nulls_last(rain))

@@ -27,8 +27,8 @@ from areaweek.functions.text import (
 
 PAGE = ["doc_id", "page_no"]
 # Years covered by each report layout, and its header words.
-LAYOUT_YEARS = {"ndcu": (2021, 2025), "wer": (2015, 2020), "pdf": None}
-VALUE_WORDS = {"ndcu": ("dengue", "cases"), "pdf": ("dengue",)}
+LAYOUT_YEARS = {"area_rows": (2021, 2025), "area_columns": (2015, 2020), "first_column": None}
+VALUE_WORDS = {"area_rows": ("dengue", "cases"), "first_column": ("dengue",)}
 AREA_WORD = "district"
 DISEASE_WORD = "dengue"
 HEADER_AREAS = 3
@@ -62,15 +62,15 @@ def _first_index(cells: str, words: Sequence[str]) -> Column:
     return F.when(_has_word(_row_text(cells), words), first)
 
 
-def rows_are_areas(grids: DataFrame, layout: str = "ndcu") -> DataFrame:
+def rows_are_areas(grids: DataFrame, layout: str = "area_rows") -> DataFrame:
     """Tables with one row per area: label and count columns found by header.
 
-    ``ndcu``: the header is the first row with any non-blank cell and names the
-    area column. ``pdf``: the header is the first row and the area comes first.
+    ``area_rows``: the header is the first row with any non-blank cell and names the
+    area column. ``first_column``: the header is the first row and the area comes first.
     Pages whose header has no count column give nothing.
     """
     rows = filled_rows(grids)
-    if layout == "ndcu":
+    if layout == "area_rows":
         could_be_header = _row_text("cells").rlike(NOT_BLANK)
         area_at = F.coalesce(_first_index("cells", (AREA_WORD,)), F.lit(0))
     else:
@@ -201,10 +201,10 @@ def extract_cases(
     if layout not in LAYOUT_YEARS:
         raise ValueError(f"unknown layout: {layout}")
     years = LAYOUT_YEARS[layout]
-    if layout == "wer":
+    if layout == "area_columns":
         grids, docs = in_volume_years(grids, years), in_volume_years(docs, years)
         tidy = columns_are_areas(grids, names, mode="first" if compat else "longest")
     else:
         tidy = rows_are_areas(grids, layout)
-    dated = doc_year_week(docs, years, use_volume=layout != "ndcu", compat=compat)
+    dated = doc_year_week(docs, years, use_volume=layout != "area_rows", compat=compat)
     return tidy.join(dated, "doc_id").select("district", "year", "week", "cases")

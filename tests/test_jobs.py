@@ -84,7 +84,7 @@ def test_report_and_payload_jobs(spark, tmp_path):
     grid = [("d", "r.pdf", 1, 0, ["District", "Cases"]), ("d", "r.pdf", 1, 1, ["Galle", "1,005"])]
     spark.createDataFrame(grid, schemas.GRIDS).write.parquet(path("grids"))
     spark.createDataFrame([("d", "r.pdf", "2023 Week 2")], schemas.DOC_TEXT).write.parquet(path("docs"))
-    main(["extract-cases", "--grids", path("grids"), "--docs", path("docs"), "--layout", "ndcu", "--out", path("raw")])
+    main(["extract-cases", "--grids", path("grids"), "--docs", path("docs"), "--layout", "area_rows", "--out", path("raw")])
     raw = read_csv(spark, path("raw"), schemas.CASES_RAW)
     assert [tuple(r) for r in raw.collect()] == [("Galle", 2023, 2, 1005)]
     weather = spark.createDataFrame([("Kandy", 2023, 2, 1.0, 2.0, 3.0)], schemas.WEATHER_WEEKLY)

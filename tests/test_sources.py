@@ -227,7 +227,7 @@ def test_rows_are_areas(spark):
     ])
     no_count = grid(spark, "e", [("District", "Deaths"), ("Galle", "1")])
     bare = grid(spark, "f", [("Area", "Dengue"), ("Galle", "3"), ("Kandy",)], page=2)
-    found = reports.rows_are_areas(first.union(no_count).union(bare), "ndcu")
+    found = reports.rows_are_areas(first.union(no_count).union(bare), "area_rows")
     assert tidy(found) == [("d", 1, "Galle", 1234), ("d", 1, "Kandy", 125), ("f", 2, "Galle", 3)]
 
 
@@ -236,7 +236,7 @@ def test_first_row_header_layout(spark):
         (None, None), ("Place", "Dengue Fever"), ("Galle", "5"), ("TOTAL", "5"), (None, "4"),
     ]).union(grid(spark, "e", [("", ""), ("Place", "Dengue"), ("Galle", "5")]))
     # The second page starts with a blank row, which this layout takes as header.
-    assert tidy(reports.rows_are_areas(g, "pdf")) == [("d", 1, "Galle", 5)]
+    assert tidy(reports.rows_are_areas(g, "first_column")) == [("d", 1, "Galle", 5)]
 
 
 def test_columns_are_areas(spark):
@@ -275,8 +275,8 @@ def test_extract_cases(spark):
         [("n", "r.pdf", "2023 Week 2"), ("old", "r.pdf", "2018 Week 2"), ("w", "vol_47.pdf", "Week 4")], schemas.DOC_TEXT
     )
     rows = lambda layout: sorted(map(tuple, reports.extract_cases(grids, docs, layout).collect()))
-    assert rows("ndcu") == [("Galle", 2023, 2, 5), ("Kandy", 2023, 2, 6)]
-    assert rows("wer") == [("Colombo", 2019, 4, 1), ("Galle", 2019, 4, 2), ("Kandy", 2019, 4, 3)]
-    assert rows("pdf") == []
+    assert rows("area_rows") == [("Galle", 2023, 2, 5), ("Kandy", 2023, 2, 6)]
+    assert rows("area_columns") == [("Colombo", 2019, 4, 1), ("Galle", 2019, 4, 2), ("Kandy", 2019, 4, 3)]
+    assert rows("first_column") == []
     with pytest.raises(ValueError):
         reports.extract_cases(grids, docs, "xls")
