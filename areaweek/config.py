@@ -48,6 +48,8 @@ class ForestParams:
     seed: int = 42
     max_bins: int = 32
     feature_subset: str = "all"
+    # Per-task memory for split statistics; more of it means fewer passes.
+    stats_memory_mb: int = 512
 
 
 # Forest sizes of the two forecasting models.

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from areaweek.config import ForestParams
-from areaweek.runtime import materialize
+from areaweek.runtime import materialize, shared_dir
 
 
 def assemble(df: DataFrame, features: Sequence[str], missing: str = "skip") -> DataFrame:
@@ -26,17 +26,29 @@ def fit_forest(
     params: ForestParams,
     target: str = "cases",
 ) -> RandomForestRegressionModel:
-    """Fit on rows written once to shared storage, since fitting scans them often."""
+    """Fit on rows written once to shared storage, since fitting scans them often.
+
+    Node ids are kept per row instead of walking every tree in each pass; their
+    lineage is cut by checkpoints in the shared folder.
+    """
+    spark = train.sparkSession
+    shared_dir(spark)  # makes sure that there is a checkpoint folder
     rows = assemble(train.dropna(subset=[target]), features)
     rows = materialize(
         rows.select("features", F.col(target).cast("double").alias("label")), "fit-rows"
     )
+    # A table of few files would leave most cores idle in every pass.
+    slots = spark.sparkContext.defaultParallelism
+    if len(rows.inputFiles()) < slots:
+        rows = rows.repartition(slots)
     forest = RandomForestRegressor(
         numTrees=params.trees,
         maxDepth=params.depth,
         seed=params.seed,
         maxBins=params.max_bins,
         featureSubsetStrategy=params.feature_subset,
+        maxMemoryInMB=params.stats_memory_mb,
+        cacheNodeIds=True,
     )
     return forest.fit(rows)
 
