@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from areaweek.config import ForestParams
 from areaweek.runtime import materialize, shared_dir
 
+SHALLOW = 10  # up to this depth walking a tree is cheap
+
 
 def assemble(df: DataFrame, features: Sequence[str], missing: str = "skip") -> DataFrame:
     """Add the feature vector; ``missing`` says what to do with rows lacking a feature."""
@@ -28,11 +30,12 @@ def fit_forest(
 ) -> RandomForestRegressionModel:
     """Fit on rows written once to shared storage, since fitting scans them often.
 
-    Node ids are kept per row instead of walking every tree in each pass; their
-    lineage is cut by checkpoints in the shared folder.
+    For deep trees node ids are kept per row instead of walking every tree in each
+    pass; their lineage is cut by checkpoints in the shared folder.
     """
     spark = train.sparkSession
-    shared_dir(spark)  # makes sure that there is a checkpoint folder
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     rows = assemble(train.dropna(subset=[target]), features)
     rows = materialize(
         rows.select("features", F.col(target).cast("double").alias("label")), "fit-rows"
@@ -48,7 +51,7 @@ def fit_forest(
         maxBins=params.max_bins,
         featureSubsetStrategy=params.feature_subset,
         maxMemoryInMB=params.stats_memory_mb,
-        cacheNodeIds=True,
+        cacheNodeIds=params.depth > SHALLOW,
     )
     return forest.fit(rows)
 
