@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local session
-    without that setting gets a temporary folder of its own.
+    The cluster names it in ``spark.checkpoint.dir``; a session without that setting
+    must have been given one by ``SparkContext.setCheckpointDir``.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -20,10 +19,7 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return sc.getCheckpointDir().rstrip("/")
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="areaweek-"))
-    return sc.getCheckpointDir().rstrip("/")
+    raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
 
 
 def run_dir(spark: SparkSession, label: str) -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -19,5 +20,8 @@ def local_session(app: str, cpus: int | None = None, memory: str = "8g") -> Spar
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        # one machine: a folder that its threads share; a cluster names its own
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="areaweek-"))
     spark.sparkContext.setLogLevel("ERROR")
     return spark
