@@ -33,7 +33,7 @@ BASE_WINDOW = 3
 class RepetitionRules:
     """Largest share of a text's word characters inside repeats of n words, by n, and inside repeated lines."""
 
-    ngrams: dict[int, float] = field(default_factory=lambda: {5: 0.30, 6: 0.28, 8: 0.25, 10: 0.22})
+    ngrams: dict[int, float] = field(default_factory=lambda: {5: 0.40, 6: 0.38, 8: 0.35, 10: 0.32})
     lines: float = 0.30
     min_words: int = 50
     max_repeat_percent: int = 50

@@ -93,9 +93,9 @@ def op5_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _positions_sql(rule: secrets.Rule, name: str) -> str:
     quoted = rule.pattern.replace("'", "''")
     return f"""
-    {name} AS (SELECT doc_id, '{rule.kind}' AS kind, {name[1:]} AS nth, at AS start, at + length(hit) AS stop
+    {name} AS (SELECT doc_id, '{rule.kind}' AS kind, {name[1:]} AS nth, before AS start, before + length(hit) AS stop
       FROM (SELECT doc_id, hit, coalesce(list_sum([length(x) FOR x IN gaps[1:i]]), 0)::BIGINT
-                   + coalesce(list_sum([length(x) FOR x IN hits[1:i - 1]]), 0)::BIGINT AS at
+                   + coalesce(list_sum([length(x) FOR x IN hits[1:i - 1]]), 0)::BIGINT AS before
             FROM (SELECT doc_id, gaps, hits, unnest(range(1, len(hits) + 1)) AS i, unnest(hits) AS hit
                   FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '{quoted}') AS gaps,
                                regexp_extract_all(coalesce(text, ''), '{quoted}') AS hits FROM documents)))
