@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areaweek.llm import quality_rules, secrets, sharding
-from areaweek.llm.common import table
+from areaweek.llm import labelled, language_id, quality_cnn, quality_rules, secrets, sharding, toxicity
+from areaweek.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -26,6 +26,43 @@ def query(sql: str | None = None):
     return add
 
 
+@query()
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; profiles from all rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    held = remainder("doc_id", 3) == 1
+    profiles = language_id.learn(docs.where(~held))
+    found = language_id.identify(docs, profiles)
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, and where its offending sentences are."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(labelled.sample(docs, table(spark, sf_dir, "labels"), "toxic", toxicity.SAMPLE))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        labelled.held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.array_join(F.transform("sentences", lambda s: F.concat_ws(":", s.start, s.end)), ",").alias("sentences"),
+    )
+
+
+@query()
+def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by the byte network."""
+    docs = table(spark, sf_dir, "documents")
+    net = quality_cnn.fit(labelled.sample(docs, table(spark, sf_dir, "labels"), "quality", quality_cnn.SAMPLE))
+    return quality_cnn.score(docs, net).select(
+        "doc_id",
+        labelled.held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 def _dup_sql(n: int) -> str:
     """Characters of words in n-word windows that occur twice in one text."""
     parts = ", ".join(f"lead(w, {k}) OVER d" for k in range(1, n))
