@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areaweek.llm import labelled, language_id, quality_cnn, quality_rules, secrets, sharding, toxicity
+from areaweek.llm import labelled, language_id, quality_cnn, quality_rules, secrets, sharding, token_files, toxicity
 from areaweek.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,6 +127,15 @@ def op5_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op6_rans_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token ids in range-coded files, as read back from them."""
+    import public_tokenizers
+
+    folder = token_files.write_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.read_files(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def _positions_sql(rule: secrets.Rule, name: str) -> str:
     quoted = rule.pattern.replace("'", "''")
     return f"""
