@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areaweek.llm import labelled, language_id, quality_cnn, quality_rules, secrets, sharding, token_files, toxicity
+from areaweek.llm import labelled, language_id, near_dedup, quality_cnn, quality_rules, secrets, sharding, token_files, toxicity
 from areaweek.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op9_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents at 85 percent."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 @query()
 def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document by the byte network."""
