@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areaweek.llm import labelled, language_id, near_dedup, quality_cnn, quality_rules, secrets, sharding, token_files, toxicity
+from areaweek.llm import (
+    decontaminate,
+    labelled,
+    language_id,
+    near_dedup,
+    quality_cnn,
+    quality_rules,
+    secrets,
+    sharding,
+    token_files,
+    toxicity,
+)
 from areaweek.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,6 +128,13 @@ def op2_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.repetition(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op4_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each document is free of benchmark items, and which it gives away."""
+    found = decontaminate.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "kept", F.array_join(F.transform("items", lambda i: i.cast("string")), ",").alias("items"))
+
+
 # DuckDB has no crc32; the tests hold the whole result against a brute-force version.
 @query()
 def op5_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
