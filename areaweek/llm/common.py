@@ -14,7 +14,7 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 #: Rows and bytes in one Arrow batch, so that a Python worker's memory is bounded
 #: by these and by the longest text, not by the size of a partition.
-BATCH_ROWS = 1000
+BATCH_ROWS = 4000
 BATCH_BYTES = 16 << 20
 
 

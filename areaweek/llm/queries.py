@@ -15,6 +15,7 @@ from areaweek.llm import (
     quality_cnn,
     quality_rules,
     secrets,
+    sentencepiece_lattice,
     sharding,
     token_files,
     toxicity,
@@ -128,6 +129,15 @@ def op2_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.repetition(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op3_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document by the lattice, and the checksum of the text they decode to."""
+    import public_tokenizers
+
+    pieces = sentencepiece_lattice.Pieces.from_model(public_tokenizers.path("piece_bpe_32k.model"))
+    return sentencepiece_lattice.summary(table(spark, sf_dir, "documents"), pieces)
+
+
 @query()
 def op4_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each document is free of benchmark items, and which it gives away."""

@@ -30,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from areaweek.llm.common import rows, small_batches, words_of
+from areaweek.llm.common import BREAKS, rows, small_batches
 from areaweek.runtime import materialize, run_dir
 
 TABLE, FILE = b"RNST\x01\0\0\0", b"RNSF\x01\0\0\0"
@@ -46,7 +47,9 @@ PRECISION = 20  # bits of the frequency scale
 LANES = 512
 BLOCK = 1 << 18  # ids
 CHECKPOINT = 128  # steps of all lanes
-CACHED_WORDS = 400_000  # of a Python worker
+
+#: Words of letters, then ASCII marks but the apostrophe: the tokenizer parts them there.
+_LETTERS_THEN_MARKS = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
 
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
@@ -58,10 +61,11 @@ _BLOCK = struct.Struct("<5I")
 
 
 class WordEncoder:
-    """Ids of texts by the given tokenizer, with a bounded memory of words.
+    """Ids of texts by the given tokenizer, each distinct word of a batch encoded once.
 
-    The tokenizer drops white space and joins nothing across it, so the ids of a
-    text are those of its words in order.
+    The tokenizer drops white space and joins nothing across it, so the ids of a text
+    are those of its words in order. It also parts letters from the marks after them
+    and folds letters, so most distinct words share few distinct units.
     """
 
     def __init__(self, path: str) -> None:
@@ -70,40 +74,66 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.known: dict[str, bytes] = {}
+        self.ends_word = np.zeros(self.size, bool)
+        self.ends_word[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text, with the end id."""
-        end, out = np.array([END_ID], "<u4").tobytes(), []
-        split = [words_of(t) for t in texts]
-        at = 0
-        while at < len(split):  # texts up to a bound of words that are new
-            new: set[str] = set()
-            stop = at
-            while stop < len(split) and len(new) < CACHED_WORDS // 4:
-                new.update([w for w in split[stop] if w not in self.known])
-                stop += 1
-            if len(self.known) + len(new) > CACHED_WORDS:
-                self.known.clear()
-                new = {w for words in split[at:stop] for w in words}
-            self._learn(list(new))
-            for words in split[at:stop]:
-                out.append(np.frombuffer(b"".join([*map(self.known.__getitem__, words), end]), "<u4"))
-            at = stop
-        return out
-
-    def _learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 10_000):
-            part = words[at : at + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+        texts = pc.replace_substring_regex(pc.fill_null(texts, ""), f"[{BREAKS[1:]}]", " ")
+        split = pc.split_pattern(texts, " ")
+        words = split.flatten().dictionary_encode()
+        place = words.indices.to_numpy()
+        unit, start, ids_of, size = self._units(words.dictionary)
+        pairs = unit[place]  # two units of each word, the second often empty
+        n = size[pairs].sum(axis=1)
+        before = np.concatenate([[0], np.cumsum(n)])
+        ids = _gather(ids_of, start[pairs.ravel()], size[pairs.ravel()]) if len(pairs) else ids_of
+        edges = before[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
+        end = np.array([END_ID], "<u4")
+        return [np.concatenate([ids[x:y], end]) for x, y in zip(edges, edges[1:], strict=False)]
+
+    def _units(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Two unit numbers for each word; where each unit's ids start, all ids; how many each unit has."""
+        parts = pc.extract_regex(words, _LETTERS_THEN_MARKS)
+        plain = pc.is_valid(parts).to_numpy(zero_copy_only=False)
+        letters = pc.utf8_lower(pc.struct_field(parts, "letters")).drop_null().dictionary_encode()
+        other = pa.concat_arrays([pc.struct_field(parts, "marks").drop_null(), words.filter(pa.array(~plain))]).dictionary_encode()
+        n_plain, n_letters = int(plain.sum()), len(letters.dictionary)
+        unit = np.zeros((len(words), 2), np.int64)  # number 0 is the empty unit
+        rest = other.indices.to_numpy() + 1 + n_letters
+        unit[plain, 0] = letters.indices.to_numpy() + 1
+        unit[plain, 1] = rest[:n_plain]
+        unit[~plain, 0] = rest[n_plain:]
+        ids, sizes = [], [np.zeros(1, np.int64)]
+        units = letters.dictionary.to_pylist()
+        for i in range(0, n_letters, 1000):
+            some = self._ids(" ".join(units[i : i + 1000]))
+            stops = np.flatnonzero(self.ends_word[some]) + 1  # one for each unit of letters
+            ids.append(some)
+            sizes.append(np.diff(stops, prepend=0))
+        alone = other.dictionary.to_pylist()
+        for i in range(0, len(alone), 10_000):
+            for e in self.tokenizer.encode_batch_fast(alone[i : i + 10_000], add_special_tokens=False):
+                ids.append(np.array(e.ids, "<u4"))
+                sizes.append(np.array([len(e.ids)]))
+        size = np.concatenate(sizes)
+        return unit, np.cumsum(size) - size, np.concatenate(ids) if ids else np.empty(0, "<u4"), size
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+
+def _gather(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of ``values`` that begin at ``start``, one after the other."""
+    stop = np.cumsum(size)
+    return values[np.repeat(start - (stop - size), size) + np.arange(stop[-1])]
 
 
 _encoders: dict[str, WordEncoder] = {}
 
 
 def _encoder(path: str) -> WordEncoder:
-    """One per Python worker, so that words stay known from task to task."""
+    """One per Python worker: loading the vocabulary takes a while."""
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
     return _encoders[path]
@@ -306,8 +336,9 @@ def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3)
-        for b, (texts,) in rows(batches, "text"):
+        for b in batches:
             encoder = _encoder(tokenizer)
+            texts = b.column(b.schema.get_field_index("text"))
             packed = [packer.compress(i.astype(_kind(encoder.size)).tobytes()) for i in encoder.encode(texts)]
             key = b.column(b.schema.get_field_index("doc_id"))
             yield pa.RecordBatch.from_arrays([key, pa.array(packed, pa.binary())], names=["doc_id", "packed"])
