@@ -9,7 +9,8 @@
 3. A higher-order fold turns a chunk's edges into ids. For unigram models that is
    Viterbi: the best score for each end, from left to right. For BPE models, whose
    scores are merge ranks, Viterbi over the scores is not what the model means; there
-   the fold takes, again and again, the best edge that joins two neighbours.
+   the fold takes edges by rank where they join two neighbours. The few chunks for
+   which one pass in that order is not enough say so, and are merged from a heap.
 4. What a split of the input needs of the dictionary is written to its own folder, and
    a second pass over the texts looks the chunks up. Texts are never shuffled.
 
@@ -17,8 +18,8 @@ Characters without a piece become their UTF-8 bytes' pieces.
 
 Defined cases: a null or empty text has no ids and decodes to an empty text; a mark in
 a text decodes to a blank, as it does in the library; chunks of over ``FOLD_MOST``
-characters (unbroken runs) take the same merges from a heap instead of the fold, whose
-work grows with the square; rows with null or repeated ids are encoded each; an empty
+characters (unbroken runs) take the same merges from a heap too, as the fold's work
+grows with the square; rows with null or repeated ids are encoded each; an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -44,8 +45,6 @@ MARK = "▁"
 CHUNK = re.compile(rf"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 FOLD_MOST = 200  # characters
 
-EDGE = "struct<rank:int,s:int,e:int,id:int>"
-
 
 @dataclass(frozen=True)
 class Pieces:
@@ -94,8 +93,26 @@ def chunks(text: str | None) -> list[str]:
 # ---- from chunks to ids ---------------------------------------------------------
 
 
-def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """``word, edges``: every piece at every place, ``s`` to ``e``; single characters always (id -1 without a piece).
+#: An edge in one number: rank, start, length and id, from high to low bits.
+_RANK, _START, _LENGTH = 40, 28, 20
+_PLACE = (1 << 20) - 1  # start and length, after shifting
+_ID = (1 << 20) - 1
+
+
+def rank_edge() -> Column:
+    """An edge as one number, which sorts by rank."""
+    edge = F.shiftleft(F.col("rank").cast("long"), _RANK) + F.shiftleft(F.col("s").cast("long"), _START)
+    return edge + F.shiftleft(F.col("l").cast("long"), _LENGTH) + F.col("id")
+
+
+def score_edge() -> Column:
+    """An edge with its score, which sorts by end; null without a piece."""
+    end = (F.col("s") + F.col("l")).alias("e")
+    return F.when(F.col("id").isNotNull(), F.struct(end, F.col("s").alias("s"), F.col("score").alias("score"), F.col("id").alias("id")))
+
+
+def lattice(words: DataFrame, pieces: DataFrame, longest: int, edge: Column) -> DataFrame:
+    """``word, edges``: every piece at every place, sorted; empty where no piece fits.
 
     ``words`` should be hash-partitioned by ``word``: exploding and the broadcast join
     keep that, so grouping needs no further exchange.
@@ -106,107 +123,98 @@ def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
     found = (
         spans.withColumn("piece", F.substring(F.col("word"), F.col("s") + 1, F.col("l")))
         .join(F.broadcast(pieces), "piece", "left")  # the vocabulary: a fixed size
-        .where("id IS NOT NULL OR l = 1")
+        .where("id IS NOT NULL OR (s = 0 AND l = 1)")  # so that each word keeps a row
     )
-    edge = F.struct(
-        F.coalesce("rank", F.lit(-1)).alias("rank"),
-        "s",
-        (F.col("s") + F.col("l")).alias("e"),
-        F.coalesce("id", F.lit(-1)).alias("id"),
-        F.coalesce("score", F.lit(0.0)).alias("score"),
-    )
-    return found.groupBy("word").agg(F.collect_list(edge).alias("edges"))  # of one chunk, at most length x longest
+    edges = found.select("word", edge.alias("edge")).groupBy("word")
+    return edges.agg(F.sort_array(F.collect_list("edge")).alias("edges"))  # of one word: at most length x longest
 
 
-def fold_merges(edges: Column) -> Column:
-    """Segments by merges: the best edge over two neighbouring segments, until there is none."""
-    single = F.array_sort(F.transform(F.filter(edges, lambda x: x.e == x.s + 1), lambda x: F.struct(x.s.alias("s"), x.id.alias("id"))))
-    by_rank = F.array_sort(
-        F.transform(
-            F.filter(edges, lambda x: x.e > x.s + 1),
-            lambda x: F.struct(x.rank.alias("rank"), x.s.alias("s"), x.e.alias("e"), x.id.alias("id")),
-        )
-    )
-    start = F.struct(
-        F.concat(F.transform(single, lambda x: x.s), F.array(F.size(single))).alias("cuts"),
-        F.transform(single, lambda x: x.id).alias("ids"),
-        by_rank.alias("edges"),
-        F.lit(0).alias("at"),
-    )
+def _place(s: Column, length: Column) -> Column:
+    return F.shiftleft(s.cast("long"), _START - _LENGTH) + length
 
-    def place(cuts: Column, x: Column) -> Column:
-        """Where the edge's left segment stands, or 0 if the edge doesn't span two segments."""
-        k = F.array_position(cuts, x.s).cast("int")
-        return F.when((k > 0) & (F.get(cuts, k + 1) == x.e), k).otherwise(0)
-
-    def step(acc: Column, _: Column) -> Column:
-        # edges inside a segment can't come back
-        best = F.get(F.filter(acc.edges, lambda x: place(acc.cuts, x) > 0), F.lit(0))
-        k = F.array_position(acc.cuts, best.s).cast("int")
-        after = lambda a: F.slice(a, k + 2, F.greatest(F.size(a) - k - 1, F.lit(0)))
-        return F.when(best.isNull(), acc).otherwise(
+
+def fold_merges(edges: Column, places: Column, length: Column) -> Column:
+    """Cuts by merges in the order of rank, and whether that order was not enough.
+
+    One pass over the edges: an edge is taken if it spans just two segments. Merging
+    takes the best edge of all at any time, so the pass is exact unless a merge makes
+    two segments fit a better edge that has been passed; ``late`` tells that.
+    """
+    start = F.struct(F.sequence(F.lit(0), length).alias("cuts"), F.lit(0).alias("i"), F.lit(False).alias("late"))
+
+    def passed(acc: Column, s: Column, e: Column) -> Column:
+        at = F.array_position(places, _place(s, e - s))
+        return F.coalesce((at > 0) & (at <= acc.i), F.lit(False))
+
+    def step(acc: Column, edge: Column) -> Column:
+        s = F.shiftright(edge, _START).bitwiseAND(F.lit((1 << (_RANK - _START)) - 1)).cast("int")
+        e = s + F.shiftright(edge, _LENGTH).bitwiseAND(F.lit((1 << (_START - _LENGTH)) - 1)).cast("int")
+        k = F.array_position(acc.cuts, s).cast("int")
+        hit = (k > 0) & (F.get(acc.cuts, k + 1) == e)
+        late = passed(acc, F.get(acc.cuts, k - 2), e) | passed(acc, s, F.get(acc.cuts, k + 2))
+        return F.when(
+            hit,
             F.struct(
-                F.concat(F.slice(acc.cuts, 1, k), after(acc.cuts)).alias("cuts"),
-                F.concat(F.slice(acc.ids, 1, k - 1), F.array(best.id), after(acc.ids)).alias("ids"),
-                acc.edges.alias("edges"),
-                F.lit(0).alias("at"),
-            )
-        )
+                F.array_remove(acc.cuts, F.get(acc.cuts, k)).alias("cuts"), (acc.i + 1).alias("i"), (acc.late | late).alias("late")
+            ),
+        ).otherwise(F.struct(acc.cuts.alias("cuts"), (acc.i + 1).alias("i"), acc.late.alias("late")))
 
-    steps = F.least(F.size(single) - 1, F.size(by_rank))
-    turns = F.when(steps > 0, F.sequence(F.lit(1), steps)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(turns, start, step, lambda acc: F.struct(acc.cuts.alias("cuts"), acc.ids.alias("ids")))
+    return F.aggregate(edges, start, step, lambda acc: F.struct(acc.cuts.alias("cuts"), acc.late.alias("late")))
 
 
-def fold_viterbi(edges: Column, unknown: float = -1e6) -> Column:
-    """Segments with the largest sum of scores; of equal sums, the longer last piece.
+def fold_viterbi(edges: Column, length: Column, unknown: float = -1e6) -> Column:
+    """Cuts and ids with the largest sum of scores; of equal sums, the longer last piece.
 
-    The state has, for every end so far, the best sum and the way to it; ends come in
-    order, because edges are sorted by end.
+    A character may stand alone, without a piece (id -1), for ``unknown``. Ends come in
+    order, so the state holds the best way to each end so far.
     """
-    ways = "array<struct<sum:double,cuts:array<int>,ids:array<int>>>"
-    by_end = F.array_sort(
-        F.transform(
-            edges,
-            lambda x: F.struct(
-                x.e.alias("e"), x.s.alias("s"), F.when(x.id < 0, F.lit(unknown)).otherwise(x.score).alias("score"), x.id.alias("id")
-            ),
-        )
+    alone = F.transform(
+        F.sequence(F.lit(0), length - 1),
+        lambda i: F.struct((i + 1).alias("e"), i.alias("s"), F.lit(unknown).alias("score"), F.lit(-1).alias("id")),
     )
-    zero = F.array(F.struct(F.lit(0.0).alias("sum"), F.array(F.lit(0)).alias("cuts"), F.array().cast("array<int>").alias("ids"))).cast(ways)
+    none = F.array().cast("array<int>")
+    zero = F.array(F.struct(F.lit(0.0).alias("sum"), F.array(F.lit(0)).alias("cuts"), none.alias("ids")))
 
     def step(best: Column, x: Column) -> Column:
-        way = F.get(best, x.s)
+        way, have = F.get(best, x.s), F.get(best, x.e)
+        total = way["sum"] + x.score
         new = F.struct(
-            (way["sum"] + x.score).alias("sum"),
-            F.concat(way["cuts"], F.array(x.e)).alias("cuts"),
-            F.concat(way["ids"], F.array(x.id)).alias("ids"),
+            total.alias("sum"), F.concat(way["cuts"], F.array(x.e)).alias("cuts"), F.concat(way["ids"], F.array(x.id)).alias("ids")
+        )
+        return (
+            F.when(have.isNull(), F.concat(best, F.array(new)))
+            .when(total > have["sum"], F.concat(F.slice(best, F.lit(1), x.e), F.array(new)))
+            .otherwise(best)
         )
-        have = F.get(best, x.e)
-        return F.when(have.isNull(), F.concat(best, F.array(new))).when(
-            new["sum"] > have["sum"], F.concat(F.slice(best, F.lit(1), x.e), F.array(new))
-        ).otherwise(best)
 
-    return F.aggregate(by_end, zero, step, lambda best: F.struct(F.element_at(best, -1)["cuts"].alias("cuts"), F.element_at(best, -1)["ids"].alias("ids")))
+    by_end = F.array_sort(F.concat(edges.cast("array<struct<e:int,s:int,score:double,id:int>>"), alone))
+    return F.aggregate(by_end, zero, step, lambda best: F.struct(F.element_at(best, -1)["cuts"].alias("cuts"), F.element_at(best, -1)["ids"].alias("way")))
+
 
+def _bytes_of(c: Column, first_byte: int) -> Column:
+    h = F.hex(F.encode(c, "UTF-8"))
+    return F.transform(
+        F.sequence(F.lit(0), F.shiftright(F.length(h), 1) - 1),
+        lambda i: (F.conv(F.substring(h, (2 * i + 1).cast("int"), F.lit(2)), 16, 10).cast("int") + first_byte),
+    )
 
-def with_bytes(word: Column, folded: Column, first_byte: int) -> Column:
-    """Ids of the segments, where -1 becomes the pieces of the character's bytes."""
 
-    def bytes_of(c: Column) -> Column:
-        h = F.hex(F.encode(c, "UTF-8"))
-        return F.transform(
-            F.sequence(F.lit(0), F.shiftright(F.length(h), 1) - 1),
-            lambda i: (F.conv(F.substring(h, (2 * i + 1).cast("int"), F.lit(2)), 16, 10).cast("int") + first_byte),
-        )
+def ids_of(word: Column, cuts: Column, edges: Column, places: Column, first_byte: int) -> Column:
+    """Ids of the segments; a character without a piece has the pieces of its bytes."""
 
-    pairs = F.arrays_zip(folded["cuts"], folded["ids"])
+    at = F.zip_with(
+        F.slice(cuts, F.lit(1), F.size(cuts) - 1),
+        F.slice(cuts, F.lit(2), F.size(cuts) - 1),
+        lambda s, e: F.struct(s.alias("s"), F.array_position(places, _place(s, e - s)).cast("int").alias("p")),
+    )
+    known = F.transform(at, lambda x: F.get(edges, x.p - 1).bitwiseAND(F.lit(_ID)).cast("int"))
     each = F.transform(
-        F.filter(pairs, lambda p: p["ids"].isNotNull()),
-        lambda p: F.when(p["ids"] >= 0, F.array(p["ids"])).otherwise(bytes_of(F.substring(word, p["cuts"] + 1, F.lit(1)))),
+        at,
+        lambda x: F.when(x.p > 0, F.array(F.get(edges, x.p - 1).bitwiseAND(F.lit(_ID)).cast("int"))).otherwise(
+            _bytes_of(F.substring(word, x.s + 1, F.lit(1)), first_byte)
+        ),
     )
-    plain = F.forall(folded["ids"], lambda i: i >= 0)
-    return F.when(plain, folded["ids"]).otherwise(F.flatten(each))
+    return F.when(F.forall(at, lambda x: x.p > 0), known).otherwise(F.flatten(each))
 
 
 def merge_long(word: str, rank: dict[str, tuple[int, int]], first_byte: int) -> list[int]:
@@ -240,25 +248,42 @@ def merge_long(word: str, rank: dict[str, tuple[int, int]], first_byte: int) ->
     return out
 
 
+def _behind(df: DataFrame, **cols: Column) -> DataFrame:
+    """Adds columns behind a generator, so that they are computed once for all their uses."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
+
+
 def word_ids(words: DataFrame, pieces: Pieces, viterbi: bool = False) -> DataFrame:
     """``word, ids`` of the distinct chunks in ``words``."""
     spark = words.sparkSession
+    # a group's buffer is a few hundred bytes: sort only beyond this many words at once
+    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "20000")
     rank, first_byte = pieces.rank(), pieces.first_byte
-    longest = max(map(len, rank))
-    short = words.where(F.length("word") <= FOLD_MOST) if not viterbi else words
-    fold = fold_viterbi if viterbi else fold_merges
-    edges = lattice(short.repartition("word"), pieces.table(spark), longest)
-    folded = edges.select("word", F.inline(F.array(F.struct(fold(F.col("edges")).alias("f")))))
-    done = folded.select("word", with_bytes(F.col("word"), F.col("f"), first_byte).alias("ids"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    short = words.where(F.length("word") <= FOLD_MOST).select("word").repartition(parts, "word")
+    table, longest = pieces.table(spark), max(map(len, rank))
     if viterbi:
-        return done
-
-    def long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, (some,) in rows(batches, "word"):
+        edges = lattice(words.select("word").repartition(parts, "word"), table, longest, score_edge())
+        folded = edges.select("word", F.inline(F.array(fold_viterbi(F.col("edges"), F.length("word")))))
+        pairs = F.zip_with(F.slice("cuts", F.lit(1), F.size("way")), "way", lambda s, i: F.struct(s.alias("s"), i.alias("i")))
+        each = F.transform(
+            pairs, lambda p: F.when(p.i >= 0, F.array(p.i)).otherwise(_bytes_of(F.substring(F.col("word"), p.s + 1, F.lit(1)), first_byte))
+        )
+        return folded.select("word", F.flatten(each).alias("ids"))
+    edges = lattice(short, table, longest, rank_edge())
+    places = F.transform("edges", lambda x: F.shiftright(x, _LENGTH).bitwiseAND(F.lit(_PLACE)))
+    edges = _behind(edges, places=places, length=F.length("word"))
+    folded = edges.select("*", F.inline(F.array(fold_merges(F.col("edges"), F.col("places"), F.col("length")))))
+    ids = F.when(~F.col("late"), ids_of(F.col("word"), F.col("cuts"), F.col("edges"), F.col("places"), first_byte))
+    done = materialize(folded.select("word", ids.alias("ids")), "word-ids")
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (some,) in rows(batches, "word"):
             ids = [merge_long(w, rank, first_byte) for w in some]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
 
-    return done.union(words.where(F.length("word") > FOLD_MOST).select("word").mapInArrow(long, "word string, ids array<int>"))
+    late = done.where("ids IS NULL").select("word").union(words.where(F.length("word") > FOLD_MOST).select("word"))
+    return done.where("ids IS NOT NULL").union(late.mapInArrow(rest, "word string, ids array<int>"))
 
 
 # ---- from texts to ids and back -------------------------------------------------
