@@ -141,5 +141,5 @@ def judged(docs: DataFrame, items: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that give no item away, with all their columns."""
     found = leaks(docs, items).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct()
-    same = (F.xxhash64(docs["text"]) == F.col("_h")) & docs["doc_id"].eqNullSafe(F.col("_d"))
+    same = (F.xxhash64(docs["text"]) == found["_h"]) & docs["doc_id"].eqNullSafe(found["_d"])
     return docs.join(found, same, "left_anti")

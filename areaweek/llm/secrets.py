@@ -129,20 +129,25 @@ def scan_unseen(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -
     found.select("blob", F.inline(pairs)).where("spans IS NOT NULL").write.mode("append").parquet(ledger)
 
 
-def findings(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``doc_id``, ``found``: kind, start and end of all spans of every row, in order.
-
-    ``found`` is sorted by start, then by the rules' order.
-    """
+def by_blob(spark: SparkSession, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``blob, found`` of texts with findings: start, rule order, kind and end of all spans, sorted."""
     order = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.key, i)])
     kind = F.create_map(*[F.lit(x) for r in rules for x in (r.key, r.kind)])
-    known = ledger_at(docs.sparkSession, ledger).where(F.col("rule").isin([r.key for r in rules]) & (F.size("spans") > 0))
-    each = known.select("blob", F.element_at(order, F.col("rule")).alias("nth"), F.element_at(kind, F.col("rule")).alias("kind"), "spans").distinct()
-    spans = F.transform("spans", lambda s: F.struct(s.start.alias("start"), F.col("nth").alias("nth"), F.col("kind").alias("kind"), s.end.alias("end")))
-    by_blob = each.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list(spans))).alias("found"))  # one row per rule
+    known = ledger_at(spark, ledger).where(F.col("rule").isin([r.key for r in rules]) & (F.size("spans") > 0))
+    nth, name = F.element_at(order, F.col("rule")), F.element_at(kind, F.col("rule"))
+    each = known.select("blob", nth.alias("nth"), name.alias("kind"), "spans").distinct()
+    spans = F.transform(
+        "spans", lambda s: F.struct(s.start.alias("start"), F.col("nth").alias("nth"), F.col("kind").alias("kind"), s.end.alias("end"))
+    )
+    return each.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list(spans))).alias("found"))  # one row per rule
+
+
+def findings(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``doc_id``, ``found``: start, rule order, kind and end of all spans of every row, sorted."""
     empty = F.array().cast("array<struct<start:int,nth:int,kind:string,end:int>>")
     paths = docs.select("doc_id", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("blob"))
-    return paths.join(by_blob, "blob", "left").select("doc_id", F.coalesce("found", empty).alias("found"))
+    found = paths.join(by_blob(docs.sparkSession, ledger, rules), "blob", "left")
+    return found.select("doc_id", F.coalesce("found", empty).alias("found"))
 
 
 def redact(text: Column, found: Column, mark: str = "[secret]") -> Column:
@@ -161,3 +166,22 @@ def redact(text: Column, found: Column, mark: str = "[secret]") -> Column:
     return F.when(F.size(found) == 0, text).otherwise(
         F.concat(walked.out, F.substring(text, walked.at + 1, F.length(text)))
     )
+
+
+def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secret]") -> DataFrame:
+    """The rows of ``docs`` with their spans blanked out; all columns stay.
+
+    Spans are of a text's content, so they are joined by content; only texts with a
+    finding are changed, and their ``n_chars``, if there is one, follows.
+    """
+    ledger = new_ledger(docs.sparkSession)
+    scan_unseen(docs, ledger, rules)
+    found = by_blob(docs.sparkSession, ledger, rules).select(F.col("blob").alias("_blob"), F.col("found").alias("_found"))
+    name = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
+    both = docs.join(found, name == found["_blob"], "left")
+    changed = found["_found"].isNotNull()
+    text = F.when(changed, redact(docs["text"], found["_found"], mark)).otherwise(docs["text"])
+    new = {"text": text}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(changed, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(docs["n_chars"])
+    return both.select(*[new[c].alias(c) if c in new else docs[c] for c in docs.columns])

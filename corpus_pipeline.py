@@ -1,12 +1,23 @@
-"""The corpus pipeline: five operators over the documents, each stage written and read again."""
+"""The corpus pipeline: five operators over the documents, each stage written and read again.
+
+A stage takes all rows its predecessor kept, with the columns of ``documents``; the
+last returns token ids. Rows are only lost to a stage's own decision.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from areaweek.llm import quality_rules
+from areaweek.llm import decontaminate, near_dedup, quality_rules, secrets, sentencepiece_lattice
 from areaweek.runtime import materialize
 
+#: Sets that overlap by this share are near-duplicates, in percent.
+NEAR = 80
+TOKENIZER = "piece_bpe_32k.model"
+
+#: Hash signatures and merges by rank are not SQL; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
@@ -15,7 +26,34 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_unrepetitive(docs)
 
 
-STAGES = [("quality_rules", quality)]
+def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest id."""
+    return near_dedup.keep_one_of_each(docs, percent=NEAR)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that give no benchmark item away."""
+    return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with their secrets blanked out; ``n_chars`` follows the text."""
+    return secrets.redacted(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    pieces = sentencepiece_lattice.Pieces.from_model(public_tokenizers.path(TOKENIZER))
+    return sentencepiece_lattice.encode(docs, pieces).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("near_dedup", dedup),
+    ("decontamination", decontamination),
+    ("secrets", redaction),
+    ("sentencepiece", tokens),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
