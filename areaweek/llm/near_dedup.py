@@ -10,7 +10,8 @@
 4. Members of a bucket that are still apart are compared in blocks, inside a task, by
    their odd sketches: minima of one permutation dealt to bins, folded into a parity
    bitmap. The population count of two bitmaps' XOR tells how many minima differ.
-   Only pairs that could be links within five standard deviations become rows.
+   Only pairs that could be links within four and a half standard deviations become rows,
+   and each only in the first band that it shares.
 5. Each such pair is decided on the full sets; links are joined into components.
 
 Blocks are bounded, so a large bucket becomes many tasks; no step gathers a bucket.
@@ -40,7 +41,7 @@ SHINGLE = 5
 ROWS, BANDS = 5, 40
 BINS = 2048  # of the permutation whose minima a sketch folds
 BITS = 2048  # of a sketch
-SIGMAS = 5.0
+SIGMAS = 4.5
 BLOCK = 512  # members of a bucket that are compared with each other in one go
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -111,7 +112,7 @@ def could_link(xor: np.ndarray, n_a, n_b, filled_a, filled_b, percent: int) -> n
     drawn = used * j * (1 - j) * np.maximum(1 - used / union, 0.0) + used * used / BINS * 0.05
     mu = apart / BITS
     folded = BITS * ((1 - np.exp(-4 * mu)) / 4 - mu * np.exp(-4 * mu)) * np.exp(4 * mu) / 4
-    return common >= j * used - SIGMAS * np.sqrt(drawn + folded) - 2
+    return common >= j * used - SIGMAS * np.sqrt(drawn + folded) - 1
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -206,25 +207,29 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 def _across(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs of one bucket but different groups whose sketches allow a link, in blocks.
 
-    ``members``: ``key, node, comp, n``. A bucket of n members has ceil(n / BLOCK)
-    blocks; every pair of blocks is one group of rows, so tasks are bounded.
+    ``members``: ``key, band, node, comp, n``. A bucket of n members has ceil(n / BLOCK)
+    blocks; every pair of blocks is one group of rows, so tasks are bounded. A pair
+    that shares several bands is reported in the first; if that bucket has no other
+    member, the pair has been decided with its leader.
     """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     dealt = (
         members.withColumn("blocks", blocks)
         .withColumn("own", own)
-        .join(nodes.select("node", "n_shingles", "sketch", "filled"), "node")
+        .join(nodes, "node")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("lo", F.least("own", "other"))
         .withColumn("hi", F.greatest("own", "other"))
-        .select("key", "lo", "hi", "own", "node", "comp", "n_shingles", "sketch", "filled")
+        .select("key", "lo", "hi", "band", "own", "node", "comp", "n_shingles", "bands", "sketch", "filled")
     )
 
     def compare(t: pa.Table) -> pa.Table:
         own, lo, hi = (t.column(c).to_numpy() for c in ("own", "lo", "hi"))
         node, comp, size, filled = (t.column(c).to_numpy() for c in ("node", "comp", "n_shingles", "filled"))
         sketch = _words64(t.column("sketch").combine_chunks())
+        keys = t.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), BANDS)
+        band = t.column("band")[0].as_py()
         same = lo[0] == hi[0]
         left, right = (np.arange(len(node)),) * 2 if same else (np.flatnonzero(own == lo[0]), np.flatnonzero(own == hi[0]))
         a, b = [], []
@@ -235,9 +240,10 @@ def _across(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             ok &= comp[i, None] != comp[None, right]
             if same:
                 ok &= i[:, None] < right[None, :]
-            x, y = np.nonzero(ok)
-            a.append(node[i[x]])
-            b.append(node[right[y]])
+            x, y = (i[z] if k == 0 else right[z] for k, z in enumerate(np.nonzero(ok)))
+            first = np.argmax(keys[x] == keys[y], axis=1) == band
+            a.append(node[x[first]])
+            b.append(node[y[first]])
         a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
@@ -281,7 +287,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = SHINGLE) -> Dat
         .select("node", "n_shingles", "bands", "sketch", "filled"),
         "nodes",
     )
-    banded = nodes.select("node", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("key"), "node")
+    banded = nodes.select("node", F.posexplode("bands").alias("band", "value"))
+    banded = banded.select(F.xxhash64("band", "value").alias("key"), "band", "node")
     buckets = banded.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
     members = materialize(banded.join(buckets, "key"), "buckets")
     sets = materialize(_sets(docs, members.select("node").distinct(), n).dropDuplicates(["node"]), "sets")
@@ -292,7 +299,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = SHINGLE) -> Dat
     # groups so far, good enough to leave out pairs that are already together
     up = first.groupBy("b").agg(F.min("a").alias("a"))
     top = up.toDF("node", "a").join(up.toDF("a", "above"), "a", "left").select("node", F.coalesce("above", "a").alias("comp"))
-    known = members.where("n > 2").join(top, "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
+    known = members.where("n > 2").join(top, "node", "left").select("key", "band", "node", "n", F.coalesce("comp", "node").alias("comp"))
     known = materialize(known, "grouped")
     open_ = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     second = _decide(_across(known.join(open_, "key", "left_semi"), nodes, percent), sets, percent)
