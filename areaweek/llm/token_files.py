@@ -441,7 +441,7 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
                 if some:
                     yield _batch(some)
 
-    files = spark.read.format("binaryFile").load(f"{folder}/part-*.ids").select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.ids").load(folder).select("path", "content")
     docs = files.mapInArrow(read, "file string, doc_id bigint, first bigint, n_tokens bigint, ids_crc32 bigint, ids array<int>")
     done = spark.read.schema("file string, n bigint").parquet(f"{folder}/files")
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
