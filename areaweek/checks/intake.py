@@ -443,9 +443,11 @@ def _row_docs(reports):
     )
 
 
-def _column_grid(reports, names):
+def _column_grid(reports, areas):
     """One page per week with a column per nation and a row per priority, urgent
     orders standing for the disease; a title row comes before the header."""
+    names = F.transform(F.array_sort(F.collect_list(F.struct("pos", "district"))), lambda x: x.district)
+    listed = F.broadcast(areas.agg(names.alias("names")))  # one row: the nations
     # At most one entry per nation and row.
     per_row = reports.groupBy("year", "week", "priority").agg(
         F.map_from_entries(
@@ -455,15 +457,17 @@ def _column_grid(reports, names):
     disease = F.when(F.col("priority") == "1-URGENT", "Dengue  Fever").otherwise(F.col("priority"))
     cells = F.concat(
         F.array(disease),
-        F.transform(F.lit(names), lambda n: F.try_element_at("by_area", n)),
+        F.transform("names", lambda n: F.try_element_at("by_area", n)),
     )
-    body = per_row.select(
+    body = per_row.crossJoin(listed).select(
         "year", "week", (F.substring("priority", 1, 1).cast("int") + 1).alias("row_idx"),
         cells.alias("cells"),
     )
-    header = ["Disease", *[f" {n}\n" for n in names]]
-    lead = F.inline(F.array(_row(0, "Weekly return", names[0]), _row(1, *header)))
-    weeks = per_row.select("year", "week").distinct()
+    header = F.concat(F.array(F.lit("Disease")), F.transform("names", lambda n: F.concat(F.lit(" "), n, F.lit("\n"))))
+    title = F.array(F.lit("Weekly return"), F.get("names", F.lit(0)))
+    two = [F.struct(F.lit(i).alias("row_idx"), c.alias("cells")) for i, c in enumerate([title, header])]
+    lead = F.inline(F.array(*two))
+    weeks = per_row.select("year", "week").distinct().crossJoin(listed)
     rows = T.union_sources([body, weeks.select("year", "week", lead)])
     return rows.select(
         _doc_id("cols").alias("doc_id"), _volume_name().alias("file_name"),
@@ -533,7 +537,7 @@ def grid_rows_first_column(spark, sf):
     FROM reports WHERE priority = '1-URGENT'"""
 )
 def grid_cols_areas(spark, sf):
-    names = R.nation_names(spark, sf)
+    names = R.nation_table(spark, sf)
     found = G.columns_are_areas(_column_grid(_reports(spark, sf), names), names)
     return found.select("doc_id", "district", "cases")
 
@@ -547,7 +551,7 @@ def grid_cols_areas(spark, sf):
     WHERE priority = '1-URGENT' AND year BETWEEN 2015 AND 2020"""
 )
 def extract_cases_all(spark, sf):
-    reports, names = _reports(spark, sf), R.nation_names(spark, sf)
+    reports, names = _reports(spark, sf), R.nation_table(spark, sf)
     by_row = G.extract_cases(_row_grid(reports), _row_docs(reports), "area_rows")
     by_column = G.extract_cases(
         _column_grid(reports, names), _column_docs(reports), "area_columns", names

@@ -1,4 +1,4 @@
-"""The forecasting plans on the shared tables, with small forests.
+"""The forecasting plans on the shared tables, with their full forests.
 
 Predictions of two forest implementations are not comparable number by number,
 so these have no SQL twin; tests check their ranges and everything derived.
@@ -12,27 +12,21 @@ from pyspark.sql import functions as F
 
 from areaweek.checks import relations as R
 from areaweek.checks.registry import check
-from areaweek.config import ForestParams
 from areaweek.plans.backtest import backtest
 from areaweek.plans.forecast import forecast_from_weather, forecast_recursive
 
-SMALL_FOREST = ForestParams(trees=12, depth=8)
-
 
 @check()
 def backtest_forest(spark, sf):
-    return backtest(R.panel(spark, sf), SMALL_FOREST).rows
-
-
-@check()
-def backtest_metrics(spark, sf):
-    return backtest(R.panel(spark, sf), SMALL_FOREST).metrics
+    """The test year's rows, each with the error measures of the whole year."""
+    found = backtest(R.panel(spark, sf))
+    return found.rows.crossJoin(F.broadcast(found.metrics))  # one row
 
 
 @check(name="forecast_recursive")
 def forecast_recursive_check(spark, sf):
     weekly = R.written_weather(spark, sf)
-    return forecast_recursive(R.panel(spark, sf, weekly), weekly, SMALL_FOREST)
+    return forecast_recursive(R.panel(spark, sf, weekly), weekly)
 
 
 @check()
@@ -44,6 +38,4 @@ def forecast_weather(spark, sf):
         F.col("T2M").alias("temp_max"),
         F.col("T2M").alias("temp_min"),
     )
-    return forecast_from_weather(
-        R.panel(spark, sf), daily, dt.date(2001, 8, 1), SMALL_FOREST
-    )
+    return forecast_from_weather(R.panel(spark, sf), daily, dt.date(2001, 8, 1))

@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 
 from areaweek.config import WEATHER_MEASURES
 from areaweek.operators.features import baseline, lag_features, temporal_split
-from areaweek.operators.names import inline_names
 from areaweek.operators.panel import clean_panel, join_weather
-from areaweek.operators.rollup import weekly_counts, weekly_rollup
+from areaweek.operators.rollup import merge_parts, weekly_counts, weekly_parts
 from areaweek.plans.backtest import assess
 from areaweek.runtime import materialize
 
@@ -29,12 +28,9 @@ def nations(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def nation_names(spark: SparkSession, sf: str) -> list[str]:
-    """The nations' names in key order; the list is refused when it is not short."""
-    names = inline_names(nations(spark, sf).orderBy("n_nationkey"), "district")
-    if names is None:
-        raise ValueError("too many nations for an inline list")
-    return names
+def nation_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The nations' names with their keys as positions."""
+    return nations(spark, sf).select("district", F.col("n_nationkey").alias("pos"))
 
 
 def placed_orders(spark: SparkSession, sf: str) -> DataFrame:
@@ -48,7 +44,14 @@ def placed_orders(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cases(spark: SparkSession, sf: str) -> DataFrame:
-    return weekly_counts(placed_orders(spark, sf), date="o_orderdate")
+    """Orders per nation and week. They are counted by customer and week first, so a
+    join that has to shuffle moves counts, and few of them for a large customer."""
+    counted = weekly_counts(table(spark, sf, "orders"), key="o_custkey", date="o_orderdate")
+    customers = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    placed = counted.join(customers, counted.o_custkey == customers.c_custkey).join(
+        nations(spark, sf), F.col("c_nationkey") == F.col("n_nationkey")
+    )
+    return placed.groupBy("district", "year", "week").agg(F.sum("cases").alias("cases"))
 
 
 def daily_weather(spark: SparkSession, sf: str) -> DataFrame:
@@ -71,12 +74,23 @@ def daily_weather(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def weather(spark: SparkSession, sf: str) -> DataFrame:
-    return weekly_rollup(
-        daily_weather(spark, sf),
-        sums={"rainfall_mm": "PRECTOTCORR"},
-        means={"temp_avg_c": "T2M", "humidity_pct": "RH2M"},
+    """Weekly weather per nation, from sums and counts by supplier and week."""
+    items = table(spark, sf, "lineitem").select(
+        "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount"
+    )
+    parts = weekly_parts(
+        items,
+        sums={"rainfall_mm": "l_quantity"},
+        means={"temp_avg_c": "l_extendedprice", "humidity_pct": "l_discount"},
+        key="l_suppkey",
+        date="l_shipdate",
         digits=2,
     )
+    suppliers = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
+    placed = parts.join(suppliers, parts.l_suppkey == suppliers.s_suppkey).join(
+        nations(spark, sf), F.col("s_nationkey") == F.col("n_nationkey")
+    )
+    return merge_parts(placed, ["rainfall_mm"], ["temp_avg_c", "humidity_pct"], digits=2)
 
 
 def written_weather(spark: SparkSession, sf: str) -> DataFrame:

@@ -63,19 +63,27 @@ def env_risk(spark, sf):
     return A.env_alerts(R.weather(spark, sf), THRESHOLDS, **COLUMNS)
 
 
-@check(
-    f"""WITH {R.WEATHER_SQL},{ENV_SQL}
-    SELECT district, year, week, env_risk, rainfall_mm FROM env
-    WHERE env_risk <> 'environment_low'
-    ORDER BY env_risk = 'environment_high' DESC, rainfall_mm DESC, district, year, week
-    LIMIT 20"""
-)
+def _env_ranked_sql(worst: str) -> str:
+    return f"""WITH {R.WEATHER_SQL},{ENV_SQL}
+    SELECT district, year, week, env_risk, rainfall_mm,
+           row_number() OVER (ORDER BY {worst} DESC, rainfall_mm DESC NULLS LAST, district, year, week) AS rank
+    FROM env WHERE env_risk <> 'environment_low'"""
+
+
+def _env_ranked(spark, sf, compat):
+    hits = A.env_hits(R.weather(spark, sf), THRESHOLDS, **COLUMNS)
+    order = A.env_alert_order(hits, COLUMNS["rain"], compat)
+    return A.ranked(hits, order).select("district", "year", "week", "env_risk", "rainfall_mm", "rank")
+
+
+@check(_env_ranked_sql("env_risk = 'environment_high'"))
 def env_alerts_worst(spark, sf):
-    ranked = A.env_hits(R.weather(spark, sf), THRESHOLDS, **COLUMNS).orderBy(
-        F.desc(F.col("env_risk") == "environment_high"), F.desc("rainfall_mm"),
-        "district", "year", "week",
-    )
-    return ranked.select("district", "year", "week", "env_risk", "rainfall_mm").limit(20)
+    return _env_ranked(spark, sf, compat=False)
+
+
+@check(_env_ranked_sql("env_risk"))
+def env_alerts_compat(spark, sf):
+    return _env_ranked(spark, sf, compat=True)
 
 
 @check(
@@ -100,12 +108,12 @@ def actions_text(spark, sf):
 
 @check(
     f"""WITH {R.FORECAST_SQL}
-    SELECT * FROM forecast WHERE risk IN ('high', 'critical')
-    ORDER BY horizon_weeks_ahead, predicted_cases DESC"""
+    SELECT *, row_number() OVER (ORDER BY horizon_weeks_ahead, predicted_cases DESC NULLS LAST, district) AS rank
+    FROM forecast WHERE risk IN ('high', 'critical')"""
 )
 def risk_alerts(spark, sf):
     _, _, ahead = R.forecast(spark, sf)
-    return A.risk_alerts(ahead)
+    return A.ranked(A.risk_alerts(ahead), A.risk_alert_order())
 
 
 def _overview_sql(best: str) -> str:

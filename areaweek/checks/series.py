@@ -28,7 +28,7 @@ from areaweek.operators.lookups import (
     weeks_after,
 )
 from areaweek.operators.model import error_metrics
-from areaweek.operators.names import match_by_length
+from areaweek.operators.names import match_names
 from areaweek.operators.panel import canonical_cases, clean_panel, join_weather
 from areaweek.operators.ranking import first_n, last_row
 from areaweek.operators.rollup import (
@@ -230,29 +230,40 @@ def canonical_sum(spark, sf):
 @check(_canonical_sql("pos"))
 def canonical_sum_compat(spark, sf):
     # List order is the nation key.
-    return canonical_cases(_messy(spark, sf), R.nation_names(spark, sf), mode="first")
+    return canonical_cases(_messy(spark, sf), R.nation_table(spark, sf), mode="first", pos="pos")
 
 
-@check(
-    """
-    WITH words AS (SELECT DISTINCT p_name AS name FROM part),
-    hits AS (
-      SELECT doc_id, name FROM documents JOIN words
-        ON contains(lower(text), lower(split_part(name, ' ', 1)))),
-    docs AS (SELECT doc_id, split_part(name, ' ', 1) AS name FROM hits),
-    best AS (SELECT doc_id, max(length(name)) AS n FROM docs GROUP BY 1)
-    SELECT d.doc_id, min(h.name) AS matched
-    FROM documents d LEFT JOIN best b ON d.doc_id = b.doc_id
-         LEFT JOIN docs h ON h.doc_id = d.doc_id AND length(h.name) = b.n
-    GROUP BY d.doc_id
+def _parts_in_documents_sql(order: str) -> str:
+    """Best part name in each document; every part's name is put into one document."""
+    return f"""
+    WITH docs AS (
+      SELECT doc_id, concat_ws(' ', text, p_name) AS text
+      FROM documents LEFT JOIN part ON p_partkey = doc_id + 1),
+    names AS (SELECT trim(p_name) AS name, min(p_partkey) AS pos FROM part GROUP BY 1),
+    best AS (SELECT doc_id, arg_min(name, {order}) AS matched
+             FROM docs JOIN names ON contains(lower(text), lower(name)) GROUP BY 1)
+    SELECT doc_id, matched FROM docs LEFT JOIN best USING (doc_id)
     """
-)
-def names_in_documents(spark, sf):
-    names = R.table(spark, sf, "part").select(
-        F.split("p_name", " ")[0].alias("name")
-    )
+
+
+def _parts_in_documents(spark, sf, mode):
+    parts = R.table(spark, sf, "part").select("p_partkey", "p_name")
     docs = R.table(spark, sf, "documents").select("doc_id", "text")
-    return match_by_length(docs, "text", names, "name", "matched").select("doc_id", "matched")
+    docs = docs.join(parts, F.col("p_partkey") == F.col("doc_id") + 1, "left").select(
+        "doc_id", F.concat_ws(" ", "text", "p_name").alias("text")
+    )
+    found = match_names(docs, "text", parts, "p_name", "matched", mode, "p_partkey")
+    return found.select("doc_id", "matched")
+
+
+@check(_parts_in_documents_sql("{'n': -length(name), 'name': name}"))
+def names_in_documents(spark, sf):
+    return _parts_in_documents(spark, sf, "longest")
+
+
+@check(_parts_in_documents_sql("{'n': pos, 'name': name}"))
+def names_in_documents_first(spark, sf):
+    return _parts_in_documents(spark, sf, "first")
 
 
 @check(f"WITH {R.FEATURES_SQL} SELECT * FROM features")

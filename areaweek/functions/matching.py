@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 MAX_INLINE_NAMES = 200
 
 
+def usable_names(names: Sequence[str]) -> list[str]:
+    """Trimmed names, each once, without empty ones, in the given order."""
+    return list(dict.fromkeys(n.strip(" ") for n in names if n and n.strip(" ")))
+
+
 def in_match_order(names: Sequence[str], mode: str) -> list[str]:
     """``longest`` tries long names first, so no name hides inside another;
     ``first`` keeps the given order."""
@@ -25,16 +30,20 @@ def in_match_order(names: Sequence[str], mode: str) -> list[str]:
 def find_area(text: Column, names: Sequence[str], mode: str = "longest") -> Column:
     """The name contained in ``text`` regardless of case, or null.
 
-    A chain of ``when`` stays in generated code and stops at the first hit.
+    ``text`` should be a column or a lambda variable, as every name looks at it; an
+    expression would be worked out again for each (see ``operators.names``).
     """
-    if not names:
+    ordered = in_match_order(usable_names(names), mode)
+    if not ordered:
         raise ValueError("no area names given")
-    if len(names) > MAX_INLINE_NAMES:
+    if len(ordered) > MAX_INLINE_NAMES:
         raise ValueError("too many names for one expression; use operators.names")
-    lowered = F.lower(text)
-    ordered = in_match_order(names, mode)
-    hit = F.when(F.contains(lowered, F.lit(ordered[0].lower())), ordered[0])
+    return first_contained(F.lower(text), ordered)
+
+
+def first_contained(lowered: Column, ordered: Sequence[str]) -> Column:
+    """The first of the names that the lower-case text contains."""
+    hit = F.when(F.contains(lowered, F.lower(F.lit(ordered[0]))), ordered[0])
     for name in ordered[1:]:
-        hit = hit.when(F.contains(lowered, F.lit(name.lower())), name)
+        hit = hit.when(F.contains(lowered, F.lower(F.lit(name))), name)
     return hit
-

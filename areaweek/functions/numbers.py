@@ -55,8 +55,12 @@ def scaled_sum(c: Column, digits: int) -> Column:
     tasks give the same bits; plain double sums do not. ``floor`` of the shifted
     value stays a primitive operation, where ``round`` goes through decimals.
     """
-    unit = 10**digits
-    return F.sum(F.floor(c * float(unit) + 0.5)).cast("double") / float(unit)
+    return scaled_total(c, digits).cast("double") / float(10**digits)
+
+
+def scaled_total(c: Column, digits: int) -> Column:
+    """The sum in whole units of the last digit."""
+    return F.sum(F.floor(c * float(10**digits) + 0.5))
 
 
 def sum_of(c: Column, digits: int | None = None) -> Column:

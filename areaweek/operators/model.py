@@ -27,23 +27,22 @@ def fit_forest(
     features: Sequence[str],
     params: ForestParams,
     target: str = "cases",
+    keys: Sequence[str] = ("district", "year", "week"),
 ) -> RandomForestRegressionModel:
     """Fit on rows written once to shared storage, since fitting scans them often.
 
-    For deep trees node ids are kept per row instead of walking every tree in each
+    The rows are dealt and sorted by ``keys``, so that one seed gives one forest on any
+    number of files and cores. For deep trees node ids are kept per row instead of walking every tree in each
     pass; their lineage is cut by checkpoints in the shared folder.
     """
     spark = train.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     rows = assemble(train.dropna(subset=[target]), features)
-    rows = materialize(
-        rows.select("features", F.col(target).cast("double").alias("label")), "fit-rows"
-    )
-    # A table of few files would leave most cores idle in every pass.
-    slots = spark.sparkContext.defaultParallelism
-    if len(rows.inputFiles()) < slots:
-        rows = rows.repartition(slots)
+    label = F.col(target).cast("double").alias("label")
+    rows = materialize(rows.select(*keys, "features", label), "fit-rows")
+    order = [*keys, "label"]
+    rows = rows.repartition(params.fit_partitions, *keys).sortWithinPartitions(*order).select("features", "label")
     forest = RandomForestRegressor(
         numTrees=params.trees,
         maxDepth=params.depth,
@@ -52,6 +51,7 @@ def fit_forest(
         featureSubsetStrategy=params.feature_subset,
         maxMemoryInMB=params.stats_memory_mb,
         cacheNodeIds=params.depth > SHALLOW,
+        bootstrap=params.bootstrap,
     )
     return forest.fit(rows)
 

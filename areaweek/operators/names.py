@@ -1,72 +1,100 @@
-"""Name matching when the names live in a table."""
+"""Name matching when the names live in a table.
+
+The result is the same whatever the number of names and whichever plan finds it:
+names are trimmed, empty ones and repeats don't count, and the best of several hits
+is the longest, then the alphabetically first, or with ``mode="first"`` the one with
+the smallest position.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from areaweek.functions.matching import MAX_INLINE_NAMES, find_area
+from areaweek.functions.matching import first_contained, in_match_order, usable_names
 from areaweek.functions.text import clean_text
 
+#: Up to so many names are compared in one expression; more are joined.
+INLINE_NAMES = 30
 BROADCAST_BYTES = 16 << 20
 ROW_BYTES = 64  # what a row takes beside its text
 
-def inline_names(names: DataFrame, col: str) -> list[str] | None:
-    """The names as a list when there are few enough for one expression."""
-    found = names.select(col).where(F.col(col).isNotNull()).limit(MAX_INLINE_NAMES + 1).collect()
-    return [r[0] for r in found] if len(found) <= MAX_INLINE_NAMES else None
+
+def name_table(names: DataFrame, name_col: str, mode: str, pos_col: str | None = None) -> DataFrame:
+    """``_name``, ``_pos``: each usable name once; the smaller ``_pos``, the better."""
+    if mode == "first":
+        if pos_col is None:
+            raise ValueError("mode 'first' needs a column with the names' positions")
+        pos = F.struct(F.col(pos_col).cast("long").alias("a"), F.trim(name_col).alias("b"))
+    elif mode == "longest":
+        name = F.trim(name_col)
+        pos = F.struct((-F.length(name)).cast("long").alias("a"), name.alias("b"))
+    else:
+        raise ValueError(f"unknown match mode: {mode}")
+    named = names.select(F.trim(name_col).alias("_name"), pos.alias("_pos"))
+    return named.where(F.length("_name") > 0).groupBy("_name").agg(F.min("_pos").alias("_pos"))
+
+
+def behind(df: DataFrame, **cols: Column) -> DataFrame:
+    """Adds columns behind a generator, so that they are worked out once for all uses."""
+    made = F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))
+    return df.select("*", F.inline(made))
 
 
-def match_by_length(
-    df: DataFrame, text_col: str, names: DataFrame, name_col: str, out: str
+def match_list(
+    df: DataFrame, text_col: str, names: Sequence[str], out: str = "matched", mode: str = "longest"
 ) -> DataFrame:
-    """Longest contained name for every row, by an equi join on substrings.
+    """Add the name of a short list found in ``text_col``."""
+    ordered = in_match_order(usable_names(names), mode)
+    if not ordered:
+        return df.withColumn(out, F.lit(None).cast("string"))
+    tidy = behind(df, _text=F.lower(clean_text(F.col(text_col))))
+    return tidy.withColumn(out, first_contained(F.col("_text"), ordered)).drop("_text")
+
+
+def match_by_join(df: DataFrame, text_col: str, known: DataFrame, out: str) -> DataFrame:
+    """Best contained name for every row, by an equi join on the names' beginnings.
 
-    Each distinct text yields its substrings of every length some name has;
-    those that equal a name are the hits. Candidates are hits only, so no text
-    meets every name. Texts travel as their digest. The names are broadcast when
-    their counted size allows it; otherwise both sides shuffle on the substring.
+    Each text yields, for every position, as many characters as the longest name has.
+    Their first characters, as many as the shortest name has, are joined to those of
+    the names, and the rest is compared. Rows are told apart by the digest of their
+    text; texts themselves are not shuffled. The names are broadcast when their counted
+    size allows it. Null and empty texts take no part.
     """
-    known = (
-        names.select(F.col(name_col).alias("_name"))
-        .where(F.length("_name") > 0)
-        .distinct()
-        .withColumn("_part", F.lower("_name"))
-    )
-    # The lengths are at most as many as the longest name has characters.
+    known = known.withColumn("_part", F.lower("_name"))
     size = known.agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum(F.octet_length("_name") + F.octet_length("_part")).alias("bytes"),
-        F.sort_array(F.collect_set(F.length("_part"))).alias("lengths"),
+        F.sum(2 * F.octet_length("_name") + F.octet_length("_part")).alias("bytes"),
+        F.min(F.length("_part")).alias("least"),
+        F.max(F.length("_part")).alias("most"),
     ).first()
     if not size["n"]:
         return df.withColumn(out, F.lit(None).cast("string"))
+    known = known.withColumn("_key", F.substring("_part", 1, size["least"]))
     if size["bytes"] + ROW_BYTES * size["n"] <= BROADCAST_BYTES:
         known = F.broadcast(known)
 
-    keyed = df.withColumn("_tid", F.sha2(F.coalesce(text_col, F.lit("")), 256))
-    texts = (
-        keyed.groupBy("_tid")
-        .agg(F.first(text_col).alias("_text"))
-        .select("_tid", F.lower(clean_text(F.col("_text"))).alias("_text"))
-    )
-    # An empty match with a look-ahead of n characters at every position walks
-    # the text once; cutting by position would start over for each one.
-    every = F.lit([f"(?s)(?=(.{{{n}}}))" for n in size["lengths"]])
-    parts = texts.withColumn("_pattern", F.explode(every)).select(
-        "_tid",
-        F.explode(
-            F.array_distinct(
-                F.regexp_extract_all(F.col("_text"), F.col("_pattern"), F.lit(1))
-            )
-        ).alias("_part"),
+    filled = F.coalesce(F.length(text_col) > 0, F.lit(False))
+    # rows without a text get keys that match nothing and lie apart
+    nothing = F.concat(F.lit("none "), F.pmod(F.monotonically_increasing_id(), F.lit(10_000)).cast("string"))
+    keyed = df.withColumn("_tid", F.when(filled, F.sha2(text_col, 256)).otherwise(nothing))
+    texts = behind(
+        df.where(filled).select(F.sha2(text_col, 256).alias("_tid"), F.col(text_col).alias("_t")),
+        _text=F.lower(clean_text(F.col("_t"))),
     )
+    # An empty match with a look-ahead at every position walks the text once;
+    # cutting by position would start over for each one.
+    every = F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{size['least']},{size['most']}}}))"), F.lit(1))
+    places = texts.select("_tid", F.explode(every).alias("_here"))
     best = (
-        parts.join(known, "_part")
+        places.withColumn("_key", F.substring("_here", 1, size["least"]))
+        .join(known, "_key")
+        .where(F.startswith("_here", "_part"))
         .groupBy("_tid")
-        # Longest first, then alphabetical, as the inline matcher does.
-        .agg(F.min(F.struct((-F.length("_name")).alias("n"), F.col("_name"))).alias("_best"))
-        .select("_tid", F.col("_best._name").alias(out))
+        .agg(F.min("_pos").alias("_best"), F.min_by("_name", "_pos").alias(out))
+        .select("_tid", out)
     )
     return keyed.join(best, "_tid", "left").drop("_tid")
 
@@ -78,12 +106,11 @@ def match_names(
     name_col: str,
     out: str = "matched",
     mode: str = "longest",
+    pos_col: str | None = None,
 ) -> DataFrame:
-    """Add the area name found in ``text_col``; the size of the list picks the way."""
-    listed = inline_names(names, name_col)
-    if listed is not None:
-        tidy = df.withColumn("_text", clean_text(F.col(text_col)))
-        return tidy.withColumn(out, find_area(F.col("_text"), listed, mode)).drop("_text")
-    if mode != "longest":
-        raise ValueError("list order is only kept for short name lists")
-    return match_by_length(df, text_col, names, name_col, out)
+    """Add the area name found in ``text_col``; the number of names picks the plan only."""
+    known = name_table(names, name_col, mode, pos_col)
+    few = known.orderBy("_pos").limit(INLINE_NAMES + 1).collect()
+    if len(few) > INLINE_NAMES:
+        return match_by_join(df, text_col, known, out)
+    return match_list(df, text_col, [r["_name"] for r in few], out, "first")

@@ -8,10 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from areaweek.config import AREA_NAMES
-from areaweek.functions.matching import find_area
 from areaweek.functions.numbers import real
-from areaweek.functions.text import clean_text
-from areaweek.operators.names import match_names
+from areaweek.operators.names import match_list, match_names
 
 KEYS = ["district", "year", "week"]
 
@@ -20,19 +18,22 @@ def canonical_cases(
     raw: DataFrame,
     names: Sequence[str] | DataFrame = AREA_NAMES,
     mode: str = "longest",
+    pos: str | None = None,
 ) -> DataFrame:
-    """Recognise each label's area, drop the rest, add up duplicates."""
+    """Recognise each label's area, drop the rest, add up duplicates.
+
+    Equal labels of a week are added up before any is looked at. A table of names
+    has them in its first column; ``mode="first"`` then needs their positions in ``pos``.
+    """
+    dated = raw.select("district", "year", "week", "cases").dropna(subset=["year", "week"])
+    labels = dated.groupBy(*KEYS).agg(F.sum("cases").alias("cases"))
     if isinstance(names, DataFrame):
-        found = match_names(raw, "district", names, names.columns[0], "_area", mode)
+        found = match_names(labels, "district", names, names.columns[0], "_area", mode, pos)
     else:
-        found = raw.withColumn("_label", clean_text(F.col("district"))).withColumn(
-            "_area", find_area(F.col("_label"), names, mode)
-        )
+        found = match_list(labels, "district", names, "_area", mode)
     return (
         found.where(F.col("_area").isNotNull())
-        .select(F.col("_area").alias("district"), "year", "week", "cases")
-        .dropna(subset=["year", "week"])
-        .groupBy(*KEYS)
+        .groupBy(F.col("_area").alias("district"), "year", "week")
         .agg(F.coalesce(F.sum("cases"), F.lit(0)).alias("cases"))
     )
 
@@ -57,9 +58,10 @@ def build_weekly_panel(
     names: Sequence[str] | DataFrame = AREA_NAMES,
     drop_missing: bool = False,
     mode: str = "longest",
+    pos: str | None = None,
 ) -> DataFrame:
     """Raw extracted cases and weekly weather to the joined weekly panel."""
-    return join_weather(canonical_cases(cases_raw, names, mode), weather, drop_missing)
+    return join_weather(canonical_cases(cases_raw, names, mode, pos), weather, drop_missing)
 
 
 def clean_panel(panel: DataFrame, require: Sequence[str] = ()) -> DataFrame:

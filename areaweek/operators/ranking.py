@@ -11,24 +11,16 @@ from pyspark.sql import functions as F
 def last_row(
     df: DataFrame, key: str = "district", order: Sequence[str] = ("year", "week")
 ) -> DataFrame:
-    """The row with the greatest ``order`` per key.
-
-    An aggregate rather than a window: each task keeps one row per key before
-    anything is shuffled.
-    """
-    row = F.max_by(F.struct(*df.columns), F.struct(*order))
-    return df.groupBy(key).agg(row.alias("_row")).select("_row.*")
+    """The row with the greatest ``order`` per key; the rank limit also runs before the shuffle."""
+    return first_n(df, key, 1, [F.desc(c) for c in order])
 
 
 def worst_row(df: DataFrame, by: str, key: str = "district", tie: str | None = None) -> DataFrame:
-    """The row with the largest ``by`` per key, nulls last; ``tie`` picks the
-    smallest of equals (a date or number)."""
+    """The row with the largest ``by`` per key, nulls last; of equals the one with the
+    smallest ``tie``, or else the smallest other values, so the choice is fixed."""
     others = [c for c in df.columns if c != key]
-    best = F.row_number().over(
-        Window.partitionBy(key).orderBy(
-            F.desc_nulls_last(by), *([F.asc(tie)] if tie else [])
-        )
-    )
+    rest = [F.asc(tie)] if tie else [F.asc(c) for c in others if c != by]
+    best = F.row_number().over(Window.partitionBy(key).orderBy(F.desc_nulls_last(by), *rest))
     return df.withColumn("_rn", best).where("_rn = 1").select(key, *others)
 
 

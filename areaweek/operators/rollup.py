@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from areaweek.functions.isoweek import iso_week, iso_year, monday_of
-from areaweek.functions.numbers import mean_of, real, sum_of
+from areaweek.functions.numbers import mean_of, real, scaled_total, sum_of
 
 
 def rollup(
@@ -53,6 +53,42 @@ def weekly_rollup(
     return weekly.select(key, iso_year(day).alias("year"), iso_week(day).alias("week"), *values)
 
 
+def weekly_parts(
+    records: DataFrame,
+    sums: Mapping[str, str],
+    means: Mapping[str, str],
+    key: str,
+    date: str,
+    digits: int,
+) -> DataFrame:
+    """Partial weekly sums per ``key``, in whole units of the last of ``digits`` decimals.
+
+    For keys finer than the wanted one: combine by them first, join the few rows that
+    remain to what the wanted key needs, then ``merge_parts``.
+    """
+    dated = records.withColumn("_monday", monday_of(F.col(date))).dropna(subset=[key, "_monday"])
+    aggs = []
+    for out, src in [*sums.items(), *means.items()]:
+        value = real(F.col(src))
+        aggs += [scaled_total(value, digits).alias(f"{out}_units"), F.count(value).alias(f"{out}_n")]
+    return dated.groupBy(key, "_monday").agg(*aggs)
+
+
+def merge_parts(
+    parts: DataFrame, sums: Sequence[str], means: Sequence[str], digits: int, key: str = "district"
+) -> DataFrame:
+    """Weekly sums and means per ``key`` from ``weekly_parts`` that carry it."""
+    unit = 10.0**digits
+    total = {c: F.sum(f"{c}_units").cast("double") / unit for c in [*sums, *means]}
+    n = {c: F.sum(f"{c}_n") for c in means}
+    weekly = parts.groupBy(key, "_monday").agg(
+        *[F.coalesce(total[c], F.lit(0.0)).alias(c) for c in sums],
+        *[F.when(n[c] > 0, total[c] / n[c]).alias(c) for c in means],
+    )
+    day = F.col("_monday")
+    return weekly.select(key, iso_year(day).alias("year"), iso_week(day).alias("week"), *sums, *means)
+
+
 def weekly_counts(
     records: DataFrame, count_as: str = "cases", key: str = "district", date: str = "date"
 ) -> DataFrame:

@@ -8,11 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from areaweek.config import MAP_CENTROIDS
-from areaweek.functions.matching import find_area
 from areaweek.functions.numbers import fixed0, fixed1, half_even, signed
 from areaweek.functions.rules import severity, severity_name, size_band
 from areaweek.operators.lookups import with_last_year
-from areaweek.operators.names import match_names
+from areaweek.operators.names import match_list, match_names
 from areaweek.operators.ranking import last_row, worst_row
 from areaweek.schemas import AREAS
 
@@ -168,10 +167,11 @@ def route_questions(
     default: str,
     text: str = "text",
     mode: str = "longest",
+    pos: str | None = None,
 ) -> DataFrame:
     """The area each question asks about, or ``default`` when it names none."""
     if isinstance(areas, DataFrame):
-        found = match_names(questions, text, areas, areas.columns[0], "district", mode)
+        found = match_names(questions, text, areas, areas.columns[0], "district", mode, pos)
     else:
-        found = questions.withColumn("district", find_area(F.col(text), areas, mode))
+        found = match_list(questions, text, areas, "district", mode)
     return found.withColumn("district", F.coalesce("district", F.lit(default)))

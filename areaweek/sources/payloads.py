@@ -6,7 +6,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from areaweek import schemas
 from areaweek.config import WeatherApi
@@ -31,8 +30,15 @@ HOURLY_ARRAYS = {v: v for v in [*HOURLY_MEANS.values(), *HOURLY_SUMS.values()]}
 OPTIONAL_ARRAYS = ("uv_index_max", "precipitation_probability", "dew_point_2m")
 
 
-def _parsed(payloads: DataFrame, body: T.StructType) -> DataFrame:
-    return payloads.withColumn("_j", F.from_json("body", body))
+def _parsed(payloads: DataFrame, kind: str) -> DataFrame:
+    """Adds the parsed body as ``_j``.
+
+    It stands behind a generator: filters on it would otherwise be pushed below and
+    parse the text again for every field they name.
+    """
+    body = schemas.MAP_BODY if kind == "map" else schemas.FORECAST_BODY
+    made = F.array(F.struct(F.from_json("body", body).alias("_j")))
+    return payloads.select("*", F.inline(made))
 
 
 def _array_ok(block: str, arrays: Sequence[str]) -> Column:
@@ -73,8 +79,7 @@ def _is_valid(kind: str) -> Column:
 
 def mark_payloads(payloads: DataFrame, kind: str) -> DataFrame:
     """Add ``usable``: whether a body parses and holds what its kind needs."""
-    body = schemas.MAP_BODY if kind == "map" else schemas.FORECAST_BODY
-    return _parsed(payloads, body).withColumn("usable", _is_valid(kind)).drop("_j")
+    return _parsed(payloads, kind).withColumn("usable", _is_valid(kind)).drop("_j")
 
 
 def split_payloads(payloads: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
@@ -90,9 +95,11 @@ def map_rows(
 
     Dates are those of the first parameter; others are null where they lack one.
     """
-    parsed = _parsed(payloads, schemas.MAP_BODY).select(
-        key, F.col("_j.properties.parameter").alias("_p")
-    )
+    return _map_rows(_parsed(payloads, "map"), key, parameters)
+
+
+def _map_rows(parsed: DataFrame, key: str, parameters: Sequence[str]) -> DataFrame:
+    parsed = parsed.select(key, F.col("_j.properties.parameter").alias("_p"))
     dates = F.map_keys(F.try_element_at("_p", F.lit(parameters[0])))
     rows = parsed.select(key, "_p", F.explode(dates).alias("_d"))
     return rows.select(
@@ -109,15 +116,16 @@ def daily_rows(
     payloads: DataFrame, arrays: Mapping[str, str] = DAILY_14_ARRAYS, key: str = "district"
 ) -> DataFrame:
     """Daily arrays to one row per date."""
-    rows = _zip_block(_parsed(payloads, schemas.FORECAST_BODY), "daily", arrays, key, "date")
-    return rows.withColumn("date", F.to_date("date"))
+    return _daily_rows(_parsed(payloads, "daily"), arrays, key)
+
+
+def _daily_rows(parsed: DataFrame, arrays: Mapping[str, str], key: str) -> DataFrame:
+    return _zip_block(parsed, "daily", arrays, key, "date").withColumn("date", F.to_date("date"))
 
 
 def hourly_rows(payloads: DataFrame, key: str = "district") -> DataFrame:
     """Hourly arrays to one row per hour."""
-    rows = _zip_block(
-        _parsed(payloads, schemas.FORECAST_BODY), "hourly", HOURLY_ARRAYS, key, "ts"
-    )
+    rows = _zip_block(_parsed(payloads, "full"), "hourly", HOURLY_ARRAYS, key, "ts")
     return rows.withColumn("ts", F.to_timestamp_ntz("ts"))
 
 
@@ -133,8 +141,10 @@ def full_rows(payloads: DataFrame, key: str = "district", digits: int | None = N
     one payload per key: both kinds of rows leave the body together and meet in
     one aggregate, so the text is read and parsed once and nothing is joined.
     """
-    parsed = _parsed(payloads, schemas.FORECAST_BODY)
+    return _full_rows(_parsed(payloads, "full"), key, digits)
+
 
+def _full_rows(parsed: DataFrame, key: str, digits: int | None) -> DataFrame:
     def rows(block: str, arrays: Mapping[str, str]) -> Column:
         n = F.size(f"_j.{block}.time")
         blank = F.array_repeat(F.lit(None).cast("double"), n)
@@ -176,12 +186,12 @@ def parse_weather(payloads: DataFrame, kind: str, digits: int | None = None) ->
     ``map``: observation service; ``daily``: 14-day arrays; ``full``: 7-day
     forecast with hourly readings averaged into their dates.
     """
-    good, _ = split_payloads(payloads, kind)
+    good = _parsed(payloads, kind).where(_is_valid(kind))
     if kind == "map":
-        return map_rows(good)
+        return _map_rows(good, "district", MAP_PARAMETERS)
     if kind == "daily":
-        return daily_rows(good)
-    return full_rows(good, digits=digits).select(*schemas.FORECAST_7DAY.fieldNames())
+        return _daily_rows(good, DAILY_14_ARRAYS, "district")
+    return _full_rows(good, "district", digits).select(*schemas.FORECAST_7DAY.fieldNames())
 
 
 def request_manifest(areas: DataFrame, api: WeatherApi = WeatherApi()) -> DataFrame:

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from areaweek.config import AREA_NAMES
-from areaweek.functions.matching import find_area
+from areaweek.functions.matching import first_contained, in_match_order, usable_names
+from areaweek.operators.names import behind, match_names
 from areaweek.functions.text import (
     clean_text,
     digits_to_int,
@@ -108,33 +109,50 @@ def rows_are_areas(grids: DataFrame, layout: str = "area_rows") -> DataFrame:
     )
 
 
+def _named_cells(rows: DataFrame, names: Sequence[str] | DataFrame, mode: str, pos: str | None) -> DataFrame:
+    """``PAGE, row_idx, areas``: place and area of every cell that names one, by place.
+
+    With a list, cells are cleaned once and matched in place, and only in rows whose
+    whole text names an area; with a table, the cells' texts are joined to it.
+    """
+    if isinstance(names, DataFrame):
+        cells = rows.select(*PAGE, "row_idx", F.posexplode("cells").alias("at", "cell")).where(F.length("cell") > 0)
+        found = match_names(cells, "cell", names, names.columns[0], "district", mode, pos)
+        hits = found.where(F.col("district").isNotNull())
+        listed = hits.groupBy(*PAGE, "row_idx").agg(F.array_sort(F.collect_list(F.struct("at", "district"))).alias("areas"))
+        none = F.array().cast("array<struct<at:int,district:string>>")
+        keys = rows.select(*PAGE, "row_idx").join(listed, [*PAGE, "row_idx"], "left")
+        return keys.select(*PAGE, "row_idx", F.coalesce("areas", none).alias("areas"))
+    ordered = in_match_order(usable_names(names), mode)
+    clean = F.transform("cells", lambda c: F.lower(clean_text(c)))
+    tidy = behind(rows.select(*PAGE, "row_idx", "cells"), _row=F.lower(clean_text(_row_text("cells"))))
+    some = first_contained(F.col("_row"), ordered).isNotNull()
+    tidy = behind(tidy, _cells=F.when(some, clean).otherwise(F.array().cast("array<string>")))
+    areas = F.transform("_cells", lambda c, i: F.struct(i.alias("at"), first_contained(c, ordered).alias("district")))
+    return tidy.select(*PAGE, "row_idx", F.filter(areas, lambda x: x.district.isNotNull()).alias("areas"))
+
+
 def columns_are_areas(
-    grids: DataFrame, names: Sequence[str] = AREA_NAMES, mode: str = "longest"
+    grids: DataFrame,
+    names: Sequence[str] | DataFrame = AREA_NAMES,
+    mode: str = "longest",
+    pos: str | None = None,
 ) -> DataFrame:
     """Tables with one column per area: the first dengue row, turned into rows.
 
     The header is the first row naming several areas, else the first row.
     """
     rows = filled_rows(grids)
-    # Cells are matched one by one only in rows whose whole text names an area.
-    areas = F.when(
-        find_area(clean_text(_row_text("cells")), names).isNotNull(),
-        F.transform("cells", lambda c: find_area(clean_text(c), names, mode)),
-    )
-    named = rows.select(*PAGE, "row_idx", areas.alias("areas"))
-    hits = F.size(F.filter("areas", lambda a: a.isNotNull()))
+    named = _named_cells(rows, names, mode, pos)
     first = (
         named.groupBy(*PAGE)
         .agg(
-            F.min(F.when(hits >= HEADER_AREAS, F.col("row_idx"))).alias("best"),
+            F.min(F.when(F.size("areas") >= HEADER_AREAS, F.col("row_idx"))).alias("best"),
             F.min("row_idx").alias("top"),
         )
         .select(*PAGE, F.coalesce("best", "top").alias("header_idx"))
     )
-    columns = F.filter(
-        F.transform("areas", lambda a, i: F.struct(i.alias("at"), a.alias("district"))),
-        lambda s: (s["at"] > 0) & s["district"].isNotNull(),
-    )
+    columns = F.filter("areas", lambda s: s["at"] > 0)
     useful = named.select(*PAGE, "row_idx", columns.alias("columns")).where(
         F.size("columns") > 0
     )
@@ -145,14 +163,15 @@ def columns_are_areas(
         rows.where(F.contains(label, F.lit(DISEASE_WORD)))
         .join(places, PAGE)
         .where(F.col("row_idx") > F.col("header_idx"))
-        .groupBy(*PAGE)
-        .agg(F.min(F.struct("row_idx", "cells", "columns")).alias("_r"))
+        .select(*PAGE, "row_idx", "cells", "columns")
     )
+    top = disease.groupBy(*PAGE).agg(F.min("row_idx").alias("row_idx"))
+    disease = disease.join(top, [*PAGE, "row_idx"]).dropDuplicates([*PAGE, "row_idx"])
     tidy = disease.select(
         *PAGE,
-        F.col("_r.row_idx").alias("row_idx"),
-        F.col("_r.cells").alias("cells"),
-        F.explode("_r.columns").alias("c"),
+        "row_idx",
+        "cells",
+        F.explode("columns").alias("c"),
     ).select(
         *PAGE,
         "row_idx",
@@ -194,8 +213,9 @@ def extract_cases(
     grids: DataFrame,
     docs: DataFrame,
     layout: str,
-    names: Sequence[str] = AREA_NAMES,
+    names: Sequence[str] | DataFrame = AREA_NAMES,
     compat: bool = False,
+    pos: str | None = None,
 ) -> DataFrame:
     """Grids and first-page texts of one layout to (district, year, week, cases)."""
     if layout not in LAYOUT_YEARS:
@@ -203,7 +223,7 @@ def extract_cases(
     years = LAYOUT_YEARS[layout]
     if layout == "area_columns":
         grids, docs = in_volume_years(grids, years), in_volume_years(docs, years)
-        tidy = columns_are_areas(grids, names, mode="first" if compat else "longest")
+        tidy = columns_are_areas(grids, names, mode="first" if compat else "longest", pos=pos)
     else:
         tidy = rows_are_areas(grids, layout)
     dated = doc_year_week(docs, years, use_volume=layout != "area_rows", compat=compat)
