@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from typing import Any
 
-from pyspark.ml.regression import RandomForestRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,10 +81,13 @@ def assess(
     return existing(full, [*BACKTEST.fieldNames(), "is_scored"])
 
 
+Fit = Callable[[DataFrame, list[str], ForestParams], Any]
+
+
 @dataclass(frozen=True)
 class Backtest:
     test_year: int
-    model: RandomForestRegressionModel
+    model: Any
     rows: DataFrame
     metrics: DataFrame
 
@@ -95,10 +99,14 @@ def backtest(
     rates: CapacityRates = CapacityRates(),
     cuts: RiskCuts = RiskCuts(),
     texts: ActionTexts = ActionTexts(),
+    fit: Fit = fit_forest,
 ) -> Backtest:
+    """Fit and score when called: the panel and the fit rows are written, the model is
+    learned. ``fit`` may be any function of rows, features and parameters to a model
+    that adds ``prediction``."""
     clean = materialize(clean_panel(panel, require=WEATHER_MEASURES), "panel")
     split = temporal_split(lag_features(clean), prefer_year)
-    model = fit_forest(split.train, PANEL_FEATURES, forest)
+    model = fit(split.train, PANEL_FEATURES, forest)
     scored = score(model, split.test, PANEL_FEATURES)
     # The baseline averages the training years of the whole panel, including
     # the first weeks that lack lags.

@@ -44,7 +44,7 @@ from areaweek.operators.lookups import (
 from areaweek.operators.model import fit_forest, score
 from areaweek.operators.panel import clean_panel
 from areaweek.operators.rollup import weekly_midpoint
-from areaweek.plans.backtest import existing, with_actions, with_needs
+from areaweek.plans.backtest import Fit, existing, with_actions, with_needs
 from areaweek.runtime import materialize
 from areaweek.schemas import FORECAST_RECURSIVE, FORECAST_WEATHER
 
@@ -126,15 +126,17 @@ def forecast_recursive(
     cuts: RiskCuts = RiskCuts(),
     texts: ActionTexts = SHORT_ACTIONS,
     compat: bool = False,
+    fit: Fit = fit_forest,
 ) -> DataFrame:
     """Forecast the weeks after each area's last one.
 
+    Fits when called: the panel and the fit rows are written and the model is learned.
     ``live`` is weekly forecast weather and may be empty. ``compat`` uses the
     52-week calendar and the separate maxima of year and week.
     """
     clean = materialize(clean_panel(panel, require=WEATHER_MEASURES), "panel")
     split = temporal_split(lag_features(clean))
-    model = fit_forest(split.train, PANEL_FEATURES, forest)
+    model = fit(split.train, PANEL_FEATURES, forest)
     base = baseline(clean, split.train_years)
     rows = recurse(forecast_state(clean, live, base, horizons, compat), model, horizons)
     full = with_actions(with_needs(rows, rates, cuts), texts)
@@ -149,14 +151,15 @@ def forecast_from_weather(
     horizons: int = 2,
     rates: CapacityRates = CapacityRates(),
     cuts: RiskCuts = RiskCuts(),
+    fit: Fit = fit_forest,
 ) -> DataFrame:
     """Forecast the weeks after ``as_of`` from season and forecast weather only.
 
-    Fitted on the whole history. Weeks without forecast weather are left out;
+    Fitted on the whole history, when called. Weeks without forecast weather are left out;
     ``n_days`` tells how many forecast days each week had.
     """
     history = materialize(clean_panel(panel), "panel")
-    model = fit_forest(add_season(history), WEATHER_ONLY_FEATURES, forest)
+    model = fit(add_season(history), WEATHER_ONLY_FEATURES, forest)
     weekly = weekly_midpoint(daily_forecast.withColumn("district", F.trim("district")))
     areas = history.select("district").distinct()
     known = target_weather(spread_targets(areas, weeks_after(as_of, horizons)), weekly)

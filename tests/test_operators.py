@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from areaweek import schemas
+from areaweek.config import ForestParams
 from areaweek.operators import features, lookups, model, names, panel, ranking, rollup
 
 NAN = float("nan")
@@ -139,13 +140,41 @@ def test_table_matching_against_brute_force(spark, monkeypatch):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     table = spark.createDataFrame([(n,) for n in known], "name string")
     want = [(i, brute_longest(t, known) if t else None) for i, t in enumerate(texts)]
-    got = names.match_by_length(df, "t", table, "name", "hit")
-    assert rows(got, "i", "hit") == want
+    def joined(some):
+        return names.match_by_join(df, "t", names.name_table(some, "name", "longest"), "hit")
+
+    assert rows(joined(table), "i", "hit") == want
     monkeypatch.setattr(names, "BROADCAST_BYTES", 0)
-    assert rows(names.match_by_length(df, "t", table, "name", "hit"), "i", "hit") == want
+    assert rows(joined(table), "i", "hit") == want
     assert rows(names.match_names(df, "t", table, "name", "hit"), "i", "hit") == want
-    none = names.match_by_length(df, "t", table.where("false"), "name", "hit")
-    assert none.where("hit is not null").count() == 0
+    assert joined(table.where("false")).where("hit is not null").count() == 0
+
+
+@pytest.mark.parametrize("mode", ["longest", "first"])
+@pytest.mark.parametrize("extra", [0, 300])
+def test_one_result_at_any_number_of_names(spark, mode, extra):
+    """Empty and repeated names change nothing, nor does the plan."""
+    listed = ["Galle", "Kegalle", "", None, " Kandy ", "Galle", "Kegalle"] + [f"no such place {i}" for i in range(extra)]
+    table = spark.createDataFrame([(n, i) for i, n in enumerate(listed)], "name string, pos int")
+    df = spark.createDataFrame([(1, "in KEGALLE"), (2, "kandy"), (3, "nowhere"), (4, ""), (5, None)], "i int, t string")
+    got = dict(rows(names.match_names(df, "t", table, "name", "hit", mode, "pos"), "i", "hit"))
+    assert got == {1: "Kegalle" if mode == "longest" else "Galle", 2: "Kandy", 3: None, 4: None, 5: None}
+    raw = df.selectExpr("t AS district", "2024 AS year", "i AS week", "1.0D AS cases")
+    cases = panel.canonical_cases(raw, table, mode, "pos")
+    assert sorted(r.district for r in cases.collect()) == sorted(filter(None, got.values()))
+
+
+def test_one_forest_on_any_number_of_partitions(spark):
+    rng = random.Random(3)
+    data = [(f"A{i % 9}", 2000 + i // 52, i % 52 + 1, float(rng.randrange(90)), rng.random()) for i in range(900)]
+    df = spark.createDataFrame(data, "district string, year int, week int, cases double, x double")
+    params = ForestParams(trees=4, depth=5)
+    found = []
+    for n in (1, 7):
+        fitted = model.fit_forest(df.repartition(n), ["week", "x"], params)
+        scored = model.score(fitted, df, ["week", "x"]).orderBy("district", "year", "week").collect()
+        found.append([r.predicted_cases for r in scored])
+    assert found[0] == found[1]
 
 
 # ---- features ----
