@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,3 +48,11 @@ def rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[pa.Re
     """Each batch with the Python values of the named columns."""
     for b in batches:
         yield b, [b.column(b.schema.get_field_index(n)).to_pylist() for n in names]
+
+
+def gather(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of ``values`` that begin at ``start``, one after the other."""
+    if not len(size):
+        return values[:0]
+    stop = np.cumsum(size)
+    return values[np.repeat(start - (stop - size), size) + np.arange(stop[-1])]

@@ -27,22 +27,25 @@ from __future__ import annotations
 
 import heapq
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.dataset as pads
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areaweek.llm.common import rows, small_batches
+from areaweek.llm.common import gather, rows, small_batches
 from areaweek.runtime import materialize, run_dir
 
 MARK = "▁"
-CHUNK = re.compile(rf"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
+#: Chunks, and pieces while they are matched, have plain blanks for the marks.
+CHUNK = re.compile(r"\n| *[^ \n]+| +")
 FOLD_MOST = 200  # characters
 
 
@@ -69,9 +72,10 @@ class Pieces:
         return pieces
 
     def rank(self) -> dict[str, tuple[int, int]]:
-        """Rank and id of each usable piece; equal scores share a rank."""
+        """Rank and id of each usable piece, with blanks for marks; equal scores share a rank."""
         order = {s: r for r, s in enumerate(sorted({s for s, ok in zip(self.score, self.usable, strict=True) if ok}, reverse=True))}
-        return {p: (order[s], i) for i, (p, s, ok) in enumerate(zip(self.text, self.score, self.usable, strict=True)) if ok}
+        each = enumerate(zip(self.text, self.score, self.usable, strict=True))
+        return {p.replace(MARK, " "): (order[s], i) for i, (p, s, ok) in each if ok}
 
     def as_bytes(self) -> list[bytes]:
         """What each id decodes to."""
@@ -87,7 +91,7 @@ class Pieces:
 
 
 def chunks(text: str | None) -> list[str]:
-    return CHUNK.findall(MARK + text.replace(" ", MARK)) if text else []
+    return CHUNK.findall(" " + text.replace(MARK, " ")) if text else []
 
 
 # ---- from chunks to ids ---------------------------------------------------------
@@ -253,37 +257,45 @@ def _behind(df: DataFrame, **cols: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
 
 
-def word_ids(words: DataFrame, pieces: Pieces, viterbi: bool = False) -> DataFrame:
-    """``word, ids`` of the distinct chunks in ``words``."""
-    spark = words.sparkSession
-    # a group's buffer is a few hundred bytes: sort only beyond this many words at once
-    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "20000")
-    rank, first_byte = pieces.rank(), pieces.first_byte
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    short = words.where(F.length("word") <= FOLD_MOST).select("word").repartition(parts, "word")
-    table, longest = pieces.table(spark), max(map(len, rank))
+def _fold(words: DataFrame, pieces: Pieces, viterbi: bool) -> DataFrame:
+    """``word, ids`` of hash-partitioned chunks; ids are null where one pass was not enough."""
+    first_byte = pieces.first_byte
+    table, longest = pieces.table(words.sparkSession), max(map(len, pieces.rank()))
     if viterbi:
-        edges = lattice(words.select("word").repartition(parts, "word"), table, longest, score_edge())
+        edges = lattice(words, table, longest, score_edge())
         folded = edges.select("word", F.inline(F.array(fold_viterbi(F.col("edges"), F.length("word")))))
         pairs = F.zip_with(F.slice("cuts", F.lit(1), F.size("way")), "way", lambda s, i: F.struct(s.alias("s"), i.alias("i")))
         each = F.transform(
-            pairs, lambda p: F.when(p.i >= 0, F.array(p.i)).otherwise(_bytes_of(F.substring(F.col("word"), p.s + 1, F.lit(1)), first_byte))
+            pairs,
+            lambda p: F.when(p.i >= 0, F.array(p.i)).otherwise(_bytes_of(F.substring(F.col("word"), p.s + 1, F.lit(1)), first_byte)),
         )
         return folded.select("word", F.flatten(each).alias("ids"))
-    edges = lattice(short, table, longest, rank_edge())
+    edges = lattice(words.where(F.length("word") <= FOLD_MOST), table, longest, rank_edge())
     places = F.transform("edges", lambda x: F.shiftright(x, _LENGTH).bitwiseAND(F.lit(_PLACE)))
     edges = _behind(edges, places=places, length=F.length("word"))
     folded = edges.select("*", F.inline(F.array(fold_merges(F.col("edges"), F.col("places"), F.col("length")))))
     ids = F.when(~F.col("late"), ids_of(F.col("word"), F.col("cuts"), F.col("edges"), F.col("places"), first_byte))
-    done = materialize(folded.select("word", ids.alias("ids")), "word-ids")
+    return folded.select("word", ids.alias("ids"))
+
+
+def _parts(spark: SparkSession) -> int:
+    # a group's buffer is a few hundred bytes: sort only beyond this many words at once
+    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "20000")
+    return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # a chunk becomes many rows
+
+
+def word_ids(words: DataFrame, pieces: Pieces, viterbi: bool = False) -> DataFrame:
+    """``word, ids`` of the distinct chunks in ``words``."""
+    rank, first_byte = pieces.rank(), pieces.first_byte
+    dealt = words.select("word").repartition(_parts(words.sparkSession), "word")
+    folded = dealt.join(_fold(dealt, pieces, viterbi), "word", "left")
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (some,) in rows(batches, "word"):
-            ids = [merge_long(w, rank, first_byte) for w in some]
+        for b, (some, ids) in rows(batches, "word", "ids"):
+            ids = [merge_long(w, rank, first_byte) if i is None else i for w, i in zip(some, ids, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
 
-    late = done.where("ids IS NULL").select("word").union(words.where(F.length("word") > FOLD_MOST).select("word"))
-    return done.where("ids IS NOT NULL").union(late.mapInArrow(rest, "word string, ids array<int>"))
+    return folded.mapInArrow(rest, "word string, ids array<int>")
 
 
 # ---- from texts to ids and back -------------------------------------------------
@@ -298,36 +310,89 @@ def _in_files(docs: DataFrame) -> DataFrame:
     slim = docs.select("doc_id", "text")
     if not slim.inputFiles() or any(k in slim._jdf.queryExecution().optimizedPlan().toString() for k in ("Join", "Aggregate", "Sort", "Repartition", "MapInArrow", "Union")):
         slim = materialize(slim, "texts")
-    split = F.xxhash64(F.input_file_name(), F.expr("input_file_block_start()"))
+    # small numbers; that two splits share one now and then only joins their dictionaries
+    numbers = 64 * max(32, slim.rdd.getNumPartitions())
+    split = F.pmod(F.xxhash64(F.input_file_name(), F.expr("input_file_block_start()")), F.lit(numbers)).cast("int")
     return slim.withColumn("split", split)
 
 
+HELD = 200_000  # chunks in memory at a time
+
+
+def _groups(texts: list[str | None], splits: list[int]) -> Iterator[tuple[int, list[int], list[str]]]:
+    """Runs of texts of one split with few chunks: the split, how many chunks each text has, and all of them."""
+    counts: list[int] = []
+    held: list[str] = []
+    for i, (t, s) in enumerate(zip(texts, splits, strict=True)):
+        some = chunks(t)
+        counts.append(len(some))
+        held.extend(some)
+        if len(held) >= HELD or i + 1 == len(texts) or splits[i + 1] != s:
+            yield s, counts, held
+            counts, held = [], []
+
+
 def dictionary(docs: DataFrame, pieces: Pieces, viterbi: bool = False) -> str:
-    """Write, for each split of ``docs`` (see ``_in_files``), its chunks and their ids; returns the folder."""
+    """Write, for each split of ``docs`` (see ``_in_files``), its chunks and their ids; returns the folder.
+
+    Each split names its distinct chunks; these meet by chunk, are folded once, and go
+    back to the splits that named them, packed.
+    """
     spark = docs.sparkSession
+    rank, first_byte = pieces.rank(), pieces.first_byte
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, set[str]] = {}
+        current, seen = None, set()
         for _, (texts, splits) in rows(batches, "text", "split"):
-            new: dict[int, set[str]] = {}
-            for t, s in zip(texts, splits, strict=True):
-                new.setdefault(s, set()).update(chunks(t))
-            for s, words in new.items():
-                words -= seen.get(s, set())
-                seen = {s: seen.get(s, set())}  # splits follow one another
-                seen[s] |= words
-                some = list(words)
-                for at in range(0, len(some), 100_000):
-                    part = some[at : at + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([s] * len(part), pa.int64())], names=["word", "split"])
-
-    uses = docs.select("text", "split").mapInArrow(distinct, "word string, split bigint")
-    # at most one number for each split of the input; partial lists combine before the shuffle
-    words = materialize(uses.groupBy("word").agg(F.collect_set("split").alias("splits")), "chunks")
-    ids = word_ids(words.select("word"), pieces, viterbi)
+            for s, _, held in _groups(texts, splits):
+                if s != current or len(seen) > 5 * HELD:  # splits follow one another
+                    current, seen = s, set()
+                new = list(set(held) - seen)
+                seen.update(new)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(new, pa.string()), pa.array(np.full(len(new), s, np.int32))], names=["word", "split"]
+                )
+
+    uses = docs.select("text", "split").mapInArrow(distinct, "word string, split int")
+    # Written in buckets by chunk, so that folding and the join back need no exchange.
+    # A chunk names at most as many splits as the input has.
+    name, n = f"chunks_{uuid.uuid4().hex}", _parts(spark)
+    dealt = uses.repartition(n, "word").groupBy("word").agg(F.collect_set("split").alias("splits"))
+    dealt.write.bucketBy(n, "word").saveAsTable(name)
+    words = spark.table(name)
+    folded = words.join(_fold(words.select("word"), pieces, viterbi).hint("merge"), "word", "left")
+
+    def packed(by_split: dict[int, tuple[list, list]]) -> pa.RecordBatch:
+        blobs = []
+        for words_, ids in by_split.values():
+            batch = pa.RecordBatch.from_arrays([pa.array(words_, pa.string()), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(batch)
+            blobs.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(list(by_split), pa.int32()), pa.array(blobs, pa.binary())], names=["split", "chunks"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_split: dict[int, tuple[list, list]] = {}
+        held = 0
+        for _, (some, splits, ids) in rows(batches, "word", "splits", "ids"):
+            for w, to, i in zip(some, splits, ids, strict=True):
+                i = merge_long(w, rank, first_byte) if i is None else i
+                for s in to:
+                    words_, lists = by_split.setdefault(s, ([], []))
+                    words_.append(w)
+                    lists.append(i)
+                held += len(to) + len(i)
+            if held > 2 * HELD:
+                yield packed(by_split)
+                by_split, held = {}, 0
+        if by_split:
+            yield packed(by_split)
+
     folder = run_dir(spark, "dictionary")
-    each = words.join(ids, "word").select(F.explode("splits").alias("split"), "word", "ids")
-    each.repartition("split").write.partitionBy("split").parquet(folder)
+    each = folded.select("word", "splits", "ids").mapInArrow(pack, "split int, chunks binary")
+    each.repartition("split").write.partitionBy("split").option("compression", "none").parquet(folder)
+    spark.sql(f"DROP TABLE {name}")
     return folder
 
 
@@ -339,31 +404,42 @@ def encode(docs: DataFrame, pieces: Pieces, viterbi: bool = False) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, known = None, {}
+        current, known, flat, start, size = None, None, None, None, None
         for b, (some, splits) in rows(batches, "text", "split"):
-            out = []
-            for t, s in zip(some, splits, strict=True):
-                if t and s != current:
-                    current, known = s, {}
-                    known = _dictionary_of(folder, s)
-                out.append(b"".join(map(known.__getitem__, chunks(t))))
-            sizes = np.array([len(x) // 4 for x in out], np.int64)
-            edges = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            flat = np.frombuffer(b"".join(out), np.int32)
-            key = b.column(b.schema.get_field_index("doc_id"))
-            yield pa.RecordBatch.from_arrays([key, pa.ListArray.from_arrays(pa.array(edges), pa.array(flat))], names=["doc_id", "ids"])
+            keys, at = b.column(b.schema.get_field_index("doc_id")), 0
+            for s, counts, held in _groups(some, splits):
+                if held and s != current:
+                    current = s
+                    known, flat, start, size = _dictionary_of(folder, s)
+                ids, edges = np.empty(0, np.int32), np.zeros(len(counts) + 1, np.int32)
+                if held:
+                    named = pa.array(held, pa.string()).dictionary_encode()
+                    found = pc.index_in(named.dictionary, value_set=known)
+                    if found.null_count:
+                        raise ValueError("the texts have changed since their dictionary was written")
+                    place = found.to_numpy()[named.indices.to_numpy()]
+                    ids = gather(flat, start[place], size[place])
+                    sums = np.concatenate([[0], np.cumsum(size[place])])
+                    edges = sums[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([keys.slice(at, len(counts)), lists], names=["doc_id", "ids"])
+                at += len(counts)
 
     return texts.mapInArrow(look_up, f"doc_id {kind}, ids array<int>")
 
 
-def _dictionary_of(folder: str, split: int) -> dict[str, bytes]:
+def _dictionary_of(folder: str, split: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Chunks of a split; all their ids; where each one's ids start, and how many they are."""
     fs, path = pafs.FileSystem.from_uri(folder)
-    known: dict[str, bytes] = {}
-    for batch in pads.dataset(f"{path}/split={split}", filesystem=fs, format="parquet").to_batches(columns=["word", "ids"]):
-        ids = batch.column(1)
-        flat, at = ids.values.to_numpy().astype(np.int32).tobytes(), (ids.offsets.to_numpy() * 4).tolist()
-        known.update(zip(batch.column(0).to_pylist(), [flat[x:y] for x, y in zip(at, at[1:], strict=False)], strict=True))
-    return known
+    words, ids, sizes = [], [], []
+    for batch in pads.dataset(f"{path}/split={split}", filesystem=fs, format="parquet").to_batches(columns=["chunks"]):
+        for blob in batch.column(0):
+            part = pa.ipc.open_stream(blob.as_buffer()).read_next_batch()
+            words.append(part.column(0))
+            ids.append(part.column(1).flatten().to_numpy())
+            sizes.append(np.diff(part.column(1).offsets.to_numpy()))
+    size = np.concatenate(sizes).astype(np.int64)
+    return pa.concat_arrays(words), np.concatenate(ids), np.cumsum(size) - size, size
 
 
 def decode(encoded: DataFrame, pieces: Pieces) -> DataFrame:

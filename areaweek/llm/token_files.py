@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from areaweek.llm.common import BREAKS, rows, small_batches
+from areaweek.llm.common import BREAKS, gather, rows, small_batches
 from areaweek.runtime import materialize, run_dir
 
 TABLE, FILE = b"RNST\x01\0\0\0", b"RNSF\x01\0\0\0"
@@ -87,7 +87,7 @@ class WordEncoder:
         pairs = unit[place]  # two units of each word, the second often empty
         n = size[pairs].sum(axis=1)
         before = np.concatenate([[0], np.cumsum(n)])
-        ids = _gather(ids_of, start[pairs.ravel()], size[pairs.ravel()]) if len(pairs) else ids_of
+        ids = gather(ids_of, start[pairs.ravel()], size[pairs.ravel()]) if len(pairs) else ids_of
         edges = before[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
         end = np.array([END_ID], "<u4")
         return [np.concatenate([ids[x:y], end]) for x, y in zip(edges, edges[1:], strict=False)]
@@ -123,12 +123,6 @@ class WordEncoder:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
 
-def _gather(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The runs of ``values`` that begin at ``start``, one after the other."""
-    stop = np.cumsum(size)
-    return values[np.repeat(start - (stop - size), size) + np.arange(stop[-1])]
-
-
 _encoders: dict[str, WordEncoder] = {}
 
 
