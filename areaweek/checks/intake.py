@@ -352,6 +352,20 @@ def pending_links(spark, sf):
     return L.pending_links(pages, done, order="page_id", marker=MARKER)
 
 
+@check(
+    f"""WITH {ANCHORS_SQL},
+    hits AS (
+      SELECT page_id, arg_min(href, i) AS href FROM anchors
+      WHERE lower(trim(text)) IN ('the', 'de', 'que') GROUP BY 1),
+    ahead AS (
+      SELECT DISTINCT regexp_extract(p.url, '^(https?://[^/?#]+)', 1) || h.href AS url
+      FROM pages p JOIN hits h ON p.page_id = h.page_id)
+    SELECT url FROM ahead WHERE url IS NOT NULL AND url NOT IN (SELECT url FROM pages WHERE url IS NOT NULL)"""
+)
+def pending_pages(spark, sf):
+    return L.pending_pages(_pages(spark, sf), texts=("the", "de", "que"))
+
+
 # ---- report grids ----
 
 # Order years 1994..2001 read as report years 2018..2025.
@@ -548,7 +562,9 @@ def grid_cols_areas(spark, sf):
     FROM reports WHERE year BETWEEN 2021 AND 2025 GROUP BY ALL
     UNION ALL
     SELECT 'area_columns', district, year, week, n FROM reports
-    WHERE priority = '1-URGENT' AND year BETWEEN 2015 AND 2020"""
+    WHERE priority = '1-URGENT' AND year BETWEEN 2015 AND 2020
+    UNION ALL
+    SELECT 'first_column', district, year, week, CAST(SUM(n) AS BIGINT) FROM reports GROUP BY ALL"""
 )
 def extract_cases_all(spark, sf):
     reports, names = _reports(spark, sf), R.nation_table(spark, sf)
@@ -556,14 +572,48 @@ def extract_cases_all(spark, sf):
     by_column = G.extract_cases(
         _column_grid(reports, names), _column_docs(reports), "area_columns", names
     )
+    by_first = G.extract_cases(_first_grid(reports), _row_docs(reports), "first_column")
     return T.union_sources(
         [
             by_row.withColumn("layout", F.lit("area_rows")),
             by_column.withColumn("layout", F.lit("area_columns")),
+            by_first.withColumn("layout", F.lit("first_column")),
         ]
     )
 
 
+def _first_grid(reports):
+    """One page per week: a header, then a row per nation with its name first."""
+    counts = reports.groupBy("year", "week", "n_nationkey", "district").agg(F.sum("n").alias("n"))
+    body = counts.select(
+        "year", "week", (F.col("n_nationkey") + 1).alias("row_idx"),
+        F.array(F.concat("district", F.lit(" ")), F.lit("-"), F.col("n").cast("string")).alias("cells"),
+    )
+    weeks = reports.select("year", "week").distinct()
+    rows = T.union_sources([body, weeks.select("year", "week", F.inline(F.array(_row(0, "Area", "Zone", "Dengue"))))])
+    return rows.select(
+        _doc_id("rows").alias("doc_id"), F.lit("report.pdf").alias("file_name"),
+        F.lit(1).alias("page_no"), "row_idx", "cells",
+    )
+
+
+@check(
+    f"""WITH {REPORTS_SQL},
+    weeks AS (SELECT DISTINCT year, week FROM reports)
+    SELECT doc_id, reason FROM (
+      SELECT 'rows-' || year || '-' || week AS doc_id,
+             CASE WHEN week % 10 = 0 THEN 'no_date' WHEN year NOT BETWEEN 2021 AND 2025 THEN 'other_years'
+                  WHEN week % 10 = 1 THEN 'no_cases' END AS reason FROM weeks)
+    WHERE reason IS NOT NULL"""
+)
+def rejected_documents(spark, sf):
+    reports = _reports(spark, sf)
+    grids = _row_grid(reports.where(F.col("week") % 10 != 1))
+    blank = F.col("doc_id").rlike("-[1-5]?0$")
+    docs = _row_docs(reports).withColumn("first_page_text", F.when(~blank, F.col("first_page_text")))
+    return G.rejected_documents(grids, docs, "area_rows")
+
+
 @check(
     """
     WITH docs AS (

@@ -17,6 +17,7 @@ from areaweek.operators.features import (
     last_rows,
     latest_period,
     push_last,
+    temporal_split,
 )
 from areaweek.operators.lookups import (
     resolve_weather,
@@ -41,6 +42,9 @@ from areaweek.sources.payloads import join_daily_hourly
 from areaweek.sources.tables import trailing_days, union_sources
 
 
+PREFERRED = 1996  # a year inside the panel
+
+
 def scaled_sum_sql(c: str, digits: int) -> str:
     unit = 10**digits
     return f"CAST(SUM(CAST(floor({c} * {unit} + 0.5) AS BIGINT)) AS DOUBLE) / {unit}"
@@ -289,6 +293,23 @@ def year_split(spark, sf):
     return both.groupBy("year", "part").agg(F.count(F.lit(1)).alias("n"))
 
 
+@check(
+    f"""WITH {R.FEATURES_SQL}
+    SELECT year, CASE WHEN year < {PREFERRED} THEN 'train' ELSE 'test' END AS part, COUNT(*) AS n
+    FROM features WHERE year <= {PREFERRED} GROUP BY ALL"""
+)
+def year_split_preferred(spark, sf):
+    """The split where the preferred year lies inside the panel."""
+    parts = temporal_split(lag_features(R.clean(spark, sf)), prefer=PREFERRED)
+    both = union_sources(
+        [
+            parts.train.select("year", F.lit("train").alias("part")),
+            parts.test.select("year", F.lit("test").alias("part")),
+        ]
+    )
+    return both.groupBy("year", "part").agg(F.count(F.lit(1)).alias("n"))
+
+
 @check(f"WITH {R.ASSESSED_SQL} SELECT * FROM base")
 def baseline_train(spark, sf):
     rows, parts = R.split(spark, sf)

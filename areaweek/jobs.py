@@ -29,9 +29,13 @@ from areaweek.sources.tables import (
 )
 
 
-def requests(spark: SparkSession, out: str) -> None:
-    """Forecast request addresses of all areas."""
-    write_csv(payloads.request_manifest(summary.area_frame(spark, AREA_CAPITALS)), out)
+def requests(spark: SparkSession, out: str, bodies: str = "") -> None:
+    """Forecast request addresses of the areas that ``bodies`` has no payload of yet."""
+    areas = summary.area_frame(spark, AREA_CAPITALS)
+    if bodies:
+        have = read_parquet(spark, bodies, schemas.PAYLOADS).select("district").distinct()
+        areas = areas.join(have, "district", "left_anti")
+    write_csv(payloads.request_manifest(areas), out)
 
 
 def parse_payloads(
@@ -56,11 +60,20 @@ def pending_documents(spark: SparkSession, pages: str, manifest: str, out: str)
     write_csv(links.pending_links(listing, done, order="page_no"), out)
 
 
-def extract_cases(spark: SparkSession, grids: str, docs: str, layout: str, out: str) -> None:
-    """Extracted table grids of one layout to raw case rows."""
+def pending_listings(spark: SparkSession, pages: str, out: str) -> None:
+    """Stored listing pages to the pages they continue on and that are not stored."""
+    write_csv(links.pending_pages(read_parquet(spark, pages)), out)
+
+
+def extract_cases(
+    spark: SparkSession, grids: str, docs: str, layout: str, out: str, rejected: str = ""
+) -> None:
+    """Extracted table grids of one layout to raw case rows; documents without any to ``rejected``."""
     cells = read_parquet(spark, grids, schemas.GRIDS)
     texts = read_parquet(spark, docs, schemas.DOC_TEXT)
     write_csv(reports.extract_cases(cells, texts, layout), out)
+    if rejected:
+        write_csv(reports.rejected_documents(cells, texts, layout), rejected)
 
 
 def weekly_panel(
@@ -136,6 +149,7 @@ JOBS = {
     "parse-payloads": parse_payloads,
     "weather-weeks": weather_weeks,
     "pending-documents": pending_documents,
+    "pending-listings": pending_listings,
     "extract-cases": extract_cases,
     "weekly-panel": weekly_panel,
     "combine": combine,

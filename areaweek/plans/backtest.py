@@ -99,14 +99,14 @@ def backtest(
     rates: CapacityRates = CapacityRates(),
     cuts: RiskCuts = RiskCuts(),
     texts: ActionTexts = ActionTexts(),
-    fit: Fit = fit_forest,
+    fit: Fit | None = None,
 ) -> Backtest:
     """Fit and score when called: the panel and the fit rows are written, the model is
     learned. ``fit`` may be any function of rows, features and parameters to a model
     that adds ``prediction``."""
     clean = materialize(clean_panel(panel, require=WEATHER_MEASURES), "panel")
     split = temporal_split(lag_features(clean), prefer_year)
-    model = fit(split.train, PANEL_FEATURES, forest)
+    model = (fit or fit_forest)(split.train, PANEL_FEATURES, forest)
     scored = score(model, split.test, PANEL_FEATURES)
     # The baseline averages the training years of the whole panel, including
     # the first weeks that lack lags.

@@ -126,7 +126,7 @@ def forecast_recursive(
     cuts: RiskCuts = RiskCuts(),
     texts: ActionTexts = SHORT_ACTIONS,
     compat: bool = False,
-    fit: Fit = fit_forest,
+    fit: Fit | None = None,
 ) -> DataFrame:
     """Forecast the weeks after each area's last one.
 
@@ -136,7 +136,7 @@ def forecast_recursive(
     """
     clean = materialize(clean_panel(panel, require=WEATHER_MEASURES), "panel")
     split = temporal_split(lag_features(clean))
-    model = fit(split.train, PANEL_FEATURES, forest)
+    model = (fit or fit_forest)(split.train, PANEL_FEATURES, forest)
     base = baseline(clean, split.train_years)
     rows = recurse(forecast_state(clean, live, base, horizons, compat), model, horizons)
     full = with_actions(with_needs(rows, rates, cuts), texts)
@@ -151,7 +151,7 @@ def forecast_from_weather(
     horizons: int = 2,
     rates: CapacityRates = CapacityRates(),
     cuts: RiskCuts = RiskCuts(),
-    fit: Fit = fit_forest,
+    fit: Fit | None = None,
 ) -> DataFrame:
     """Forecast the weeks after ``as_of`` from season and forecast weather only.
 
@@ -159,7 +159,7 @@ def forecast_from_weather(
     ``n_days`` tells how many forecast days each week had.
     """
     history = materialize(clean_panel(panel), "panel")
-    model = fit(add_season(history), WEATHER_ONLY_FEATURES, forest)
+    model = (fit or fit_forest)(add_season(history), WEATHER_ONLY_FEATURES, forest)
     weekly = weekly_midpoint(daily_forecast.withColumn("district", F.trim("district")))
     areas = history.select("district").distinct()
     known = target_weather(spread_targets(areas, weeks_after(as_of, horizons)), weekly)

@@ -35,6 +35,18 @@ def next_link(
     return found.withColumn("next_url", resolve(F.col(url), F.col("_href"))).drop("_href")
 
 
+def pending_pages(
+    pages: DataFrame, texts: tuple[str, ...] = NEXT_TEXTS, url: str = "url", html: str = "html"
+) -> DataFrame:
+    """Listing pages to fetch next: where the stored ones continue, less those stored.
+
+    Repeated until there is none, this is the crawl; each round fetches all of them.
+    """
+    ahead = next_link(pages.select(url, html), texts, url, html)
+    wanted = ahead.select(F.col("next_url").alias(url)).where(F.col(url).isNotNull()).distinct()
+    return wanted.join(pages.select(url).distinct(), url, "left_anti")
+
+
 def pending_links(
     pages: DataFrame,
     manifest: DataFrame,

@@ -218,13 +218,52 @@ def extract_cases(
     pos: str | None = None,
 ) -> DataFrame:
     """Grids and first-page texts of one layout to (district, year, week, cases)."""
+    years, tidy = _tidy(grids, layout, names, compat, pos)
+    if layout == "area_columns":
+        docs = in_volume_years(docs, years)
+    dated = doc_year_week(docs, years, use_volume=layout != "area_rows", compat=compat)
+    return tidy.join(dated, "doc_id").select("district", "year", "week", "cases")
+
+
+def _tidy(
+    grids: DataFrame, layout: str, names: Sequence[str] | DataFrame, compat: bool, pos: str | None
+) -> tuple[tuple[int, int] | None, DataFrame]:
+    """The layout's years, and the counts of its tables."""
     if layout not in LAYOUT_YEARS:
         raise ValueError(f"unknown layout: {layout}")
     years = LAYOUT_YEARS[layout]
     if layout == "area_columns":
-        grids, docs = in_volume_years(grids, years), in_volume_years(docs, years)
-        tidy = columns_are_areas(grids, names, mode="first" if compat else "longest", pos=pos)
-    else:
-        tidy = rows_are_areas(grids, layout)
-    dated = doc_year_week(docs, years, use_volume=layout != "area_rows", compat=compat)
-    return tidy.join(dated, "doc_id").select("district", "year", "week", "cases")
+        grids = in_volume_years(grids, years)
+        return years, columns_are_areas(grids, names, mode="first" if compat else "longest", pos=pos)
+    return years, rows_are_areas(grids, layout)
+
+
+def rejected_documents(
+    grids: DataFrame,
+    docs: DataFrame,
+    layout: str,
+    names: Sequence[str] | DataFrame = AREA_NAMES,
+    compat: bool = False,
+    pos: str | None = None,
+) -> DataFrame:
+    """``doc_id, reason`` of the documents that give ``extract_cases`` nothing.
+
+    ``no_date``: no year or week was found; ``other_years``: not of the layout's years;
+    ``no_cases``: no table with a usable header and counts.
+    """
+    years, tidy = _tidy(grids, layout, names, compat, pos)
+    every = docs.select("doc_id", "file_name", "first_page_text")
+    dated = doc_year_week(every, None, use_volume=layout != "area_rows", compat=compat)
+    inside = dated.where(F.col("year").between(*years)) if years else dated
+    if layout == "area_columns":
+        inside = inside.join(in_volume_years(every, years).select("doc_id"), "doc_id", "left_semi")
+    flags = {"_dated": dated, "_inside": inside, "_counted": tidy}
+    out = docs.select("doc_id").distinct()
+    for flag, found in flags.items():
+        out = out.join(found.select("doc_id").distinct().withColumn(flag, F.lit(True)), "doc_id", "left")
+    reason = (
+        F.when(F.col("_dated").isNull(), "no_date")
+        .when(F.col("_inside").isNull(), "other_years")
+        .when(F.col("_counted").isNull(), "no_cases")
+    )
+    return out.select("doc_id", reason.alias("reason")).where(F.col("reason").isNotNull())
