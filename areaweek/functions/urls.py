@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,25 +14,46 @@ _ANCHOR = r"(?is)<a\b[^>]*\bhref\s*=[^>]*>.*?</a>"
 _HREF = r"""(?is)^<a\b[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)"""
 
 
-def _part(url: Column, group: int) -> Column:
-    return F.regexp_extract(url, _URI, group)
+_SEP = "\x01"
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def parts(url: Column) -> Column:
+    """Scheme, authority, path, query with its mark, fragment with its mark; one match for all.
+
+    Null for a null address.
+    """
+    found = F.split(F.regexp_replace(url, _URI, _SEP.join(f"${n}" for n in range(1, 6))), _SEP)
+    return F.when(F.size(found) == 5, found).when(url.isNotNull(), F.array(*[F.lit("")] * 5))
+
+
+def _at(found: Column, n: int) -> Column:
+    return F.get(found, F.lit(n - 1))
 
 
 def scheme(url: Column) -> Column:
-    return _part(url, 1)
+    return _at(parts(url), 1)
 
 
 def authority(url: Column) -> Column:
-    return _part(url, 2)
+    return _at(parts(url), 2)
 
 
 def path(url: Column) -> Column:
-    return _part(url, 3)
+    return _at(parts(url), 3)
+
+
+def _query(found: Column) -> Column:
+    return F.substring(_at(found, 4), 2, 1 << 30)
 
 
 def query(url: Column) -> Column:
     """Query string without its question mark."""
-    return F.substring(_part(url, 4), 2, 1 << 30)
+    return _query(parts(url))
 
 
 def unescape(c: Column) -> Column:
@@ -81,22 +104,23 @@ def _drop_dots(p: Column) -> Column:
 
 def resolve(base: Column, href: Column) -> Column:
     """Absolute form of a link found on the page ``base``."""
-    root = F.concat(scheme(base), F.lit("://"), authority(base))
-    base_path = path(base)
-    folder = F.regexp_replace(base_path, "[^/]*$", "")
-    folder = F.when(folder == "", "/").otherwise(folder)
-    tail = F.concat(_part(href, 4), _part(href, 5))
-    own_path = path(href)
-    merged = F.when(own_path.startswith("/"), own_path).otherwise(F.concat(folder, own_path))
-    tidy = F.when(merged.contains("/."), _drop_dots(merged)).otherwise(merged)
-    return (
-        F.when(F.length(scheme(href)) > 0, href)
-        .when(href.startswith("//"), F.concat(scheme(base), F.lit(":"), href))
-        .when(href == "", base)
-        .when(href.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), href))
-        .when(href.startswith("?"), F.concat(root, base_path, href))
-        .otherwise(F.concat(root, tidy, tail))
-    )
+
+    def absolute(b: Column, h: Column) -> Column:
+        root = F.concat(_at(b, 1), F.lit("://"), _at(b, 2))
+        folder = F.regexp_replace(_at(b, 3), "[^/]*$", "")
+        folder = F.when(folder == "", "/").otherwise(folder)
+        merged = F.when(_at(h, 3).startswith("/"), _at(h, 3)).otherwise(F.concat(folder, _at(h, 3)))
+        tidy = _let(merged, lambda m: F.when(m.contains("/."), _drop_dots(m)).otherwise(m))
+        return (
+            F.when(F.length(_at(h, 1)) > 0, href)
+            .when(href.startswith("//"), F.concat(_at(b, 1), F.lit(":"), href))
+            .when(href == "", base)
+            .when(href.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), href))
+            .when(href.startswith("?"), F.concat(root, _at(b, 3), href))
+            .otherwise(F.concat(root, tidy, _at(h, 4), _at(h, 5)))
+        )
+
+    return _let(parts(base), lambda b: _let(parts(href), lambda h: absolute(b, h)))
 
 
 def _decode(c: Column) -> Column:
@@ -105,8 +129,12 @@ def _decode(c: Column) -> Column:
 
 def query_value(url: Column, name: str) -> Column:
     """First non-blank value of a query parameter, decoded once; null if absent."""
-    raw = F.regexp_extract(query(url), f"(?:^|&){name}=([^&]+)", 1)
-    return F.when(raw != "", _decode(raw))
+    return _value(query(url), name)
+
+
+def _value(query_text: Column, name: str) -> Column:
+    raw = F.regexp_extract(query_text, f"(?:^|&){name}=([^&]+)", 1)
+    return _let(raw, lambda r: F.when(r != "", _decode(r)))
 
 
 def file_name(
@@ -122,19 +150,24 @@ def file_name(
     last path part serves; with ``year_hint`` (default ``file``) it is prefixed
     by the year.
     """
-    value = F.coalesce(query_value(url, param), F.lit(default))
-    # A plus sign survives the second decoding.
-    twice = _decode(F.replace(value, F.lit("+"), F.lit("%2B")))
-    name = F.trim(F.element_at(F.split(twice, ":"), -1))
-    base = F.element_at(F.split(path(url), "/"), -1)
-    base = F.when(base == "", "file").otherwise(base)
-    if year_hint is None:
-        name = F.when(name == "", base).otherwise(name)
-    else:
-        hinted = F.concat(F.coalesce(year_hint.cast("string"), F.lit("None")), F.lit("-"), base)
-        name = F.when((name == "") | (F.lower(name) == "file"), hinted).otherwise(name)
-    name = F.when(F.lower(name).endswith(".pdf"), name).otherwise(F.concat(name, F.lit(".pdf")))
-    return F.translate(name, "/\\", "__")
+
+    def named(found: Column) -> Column:
+        value = F.coalesce(_value(_query(found), param), F.lit(default))
+        # A plus sign survives the second decoding.
+        twice = _let(F.replace(value, F.lit("+"), F.lit("%2B")), _decode)
+        base = F.element_at(F.split(_at(found, 3), "/"), -1)
+        base = F.when(base == "", "file").otherwise(base)
+        return _let(F.trim(F.element_at(F.split(twice, ":"), -1)), lambda name: settled(name, base))
+
+    def settled(name: Column, base: Column) -> Column:
+        if year_hint is None:
+            name = F.when(name == "", base).otherwise(name)
+        else:
+            hinted = F.concat(F.coalesce(year_hint.cast("string"), F.lit("None")), F.lit("-"), base)
+            name = F.when((name == "") | (F.lower(name) == "file"), hinted).otherwise(name)
+        return _let(name, lambda n: F.when(F.lower(n).endswith(".pdf"), n).otherwise(F.concat(n, F.lit(".pdf"))))
+
+    return F.translate(_let(parts(url), named), "/\\", "__")
 
 
 def form_encode(c: Column) -> Column:

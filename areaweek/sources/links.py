@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from areaweek.functions.urls import anchors, file_name, resolve
+from areaweek.operators.names import behind
 from areaweek.sources.tables import pending
 
 NEXT_TEXTS = ("next", ">")
@@ -32,7 +33,7 @@ def next_link(
     wanted = F.filter(anchors(F.col(html)), lambda a: F.lower(a["text"]).isin(*texts))
     others = [c for c in pages.columns if c != html]
     found = pages.select(*others, F.get(wanted, F.lit(0))["href"].alias("_href"))
-    return found.withColumn("next_url", resolve(F.col(url), F.col("_href"))).drop("_href")
+    return behind(found, next_url=resolve(F.col(url), F.col("_href"))).drop("_href")
 
 
 def pending_pages(
@@ -60,7 +61,7 @@ def pending_links(
     link that leads to it in page order."""
     links = page_links(pages, marker)
     hint: Column | None = F.col(year_hint) if year_hint else None
-    named = links.withColumn("filename", file_name(F.col("link"), param, default, hint))
+    named = behind(links, filename=file_name(F.col("link"), param, default, hint))
     first = named.groupBy("filename").agg(
         F.min(F.struct(F.col(order), F.col("pos"), F.col("link"))).alias("_first")
     )
