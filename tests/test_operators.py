@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from areaweek import schemas
+from areaweek import runtime, schemas
 from areaweek.config import ForestParams
 from areaweek.operators import features, lookups, model, names, panel, ranking, rollup
+from areaweek.plans import alerts
 
 NAN = float("nan")
 
@@ -300,3 +302,29 @@ def test_error_metrics(spark):
     df = spark.createDataFrame([(1.0, 2.0), (5.0, 3.0)], "cases double, predicted_cases double")
     m = model.error_metrics(df).first()
     assert (m.n, m.mae, m.mse, m.rmse) == (2, 1.5, 2.5, 2.5**0.5)
+
+
+def test_materialised_tables_can_be_discarded(spark, tmp_path):
+    df = runtime.materialize(spark.range(5), "gone")
+    folder = df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert df.count() == 5 and os.path.isdir(folder)
+    runtime.discard(df)
+    assert not os.path.exists(folder)
+    spark.range(3).write.parquet(str(tmp_path / "kept"))
+    with pytest.raises(ValueError):
+        runtime.discard(spark.read.parquet(str(tmp_path / "kept")))
+
+
+def test_ranks_follow_the_order(spark):
+    df = spark.createDataFrame([(i * 7 % 50, str(i)) for i in range(50)], "x int, s string")
+    got = {r.x: r["rank"] for r in alerts.ranked(df, [F.desc("x"), F.asc("s")]).collect()}
+    assert got == {x: 50 - x for x in range(50)}
+
+
+def test_parts_merge_to_the_weekly_rollup(spark):
+    days = [("A", f"a{i % 3}", dt.date(2023, 1, 1) + dt.timedelta(days=i), i / 4, None if i % 5 else i / 2) for i in range(40)]
+    df = spark.createDataFrame(days, "district string, part string, date date, r double, t double")
+    whole = rollup.weekly_rollup(df, {"rain": "r"}, {"temp": "t"}, digits=2)
+    parts = rollup.weekly_parts(df, {"rain": "r"}, {"temp": "t"}, key="part", date="date", digits=2)
+    merged = rollup.merge_parts(parts.withColumn("district", F.lit("A")), ["rain"], ["temp"], digits=2)
+    assert rows(merged) == rows(whole.select(*merged.columns))

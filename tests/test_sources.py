@@ -280,3 +280,49 @@ def test_extract_cases(spark):
     assert rows("first_column") == []
     with pytest.raises(ValueError):
         reports.extract_cases(grids, docs, "xls")
+
+
+def test_pending_pages_leave_out_stored_ones(spark):
+    pages = spark.createDataFrame(
+        [
+            ("http://a.org/1", "<a href='2'>Next</a>"),
+            ("http://a.org/2", "<a href='/3'>&gt;</a>"),
+            ("http://a.org/x", "<a href='/3'>next</a>"),
+            ("http://a.org/last", "<a href='/9'>back</a>"),
+            ("http://a.org/none", None),
+        ],
+        "url string, html string",
+    )
+    assert [r.url for r in links.pending_pages(pages).collect()] == ["http://a.org/3"]
+    assert links.pending_pages(pages.where("false")).count() == 0
+
+
+def test_rejected_documents_have_a_reason(spark):
+    docs = spark.createDataFrame(
+        [
+            ("good", "f.pdf", "Update 2023 WEEK: 5"),
+            ("undated", "f.pdf", "no date"),
+            ("null", "f.pdf", None),
+            ("early", "f.pdf", "Update 2011 WEEK: 5"),
+            ("empty", "f.pdf", "Update 2022 WEEK: 7"),
+        ],
+        schemas.DOC_TEXT,
+    )
+    grids = spark.createDataFrame(
+        [
+            (d, "f.pdf", 1, i, c)
+            for d in ("good", "undated", "early")
+            for i, c in enumerate([["District", "Dengue cases"], ["Galle", "12"]])
+        ],
+        schemas.GRIDS,
+    )
+    got = {r.doc_id: r.reason for r in reports.rejected_documents(grids, docs, "area_rows").collect()}
+    assert got == {"undated": "no_date", "null": "no_date", "early": "other_years", "empty": "no_cases"}
+    assert reports.extract_cases(grids, docs, "area_rows").count() == 1
+
+
+def test_payloads_are_parsed_once(spark):
+    raw = spark.createDataFrame([("A", "{}")], schemas.PAYLOADS)
+    for kind in ("map", "daily", "full"):
+        plan = payloads.parse_weather(raw, kind)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json") == 1, kind
