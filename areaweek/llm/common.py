@@ -16,12 +16,12 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Rows and bytes in one Arrow batch, so that a Python worker's memory is bounded
 #: by these and by the longest text, not by the size of a partition.
 BATCH_ROWS = 4000
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
-def small_batches(spark: SparkSession) -> None:
+def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def words_of(text: str | None) -> list[str]:

@@ -326,7 +326,7 @@ def _store(uri: str) -> tuple[pafs.FileSystem, str]:
 
 def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
     """``doc_id``, ``packed``: each text is encoded once and its ids written, packed, for the passes over them."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 16 << 20)  # the larger a batch, the more often a word is met again
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3)
