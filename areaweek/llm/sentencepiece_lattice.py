@@ -29,7 +29,7 @@ import heapq
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -203,22 +203,28 @@ def _bytes_of(c: Column, first_byte: int) -> Column:
     )
 
 
-def ids_of(word: Column, cuts: Column, edges: Column, places: Column, first_byte: int) -> Column:
-    """Ids of the segments; a character without a piece has the pieces of its bytes."""
-
-    at = F.zip_with(
+def segments(cuts: Column, places: Column) -> Column:
+    """Start of each segment and where its edge stands, from 1; 0 for a character without a piece."""
+    return F.zip_with(
         F.slice(cuts, F.lit(1), F.size(cuts) - 1),
         F.slice(cuts, F.lit(2), F.size(cuts) - 1),
         lambda s, e: F.struct(s.alias("s"), F.array_position(places, _place(s, e - s)).cast("int").alias("p")),
     )
-    known = F.transform(at, lambda x: F.get(edges, x.p - 1).bitwiseAND(F.lit(_ID)).cast("int"))
+
+
+def ids_of(word: Column, at: Column, edges: Column, first_byte: int) -> Column:
+    """Ids of the segments ``at``; a character without a piece has the pieces of its bytes."""
+
+    def known(x: Column) -> Column:
+        return F.get(edges, x.p - 1).bitwiseAND(F.lit(_ID)).cast("int")
+
     each = F.transform(
         at,
-        lambda x: F.when(x.p > 0, F.array(F.get(edges, x.p - 1).bitwiseAND(F.lit(_ID)).cast("int"))).otherwise(
+        lambda x: F.when(x.p > 0, F.array(known(x))).otherwise(
             _bytes_of(F.substring(word, x.s + 1, F.lit(1)), first_byte)
         ),
     )
-    return F.when(F.forall(at, lambda x: x.p > 0), known).otherwise(F.flatten(each))
+    return F.when(F.forall(at, lambda x: x.p > 0), F.transform(at, known)).otherwise(F.flatten(each))
 
 
 def merge_long(word: str, rank: dict[str, tuple[int, int]], first_byte: int) -> list[int]:
@@ -274,7 +280,8 @@ def _fold(words: DataFrame, pieces: Pieces, viterbi: bool) -> DataFrame:
     places = F.transform("edges", lambda x: F.shiftright(x, _LENGTH).bitwiseAND(F.lit(_PLACE)))
     edges = _behind(edges, places=places, length=F.length("word"))
     folded = edges.select("*", F.inline(F.array(fold_merges(F.col("edges"), F.col("places"), F.col("length")))))
-    ids = F.when(~F.col("late"), ids_of(F.col("word"), F.col("cuts"), F.col("edges"), F.col("places"), first_byte))
+    folded = _behind(folded.select("word", "edges", "places", "cuts", "late"), at=segments(F.col("cuts"), F.col("places")))
+    ids = F.when(~F.col("late"), ids_of(F.col("word"), F.col("at"), F.col("edges"), first_byte))
     return folded.select("word", ids.alias("ids"))
 
 
@@ -316,7 +323,7 @@ def _in_files(docs: DataFrame) -> DataFrame:
     return slim.withColumn("split", split)
 
 
-HELD = 200_000  # chunks in memory at a time
+HELD = 400_000  # chunks in memory at a time
 
 
 def _groups(texts: list[str | None], splits: list[int]) -> Iterator[tuple[int, list[int], list[str]]]:
@@ -345,7 +352,7 @@ def dictionary(docs: DataFrame, pieces: Pieces, viterbi: bool = False) -> str:
         current, seen = None, set()
         for _, (texts, splits) in rows(batches, "text", "split"):
             for s, _, held in _groups(texts, splits):
-                if s != current or len(seen) > 5 * HELD:  # splits follow one another
+                if s != current or len(seen) > 3 * HELD:  # splits follow one another
                     current, seen = s, set()
                 new = list(set(held) - seen)
                 seen.update(new)
@@ -362,32 +369,37 @@ def dictionary(docs: DataFrame, pieces: Pieces, viterbi: bool = False) -> str:
     words = spark.table(name)
     folded = words.join(_fold(words.select("word"), pieces, viterbi).hint("merge"), "word", "left")
 
-    def packed(by_split: dict[int, tuple[list, list]]) -> pa.RecordBatch:
-        blobs = []
-        for words_, ids in by_split.values():
-            batch = pa.RecordBatch.from_arrays([pa.array(words_, pa.string()), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) > HELD // 4:
+                yield packed(held)
+                held = []
+        if held:
+            yield packed(held)
+
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        """A compressed batch of chunks and ids for each split that needs some of them."""
+        t = pa.Table.from_batches(held).combine_chunks()
+        words_, splits, ids = (t.column(c).combine_chunks() for c in ("word", "splits", "ids"))
+        if ids.null_count:
+            both = zip(words_.to_pylist(), ids.to_pylist(), strict=True)
+            ids = pa.array([merge_long(w, rank, first_byte) if i is None else i for w, i in both], pa.list_(pa.int32()))
+        chunks_ = pa.RecordBatch.from_arrays([words_, ids.cast(pa.list_(pa.int32()))], names=["word", "ids"])
+        uses_ = np.diff(splits.offsets.to_numpy())
+        to, row = splits.flatten().to_numpy(), np.repeat(np.arange(len(uses_)), uses_)
+        order = np.argsort(to, kind="stable")
+        edges = np.flatnonzero(np.diff(to[order], prepend=-1, append=-1))
+        blobs, numbers = [], []
+        for x, y in zip(edges, edges[1:], strict=False):
+            part = chunks_.take(pa.array(row[order[x:y]]))
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_batch(batch)
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(part)
             blobs.append(sink.getvalue().to_pybytes())
-        return pa.RecordBatch.from_arrays([pa.array(list(by_split), pa.int32()), pa.array(blobs, pa.binary())], names=["split", "chunks"])
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_split: dict[int, tuple[list, list]] = {}
-        held = 0
-        for _, (some, splits, ids) in rows(batches, "word", "splits", "ids"):
-            for w, to, i in zip(some, splits, ids, strict=True):
-                i = merge_long(w, rank, first_byte) if i is None else i
-                for s in to:
-                    words_, lists = by_split.setdefault(s, ([], []))
-                    words_.append(w)
-                    lists.append(i)
-                held += len(to) + len(i)
-            if held > 2 * HELD:
-                yield packed(by_split)
-                by_split, held = {}, 0
-        if by_split:
-            yield packed(by_split)
+            numbers.append(int(to[order[x]]))
+        return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())], names=["split", "chunks"])
 
     folder = run_dir(spark, "dictionary")
     each = folded.select("word", "splits", "ids").mapInArrow(pack, "split int, chunks binary")
@@ -398,6 +410,15 @@ def dictionary(docs: DataFrame, pieces: Pieces, viterbi: bool = False) -> str:
 
 def encode(docs: DataFrame, pieces: Pieces, viterbi: bool = False) -> DataFrame:
     """``doc_id, ids`` of every row's whole text."""
+
+    def lists(keys: pa.Array, edges: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(edges), pa.array(ids))], names=["doc_id", "ids"])
+
+    return _encoded(docs, pieces, viterbi, lists, "ids array<int>")
+
+
+def _encoded(docs: DataFrame, pieces: Pieces, viterbi: bool, emit: Callable, columns: str) -> DataFrame:
+    """``doc_id`` and ``columns``: what ``emit`` makes of ids, the edges between rows, and all ids."""
     small_batches(docs.sparkSession)
     texts = _in_files(docs)
     folder = dictionary(texts, pieces, viterbi)
@@ -421,11 +442,10 @@ def encode(docs: DataFrame, pieces: Pieces, viterbi: bool = False) -> DataFrame:
                     ids = gather(flat, start[place], size[place])
                     sums = np.concatenate([[0], np.cumsum(size[place])])
                     edges = sums[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([keys.slice(at, len(counts)), lists], names=["doc_id", "ids"])
+                yield emit(keys.slice(at, len(counts)), edges, ids)
                 at += len(counts)
 
-    return texts.mapInArrow(look_up, f"doc_id {kind}, ids array<int>")
+    return texts.mapInArrow(look_up, f"doc_id {kind}, {columns}")
 
 
 def _dictionary_of(folder: str, split: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
@@ -464,22 +484,23 @@ def decode_ids(ids: list[int], parts: list[bytes]) -> str:
 
 def summary(docs: DataFrame, pieces: Pieces) -> DataFrame:
     """``doc_id, n_pieces, ids_crc32, text_crc32``: ids of every text, and the checksum of what they decode to."""
-    encoded = encode(docs, pieces)
-    kind = docs.schema["doc_id"].dataType.simpleString()
     parts = pieces.as_bytes()
+    size = np.array([len(p) for p in parts], np.int64)
+    start, flat = np.cumsum(size) - size, np.frombuffer(b"".join(parts), np.uint8)
+
+    def digests(keys: pa.Array, edges: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        back = gather(flat, start[ids], size[ids]).tobytes()
+        at = np.concatenate([[0], np.cumsum(size[ids])])[edges].tolist()
+        texts = [back[x:y].decode("utf-8", "replace").removeprefix(" ") for x, y in zip(at, at[1:], strict=False)]
+        plain, cut = ids.astype("<u4").tobytes(), (edges.astype(np.int64) * 4).tolist()
+        return pa.RecordBatch.from_arrays(
+            [
+                keys,
+                pa.array(np.diff(edges).astype(np.int64)),
+                pa.array([zlib.crc32(plain[x:y]) for x, y in zip(cut, cut[1:], strict=False)], pa.int64()),
+                pa.array([zlib.crc32(t.encode()) for t in texts], pa.int64()),
+            ],
+            names=["doc_id", "n_pieces", "ids_crc32", "text_crc32"],
+        )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = b.column(b.schema.get_field_index("ids"))
-            ids = [np.asarray(x.values) for x in lists]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(b.schema.get_field_index("doc_id")),
-                    pa.array([len(i) for i in ids], pa.int64()),
-                    pa.array([zlib.crc32(i.astype("<u4").tobytes()) for i in ids], pa.int64()),
-                    pa.array([zlib.crc32(decode_ids(i.tolist(), parts).encode()) for i in ids], pa.int64()),
-                ],
-                names=["doc_id", "n_pieces", "ids_crc32", "text_crc32"],
-            )
-
-    return encoded.mapInArrow(run, f"doc_id {kind}, n_pieces bigint, ids_crc32 bigint, text_crc32 bigint")
+    return _encoded(docs, pieces, False, digests, "n_pieces bigint, ids_crc32 bigint, text_crc32 bigint")
