@@ -7,15 +7,26 @@ a text are counted together. What aligns over thirteen words (or the whole of a
 shorter item) is a leak if its slots are consistent: one value of the item stands for
 one value in the text throughout.
 
-Templates: a capitalised word after a letter, digit or comma and one blank is a name;
-a run of digits is a number, with a slot for the unit that may follow; letters are
-lower-cased and everything else parts words.
-
-Defined cases: a null or empty text is kept; items with fewer than eight template
-words, and windows with fewer than four words that are no placeholders, match
-nothing, as chance would match them too; equal items are all reported; rows with
-null or repeated ids are judged by their own text; without items or documents nothing
-is found; other columns are ignored.
+Templates: a capitalised word after a letter, digit or comma and a blank is a name; one
+elsewhere, as at the beginning of a sentence, may be one. A run of digits is a number,
+with a slot for the unit that may follow; letters are lower-cased, white space counts as
+one blank and everything else parts words. A window is joined in three forms, and a hit
+in any counts: names as slots; capitalised words elsewhere as slots too; all of them as
+the words they are, without regard to case. Windows with too few words for that are
+joined with the values of their slots.
+
+Each alignment is decided on its words. A stretch that aligns without a gap counts if it
+is thirteen words long (or the whole item), holds a joined window and is consistent in
+itself, wherever else the alignment is not; so does a stretch as long that is the item's,
+values and all; and so do windows with gaps between them, if there are as many as in
+thirteen words and the slots from the first to the last are consistent.
+
+Defined cases: a null or empty text is kept; items with fewer than eight template words,
+and windows without any word that is no placeholder, match nothing, and windows with
+fewer than four only match their own values, as chance would match them too; equal items
+are all reported; items with null or repeated ids are judged by their own text, and a null
+id takes no place in the list of items; rows with null or repeated ids are judged by their
+own text; without items or documents nothing is found; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +43,10 @@ ALIGNED = 13  # template words that must align
 BROADCAST_WINDOWS = 500_000
 
 MARK = "\u0001"  # taken out of the texts, so that it only stands for slots
-NAME = r"(?<=[\p{L}\p{N},;] )\p{Lu}\p{Ll}+"
+SPACES = "\t\n\u000b\f\r\u0085\u00a0\u2028\u2029\u202f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+WORD = r"\p{Lu}\p{Ll}+\p{L}*"
+NAME = rf"(?<=[\p{{L}}\p{{N}},;] ){WORD}"
+CAPITAL = rf"(?<![\p{{L}}\p{{N}}]){WORD}"  # may be a name
 UNITS = (
     "mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres "
     "kilometer kilometers mg g kg lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces "
@@ -40,31 +54,61 @@ UNITS = (
     "day days week weeks month months year years percent cent cents dollar dollars euro euros usd eur "
     "mph kmh degrees"
 ).split()
-NUMBER = r"(\d+)(?: (" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")\b)?"
+NUMBER = rf"(\d+)(?: (?:{MARK}[ac])?(" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")\b)?"
 
 
-def template_words(text: Column, values: bool) -> Column:
-    """Template words of a text; with ``values``, a slot's word holds its value too."""
-    keep = "$0" if values else ""
-    x = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), MARK, " "), NAME, f" {MARK}a{keep} ")
+def template_words(text: Column) -> Column:
+    """Template words of a text, slots with their values."""
+    x = F.translate(F.coalesce(text, F.lit("")), MARK + SPACES, " " * (1 + len(SPACES)))
+    x = F.regexp_replace(F.regexp_replace(x, "  +", " "), NAME, f" {MARK}a$0 ")
+    x = F.regexp_replace(x, CAPITAL, f" {MARK}c$0 ")
     x = F.regexp_replace(F.lower(x), rf"[^\p{{L}}\p{{N}}{MARK}]+", " ")
-    number = f" {MARK}n$1 {MARK}u$2 " if values else f" {MARK}n {MARK}u "
-    x = F.trim(F.regexp_replace(x, NUMBER, number))
+    x = F.trim(F.regexp_replace(x, NUMBER, f" {MARK}n$1 {MARK}u$2 "))
     return F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(x, " +"))
 
 
-def template_of(word: Column) -> Column:
-    """A slot without its value; other words as they are."""
-    return F.when(word.startswith(MARK), F.substring(word, 1, 2)).otherwise(word)
+def valued(word: Column) -> Column:
+    """Names as the words they are; numbers and units with their values."""
+    named = word.startswith(MARK + "a") | word.startswith(MARK + "c")
+    return F.when(named, F.substr(word, F.lit(3))).otherwise(word)
 
 
-def windows(words: Column) -> Column:
-    """A hash for each window, by its place; ``words`` should be a column, as it is used twice."""
-    last = F.size(words) - WINDOW
-    none = F.array().cast("array<bigint>")
-    return F.when(last < 0, none).otherwise(
-        F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice(words, i + 1, F.lit(WINDOW))))
-    )
+def strict(word: Column) -> Column:
+    """A slot without its value; a word that may be a name as it is."""
+    return F.when(word.startswith(MARK + "c"), F.substr(word, F.lit(3))).when(word.startswith(MARK), F.substring(word, 1, 2)).otherwise(word)
+
+
+def wide(word: Column) -> Column:
+    """A slot without its value, also for a word that may be a name."""
+    return F.when(word.startswith(MARK + "c"), F.lit(MARK + "a")).when(word.startswith(MARK), F.substring(word, 1, 2)).otherwise(word)
+
+
+def caseless(word: Column) -> Column:
+    """Names as the words they are; numbers and units without their values."""
+    named = word.startswith(MARK + "a") | word.startswith(MARK + "c")
+    return F.when(named, F.substr(word, F.lit(3))).when(word.startswith(MARK), F.substring(word, 1, 2)).otherwise(word)
+
+
+FORMS = {"strict": strict, "wide": wide, "caseless": caseless, "valued": valued}
+
+
+def _each(words: Column, form, of) -> Column:
+    return F.transform(words, lambda w: of(form(w)))
+
+
+def hashed(words: Column) -> dict[str, Column]:
+    """The hashes of the words in each form."""
+    return {n: _each(words, f, F.xxhash64) for n, f in FORMS.items()}
+
+
+def windows(size: Column, of) -> Column:
+    """What ``of`` makes of each window's place, for texts of that many words."""
+    places = F.when(size >= WINDOW, F.sequence(F.lit(0), size - WINDOW)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, of)
+
+
+def window_hash(hashes: Column, at: Column) -> Column:
+    return F.xxhash64(F.slice(hashes, at + 1, F.lit(WINDOW)))
 
 
 def _behind(df: DataFrame, **cols: Column) -> DataFrame:
@@ -73,13 +117,93 @@ def _behind(df: DataFrame, **cols: Column) -> DataFrame:
     return df.select("*", F.inline(made))
 
 
+def _sum(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0), lambda a, v: a + v)
+
+
 def item_windows(items: DataFrame) -> DataFrame:
-    """``item_id, at, hash, aligned``: windows with enough words, and how many windows must align."""
-    words = _behind(items.select("item_id", "text"), words=template_words(F.col("text"), False))
-    enough = F.least(F.size("words"), F.lit(ALIGNED)) - (WINDOW - 1)
-    each = words.select("item_id", "words", enough.alias("aligned"), F.posexplode(windows(F.col("words"))).alias("at", "hash"))
-    literal = F.filter(F.slice("words", F.col("at") + 1, F.lit(WINDOW)), lambda w: ~w.startswith(MARK))
-    return each.where(F.size(literal) >= LITERAL).select("item_id", "at", "hash", "aligned").distinct()
+    """``item_id, item_hash, at, hash, strict, need, aligned``: windows to be joined.
+
+    ``aligned`` windows make thirteen words. Of these, ``need`` are joined at least,
+    wherever in the item they are: those with enough words, or else those with any.
+    """
+    texts = _behind(items.select("item_id", "text", F.xxhash64("text").alias("item_hash")), words=template_words(F.col("text")))
+    words = F.col("words")
+    literals = {n: _each(words, f, lambda w: F.when(w.startswith(MARK), 0).otherwise(1)) for n, f in FORMS.items() if n != "valued"}
+    each = _behind(texts, **hashed(words), **{f"{n}_words": c for n, c in literals.items()})
+
+    def entry(at: Column) -> Column:
+        n = {f: _sum(F.slice(f"{f}_words", at + 1, F.lit(WINDOW))) for f in literals}
+        enough = {f: n[f] >= LITERAL for f in literals} | {"valued": (n["caseless"] > 0) & (n["caseless"] < LITERAL)}
+        hashes = [F.when(enough[f], window_hash(F.col(f), at)).alias(f) for f in FORMS]
+        return F.struct(at.alias("at"), *hashes)
+
+    each = _behind(each.select("item_id", "item_hash", F.size("words").alias("size"), windows(F.size("words"), entry).alias("w")), w2=F.col("w"))
+    aligned = F.least(F.col("size"), F.lit(ALIGNED)) - (WINDOW - 1)
+
+    def joined(at: Column) -> Column:
+        run = F.slice("w2", at + 1, aligned)
+        ways = (lambda w: w["wide"].isNotNull(), lambda w: w["strict"].isNotNull(), lambda w: w["caseless"].isNotNull() | w["valued"].isNotNull())
+        n = [F.size(F.filter(run, way)) for way in ways]
+        return F.coalesce(*[F.when(x > 0, x) for x in n])
+
+    places = F.when(aligned > 0, F.sequence(F.lit(0), F.size("w2") - aligned)).otherwise(F.array().cast("array<int>"))
+    need = F.array_min(F.transform(places, joined))
+    out = _behind(each, need=need, aligned=aligned).select("item_id", "item_hash", "need", "aligned", F.inline("w2"))
+    of = F.explode(F.array(*[F.struct(F.col(f).alias("hash"), F.lit(f == "strict").alias("strict")) for f in FORMS])).alias("h")
+    out = out.select("item_id", "item_hash", "need", "aligned", "at", of).select("item_id", "item_hash", "need", "aligned", "at", "h.*")
+    return out.where("hash IS NOT NULL").groupBy("item_id", "item_hash", "need", "aligned", "at", "hash").agg(F.max("strict").alias("strict"))
+
+
+def _consistent(pairs: Column, slot: str) -> Column:
+    """Whether one value of the item stands for one in the text, where ``slot`` holds."""
+    slots = F.array_distinct(F.transform(F.filter(pairs, lambda p: p[slot]), lambda p: F.struct(p.a.alias("a"), p.w.alias("w"))))
+    return F.size(slots) == F.size(F.array_distinct(F.transform(slots, lambda p: p.a)))
+
+
+def _stretches(equal: str) -> Column:
+    """``start, n`` of the stretches of ``pairs`` in which ``equal`` holds, if long enough."""
+    apart = F.filter(F.transform("pairs", lambda p, i: F.when(~p[equal], i)), lambda i: i.isNotNull())
+    ends = F.concat(F.array(F.lit(-1)), apart, F.array(F.size("pairs")))
+    each = F.zip_with(ends, F.slice(ends, F.lit(2), F.size(apart) + 1), lambda a, b: F.struct((a + 1).alias("start"), (b - a - 1).alias("n")))
+    return F.filter(each, lambda r: r.n >= F.col("enough"))
+
+
+def _gives_away(df: DataFrame) -> DataFrame:
+    """Alignments of ``words`` and ``asked`` that are leaks."""
+    start = F.greatest(F.lit(0), -F.col("shift"))
+    length = F.least(F.size("asked") - start, F.size("words") - start - F.col("shift"))
+
+    def pair(a: Column, w: Column) -> Column:
+        value = valued(a) == valued(w)
+        narrow = value | (strict(a) == strict(w))
+        return F.struct(
+            valued(a).alias("a"),
+            valued(w).alias("w"),
+            value.alias("value"),
+            narrow.alias("narrow"),
+            (narrow | (wide(a) == wide(w))).alias("any"),
+            strict(a).startswith(MARK).alias("slot"),
+            wide(a).startswith(MARK).alias("wide_slot"),
+            (strict(a).startswith(MARK) & (strict(a) == strict(w))).alias("same_slot"),
+        )
+
+    pairs = F.zip_with(F.slice("asked", start + 1, length), F.slice("words", start + F.col("shift") + 1, length), pair)
+    df = _behind(df, start=start, pairs=pairs, enough=F.least(F.size("asked"), F.lit(ALIGNED)))
+    df = _behind(df, verbatim=_stretches("value"), narrow=_stretches("narrow"), any=_stretches("any"))
+
+    def passes(runs: str, slot: str) -> Column:
+        def ok(r: Column) -> Column:
+            first = r.start + F.col("start")
+            held = F.exists("ats", lambda at: (at >= first) & (at + WINDOW <= first + r.n))
+            return held & _consistent(F.slice("pairs", r.start + 1, r.n), slot)
+
+        return F.exists(runs, ok)
+
+    verbatim = F.exists("verbatim", lambda r: F.exists("ats", lambda at: (at >= r.start + F.col("start")) & (at + WINDOW <= r.start + F.col("start") + r.n)))
+    whole = F.slice("pairs", F.col("first") - F.col("start") + 1, F.col("last") - F.col("first") + WINDOW)
+    gaps = (F.col("n") >= F.col("aligned")) & _consistent(whole, "same_slot")
+    return df.where(verbatim | passes("narrow", "slot") | passes("any", "wide_slot") | F.coalesce(gaps, F.lit(False)))
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -88,44 +212,38 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     if wanted.count() <= BROADCAST_WINDOWS:
         wanted = F.broadcast(wanted)
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    split = _behind(texts, words=template_words(F.col("text"), False))
-    each = split.select("doc_id", "text_hash", F.posexplode(windows(F.col("words"))).alias("pos", "hash"))
+    split = _behind(texts, words=template_words(F.col("text")))
+    split = _behind(split.select("doc_id", "text_hash", "words"), **hashed(F.col("words")))
+    hashes = windows(F.size("strict"), lambda at: F.array_distinct(F.array(*[window_hash(F.col(f), at) for f in FORMS])))
+    each = split.select("doc_id", "text_hash", F.posexplode(hashes).alias("pos", "hashes"))
+    each = each.select("doc_id", "text_hash", "pos", F.explode("hashes").alias("hash"))
+    narrow = F.when(F.col("strict"), F.col("at"))
     aligned = (
         each.join(wanted, "hash")
-        .groupBy("doc_id", "text_hash", "item_id", (F.col("pos") - F.col("at")).alias("shift"))
+        .groupBy("doc_id", "text_hash", "item_id", "item_hash", (F.col("pos") - F.col("at")).alias("shift"))
         .agg(
-            F.min("at").alias("first"),
-            F.max("at").alias("last"),
-            F.countDistinct("at").alias("n"),
+            F.min(narrow).alias("first"),
+            F.max(narrow).alias("last"),
+            F.size(F.collect_set(narrow)).alias("n"),
+            F.collect_set("at").alias("ats"),
+            F.first("need").alias("need"),
             F.first("aligned").alias("aligned"),
         )
-        .where("n >= aligned")
-        .drop("n", "aligned")
+        .where(F.size("ats") >= F.col("need"))
+        .drop("need")
     )
     aligned = materialize(aligned, "aligned")
-    found = aligned.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "item_id", "shift", "first", "last")
+    found = aligned.withColumnsRenamed({"doc_id": "d", "text_hash": "h", "item_id": "i", "item_hash": "g"})
     same = (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("d"))
     by_text = (
         texts.join(found.select("d", "h").distinct(), same, "left_semi")
         .dropDuplicates(["doc_id", "text_hash"])
-        .select("doc_id", "text_hash", template_words(F.col("text"), True).alias("words"))
-    )
-    by_item = items.select("item_id", template_words(F.col("text"), True).alias("asked"))
-    length = F.col("last") - F.col("first") + WINDOW
-    pairs = F.zip_with(
-        F.slice("asked", F.col("first") + 1, length),
-        F.slice("words", F.col("first") + F.col("shift") + 1, length),
-        lambda a, w: F.struct(a.alias("a"), w.alias("w")),
-    )
-    slots = F.array_distinct(F.filter(pairs, lambda p: p.a.startswith(MARK) & (template_of(p.a) == template_of(p.w))))
-    consistent = F.size(slots) == F.size(F.array_distinct(F.transform(slots, lambda p: p.a)))
-    return (
-        by_text.join(found, same)
-        .join(by_item, "item_id")
-        .where(consistent)
-        .select("doc_id", "text_hash", "item_id")
-        .distinct()
+        .select("doc_id", "text_hash", template_words(F.col("text")).alias("words"))
     )
+    by_item = items.select("item_id", F.xxhash64("text").alias("item_hash"), template_words(F.col("text")).alias("asked"))
+    by_item = by_item.dropDuplicates(["item_id", "item_hash"])
+    asked = (F.col("item_hash") == F.col("g")) & F.col("item_id").eqNullSafe(F.col("i"))
+    return _gives_away(by_text.join(found, same).join(by_item, asked)).select("doc_id", "text_hash", "item_id").distinct()
 
 
 def judged(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -61,3 +61,17 @@ def test_filter_and_odd_rows(spark, docs, wide, none):
         assert kept.count() == df.where(~F.coalesce(F.col("doc_id").isin(*gone), F.lit(False))).count()
     assert dc.judged(wide, items).count() == wide.count()
     assert dc.keep_clean(none, items).count() == 0 and dc.judged(none, items).count() == 0
+
+
+DENSE = [
+    ("What is 12 + 35 * 7 - 4 divided by 3 and then rounded?", "What is 9 + 41 * 8 - 5 divided by 2 and then rounded?"),
+    ("Solve for x: 3x + 12 = 48 - 9x. Give the value of x.", "Solve for x: 5x + 10 = 40 - 7x. Give the value of x."),
+    ("A train travels 60 km in 2 hours and 90 km in 3 hours. What is its speed?", "A train travels 50 km in 4 hours and 80 km in 6 hours. What is its speed?"),
+]
+DENSEST = "Compute 12 + 35 * 7 - 4 / 3 + 18 - 22"
+
+
+def test_items_dense_with_numbers(spark):
+    items = [a for a, _ in DENSE] + [DENSEST]
+    got = verdicts(spark, ["so: " + t + " yes" for pair in DENSE for t in pair] + [DENSEST, DENSEST.replace("35", "36")], items)
+    assert got == {i: (False, [i // 2]) for i in range(6)} | {6: (False, [3]), 7: (True, [])}
