@@ -75,3 +75,21 @@ def test_items_dense_with_numbers(spark):
     items = [a for a, _ in DENSE] + [DENSEST]
     got = verdicts(spark, ["so: " + t + " yes" for pair in DENSE for t in pair] + [DENSEST, DENSEST.replace("35", "36")], items)
     assert got == {i: (False, [i // 2]) for i in range(6)} | {6: (False, [3]), 7: (True, [])}
+
+
+@pytest.mark.parametrize(
+    "item",
+    [
+        "If Anna gave Bob 2 books, Carl gave Dora 4 books and Eve gave Finn 6 books, who gave most?",
+        "Alice has 3 red apples, Bob has 5 and Carol has 7. How many apples in all?",
+    ],
+)
+def test_lower_cased_and_wrapped_copies(spark, item):
+    texts = [item, item.lower(), item.replace(" ", "\n"), item.replace(" ", "  "), item.replace(" ", "\t").lower(), "x. " + item]
+    assert verdicts(spark, texts, [item]) == {i: (False, [0]) for i in range(len(texts))}
+
+
+def test_names_that_begin_sentences(spark):
+    item = "Anna sold some old books. Anna bought a lamp. Anna likes green tea and dark bread."
+    texts = [item.replace("Anna", "Bob"), item.replace("Anna", "Bob", 1).replace("Anna", "Eve"), '"' + item.replace("Anna", "Zoe")]
+    assert verdicts(spark, texts, [item]) == {0: (False, [0]), 1: (True, []), 2: (False, [0])}
