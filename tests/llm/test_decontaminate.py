@@ -93,3 +93,10 @@ def test_names_that_begin_sentences(spark):
     item = "Anna sold some old books. Anna bought a lamp. Anna likes green tea and dark bread."
     texts = [item.replace("Anna", "Bob"), item.replace("Anna", "Bob", 1).replace("Anna", "Eve"), '"' + item.replace("Anna", "Zoe")]
     assert verdicts(spark, texts, [item]) == {0: (False, [0]), 1: (True, []), 2: (False, [0])}
+
+
+def test_a_consistent_stretch_counts_by_itself(spark):
+    altered = ITEM.replace("gave 12 apples", "gave 13 apples")
+    gap = "Tom paid 12 coins for it. " + ITEM + " where blue birds sang and 12 old friends of the family were waiting with cake and tea"
+    other = gap.replace("sang and 12 old", "slept while 13 old")
+    assert verdicts(spark, [altered, other], [ITEM, gap]) == {0: (False, [0, 1]), 1: (False, [0, 1])}
