@@ -100,3 +100,13 @@ def test_a_consistent_stretch_counts_by_itself(spark):
     gap = "Tom paid 12 coins for it. " + ITEM + " where blue birds sang and 12 old friends of the family were waiting with cake and tea"
     other = gap.replace("sang and 12 old", "slept while 13 old")
     assert verdicts(spark, [altered, other], [ITEM, gap]) == {0: (False, [0, 1]), 1: (False, [0, 1])}
+
+
+def test_null_and_repeated_item_ids(spark):
+    second = "one two three four five six seven eight"
+    docs = spark.createDataFrame([(0, SAME), (1, "so " + second + " nine"), (2, OTHER)], "doc_id bigint, text string")
+    for a, b in ((None, None), (7, 7), (None, 7)):
+        asked = spark.createDataFrame([(a, ITEM), (b, second), (b, second)], "item_id bigint, text string")
+        got = {r.doc_id: (r.kept, r["items"]) for r in dc.judged(docs, asked).collect()}
+        assert got == {0: (False, [a] if a else []), 1: (False, [b] if b else []), 2: (True, [])}
+        assert [r.doc_id for r in dc.keep_clean(docs, asked).collect()] == [2]
