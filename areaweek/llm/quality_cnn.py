@@ -62,7 +62,7 @@ class Network:
         pooled = []
         for part in _parts(data):
             z = self.responses(part)
-            starts = np.arange(0, max(1, len(z) - OVERLAP // STRIDE), (CHUNK - OVERLAP) // STRIDE)
+            starts = np.arange(0, max(1, len(z) - OVERLAP // STRIDE + 1), (CHUNK - OVERLAP) // STRIDE)
             ends = np.minimum(starts + CHUNK // STRIDE - 1, len(z))
             edges = np.stack([starts, ends], 1).ravel()
             # chunks overlap, so reduce between all their edges and join neighbours

@@ -105,3 +105,14 @@ def test_models_odd_rows(spark, docs, wide, none, module):
         rows = module.score(wide, model).collect()
         assert len(rows) == docs.count() and all(0 <= r.score <= 1 for r in rows)
     assert module.score(none, model).collect() == []
+
+
+@pytest.mark.parametrize("n", [1, 64, 65, 508, 512, 513, 516, 517, 961, 964, 965, 3201, 3204])
+def test_every_byte_lies_in_a_chunk(n):
+    rng = np.random.default_rng(1)
+    net = quality_cnn.fit(Sample(["ab c abd"] * 9, ["a%% $b"] * 9, 9, 9))
+    data = bytes(rng.integers(32, 127, n, dtype=np.uint8))
+    z = [net.responses(quality_cnn._padded(c.tobytes()[: n - k * 448])) for k, c in enumerate(quality_cnn._chunks(data))]
+    h = np.maximum(np.stack([x.max(axis=0) for x in z]) + net.offset, 0)
+    x = np.concatenate([h.mean(axis=0), h.max(axis=0)])
+    assert net.score(data) == pytest.approx(1 / (1 + np.exp(-(x @ net.out + net.bias[0]))), abs=1e-6)
