@@ -19,7 +19,8 @@ Blocks are bounded, so a large bucket becomes many tasks; no step gathers a buck
 Defined cases: a text without words has an empty set and is linked with nothing, as
 is a row without an id (its component is null, and it is kept). A text with fewer
 words than a shingle has the whole sequence as its one shingle. Rows that share an id
-count as one document when components are named; each row follows its own text.
+count as one document when components are named; each row follows its own text, whose
+set alone decides its links, and is kept or dropped by it.
 Repeated rows are kept as they are. Empty tables give empty results.
 """
 
@@ -125,7 +126,7 @@ def _column(b: pa.RecordBatch, name: str) -> pa.Array:
 
 
 def signatures(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
-    """``doc_id, n_shingles, cls, bands, sketch, filled``; the last four null for an empty set."""
+    """``doc_id, text_hash, n_shingles, cls, bands, sketch, filled``; the last four null for an empty set."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,17 +138,19 @@ def signatures(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     _column(b, "doc_id"),
+                    _column(b, "text_hash"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(cls, pa.binary()),
                     pa.array(bands, pa.list_(pa.int64())),
                     pa.array([s[0] for s in sketches], pa.binary()),
                     pa.array([s[1] for s in sketches], pa.int32()),
                 ],
-                names=["doc_id", "n_shingles", "cls", "bands", "sketch", "filled"],
+                names=["doc_id", "text_hash", "n_shingles", "cls", "bands", "sketch", "filled"],
             )
 
-    schema = "doc_id bigint, n_shingles bigint, cls binary, bands array<bigint>, sketch binary, filled int"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    schema = "doc_id bigint, text_hash bigint, n_shingles bigint, cls binary, bands array<bigint>, sketch binary, filled int"
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return texts.mapInArrow(run, schema)
 
 
 def _words64(sketches: pa.Array) -> np.ndarray:
@@ -190,7 +193,7 @@ def _decide(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """``node, shingles`` of the wanted classes, from one text of each."""
+    """``node, shingles`` of the wanted classes (``node, id, text_hash``), from one text of each."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +203,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 names=["node", "shingles"],
             )
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted, "node")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_hash"), "text")
+    texts = texts.join(wanted, ["id", "text_hash"]).select("node", "text")
     return texts.mapInArrow(run, "node bigint, shingles binary")
 
 
@@ -217,7 +221,7 @@ def _across(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     dealt = (
         members.withColumn("blocks", blocks)
         .withColumn("own", own)
-        .join(nodes, "node")
+        .join(nodes.drop("id", "text_hash"), "node")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("lo", F.least("own", "other"))
         .withColumn("hi", F.greatest("own", "other"))
@@ -272,26 +276,26 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("c")).select(F.col("u").alias("node"), F.col("c").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, n: int = SHINGLE) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
+def _judged(docs: DataFrame, percent: int, n: int) -> DataFrame:
+    """``doc_id, text_hash, n_shingles, component_id, kept`` for every row of ``docs``.
 
-    Two documents are linked if their sets' common part is at least ``percent`` percent
-    of their union. Runs and writes its steps when called.
+    A class is one node, named by a hash of its set; its smallest id names it only in the links.
     """
     signed = materialize(signatures(docs, n), "signatures")
-    classes = materialize(signed.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("node")), "classes")
+    classes = materialize(signed.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("id")), "classes")
     nodes = materialize(
         signed.join(classes, "cls")
-        .where("doc_id = node")
+        .where("doc_id = id")
         .dropDuplicates(["cls"])
-        .select("node", "n_shingles", "bands", "sketch", "filled"),
+        .select(F.xxhash64("cls").alias("node"), "id", "text_hash", "n_shingles", "bands", "sketch", "filled"),
         "nodes",
     )
     banded = nodes.select("node", F.posexplode("bands").alias("band", "value"))
     banded = banded.select(F.xxhash64("band", "value").alias("key"), "band", "node")
     buckets = banded.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
     members = materialize(banded.join(buckets, "key"), "buckets")
-    sets = materialize(_sets(docs, members.select("node").distinct(), n).dropDuplicates(["node"]), "sets")
+    wanted = nodes.select("node", "id", "text_hash").join(members.select("node").distinct(), "node")
+    sets = materialize(_sets(docs, wanted, n).dropDuplicates(["node"]), "sets")
 
     led = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     first = materialize(_decide(_sift(led, nodes, percent), sets, percent), "links")
@@ -304,16 +308,28 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = SHINGLE) -> Dat
     open_ = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     second = _decide(_across(known.join(open_, "key", "left_semi"), nodes, percent), sets, percent)
 
-    named = components(first.unionByName(second))
-    by_class = classes.join(named, "node", "left").select("cls", F.coalesce("component", "node").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "cls").join(by_class, "cls", "left")
+    ids = nodes.select("node", "id")
+    links = first.unionByName(second).join(ids.toDF("a", "ia"), "a").join(ids.toDF("b", "ib"), "b")
+    named = components(links.select(F.col("ia").alias("a"), F.col("ib").alias("b"))).withColumnRenamed("node", "id")
+    by_class = classes.join(named, "id", "left").select("cls", F.coalesce("component", "id").alias("component_id"))
+    out = signed.select("doc_id", "text_hash", "n_shingles", "cls").join(by_class, "cls", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     )
 
 
+def near_duplicates(docs: DataFrame, percent: int = 80, n: int = SHINGLE) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
+
+    Two documents are linked if their sets' common part is at least ``percent`` percent
+    of their union. Runs and writes its steps when called.
+    """
+    return _judged(docs, percent, n).drop("text_hash")
+
+
 def keep_one_of_each(docs: DataFrame, percent: int = 80, n: int = SHINGLE) -> DataFrame:
     """The rows of ``docs`` whose document stands for its component, with all columns."""
-    gone = near_duplicates(docs, percent, n).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = _judged(docs, percent, n).where("NOT kept").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct()
+    same = (docs["doc_id"].cast("long") == gone["_d"]) & (F.xxhash64(docs["text"]) == gone["_h"])
+    return docs.join(gone, same, "left_anti").select(docs.columns)

@@ -127,3 +127,15 @@ def test_components_of_a_chain(spark):
     got = {r.node: r.component for r in nd.components(links).collect()}
     assert got == {**{i: 0 for i in range(1, 21)}, 50: 40}
     assert nd.components(links.where(F.lit(False))).collect() == []
+
+
+def test_two_texts_under_one_id(spark):
+    rng = random.Random(3)
+    a, b = ([f"{c}{rng.randrange(5000)}" for _ in range(200)] for c in "ab")
+    near = [" ".join(x[:-1] + ["end"]) for x in (a, b)]
+    a, b = " ".join(a), " ".join(b)
+    for rows in ([(5, a), (5, b), (7, near[0]), (8, near[1])], [(5, b), (5, a), (7, near[0]), (8, near[1])], [(5, a), (5, b), (3, a), (8, near[1])]):
+        df = spark.createDataFrame(rows, "doc_id bigint, text string")
+        check(df, 80)
+        kept = sorted((r.doc_id, r.text) for r in nd.keep_one_of_each(df, 80).collect())
+        assert kept == sorted([(5, b), (3, a) if (3, a) in rows else (5, a)])
