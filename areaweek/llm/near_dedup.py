@@ -7,14 +7,20 @@
    2e-7.
 3. In each bucket the smallest member leads; every other member is compared with it.
    That alone joins a group of mutual copies with one comparison for each member.
-4. Members of a bucket that are still apart are compared in blocks, inside a task, by
-   their odd sketches: minima of one permutation dealt to bins, folded into a parity
-   bitmap. The population count of two bitmaps' XOR tells how many minima differ.
-   Only pairs that could be links within four and a half standard deviations become rows,
-   and each only in the first band that it shares.
-5. Each such pair is decided on the full sets; links are joined into components.
-
-Blocks are bounded, so a large bucket becomes many tasks; no step gathers a bucket.
+   Members that are then still apart are compared with the bucket's hub, the member
+   with most links so far, which joins copies of one text that are less alike among
+   themselves.
+4. Components are taken after each of these, so only pairs of different groups are left.
+   They are compared in blocks, inside a task, by their odd sketches: minima of one
+   permutation dealt to bins, folded into a parity bitmap. The population count of two
+   bitmaps' XOR tells how many minima differ. What leaves a task are members that could
+   have a link, within four and a half standard deviations, not pairs of them.
+5. Blocks of these members meet once more with their full sets. A task decides its pairs
+   on them, keeps the groups that it has joined, and gives out links that join two
+   groups: fewer than it has members.
+
+Blocks are bounded in members and in bytes, so a large bucket becomes many tasks; no step
+gathers a bucket, and no step's rows grow with the square of a group.
 
 Defined cases: a text without words has an empty set and is linked with nothing, as
 is a row without an id (its component is null, and it is kept). A text with fewer
@@ -44,6 +50,9 @@ BINS = 2048  # of the permutation whose minima a sketch folds
 BITS = 2048  # of a sketch
 SIGMAS = 4.5
 BLOCK = 512  # members of a bucket that are compared with each other in one go
+BLOCK_SHINGLES = 4 << 20  # and how many shingles they have together
+
+LINK = "a binary, b binary"
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _S27, _S30, _S31, _S53 = (np.uint64(x) for x in (27, 30, 31, 53))
@@ -170,7 +179,7 @@ def _sift(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 ok = pa.array(could_link(xor, *n, percent))
                 yield pa.RecordBatch.from_arrays([_column(b, "a").filter(ok), _column(b, "b").filter(ok)], names=["a", "b"])
 
-    return both.select("a", "b", "na", "sa", "fa", "nb", "sb", "fb").mapInArrow(run, "a bigint, b bigint")
+    return both.select("a", "b", "na", "sa", "fa", "nb", "sb", "fb").mapInArrow(run, LINK)
 
 
 def _decide(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -189,7 +198,7 @@ def _decide(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             )
             yield pa.RecordBatch.from_arrays([_column(b, "a").filter(ok), _column(b, "b").filter(ok)], names=["a", "b"])
 
-    return both.mapInArrow(run, "a bigint, b bigint")
+    return both.mapInArrow(run, LINK)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -205,53 +214,118 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_hash"), "text")
     texts = texts.join(wanted, ["id", "text_hash"]).select("node", "text")
-    return texts.mapInArrow(run, "node bigint, shingles binary")
+    return texts.mapInArrow(run, "node binary, shingles binary")
 
 
-def _across(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket but different groups whose sketches allow a link, in blocks.
+def _blocks(known: DataFrame) -> DataFrame:
+    """Members of open buckets, dealt to pairs of blocks: ``key, left, right, of_left, minor, band, node, comp``.
 
-    ``members``: ``key, band, node, comp, n``. A bucket of n members has ceil(n / BLOCK)
-    blocks; every pair of blocks is one group of rows, so tasks are bounded. A pair
-    that shares several bands is reported in the first; if that bucket has no other
-    member, the pair has been decided with its leader.
+    ``known``: ``key, band, node, comp, n_shingles``. The largest group of a bucket is its
+    major one; pairs inside it are settled. So the other members, in blocks, are laid beside
+    blocks of all members: with few others, each member of a large group moves once.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    dealt = (
-        members.withColumn("blocks", blocks)
-        .withColumn("own", own)
-        .join(nodes.drop("id", "text_hash"), "node")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("lo", F.least("own", "other"))
-        .withColumn("hi", F.greatest("own", "other"))
-        .select("key", "lo", "hi", "band", "own", "node", "comp", "n_shingles", "bands", "sketch", "filled")
+    groups = known.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
+    largest = F.max(F.struct("n", "size", "comp"))
+    buckets = groups.groupBy("key").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), largest.alias("most")).where("n > most.n")
+
+    def count(n, size):
+        return F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_SHINGLES)).cast("int")
+
+    buckets = buckets.select(
+        "key",
+        F.col("most.comp").alias("major"),
+        count(F.col("n") - F.col("most.n"), F.col("size") - F.col("most.size")).alias("lefts"),
+        count(F.col("n"), F.col("size")).alias("rights"),
     )
+    each = known.join(buckets, "key").withColumn("minor", F.col("comp") != F.col("major"))
+
+    def dealt(rows: DataFrame, of_left: bool) -> DataFrame:
+        own, other = ("lefts", "rights") if of_left else ("rights", "lefts")
+        return (
+            rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col(own)).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+            .select(
+                "key",
+                F.col("own" if of_left else "other").alias("left"),
+                F.col("other" if of_left else "own").alias("right"),
+                F.lit(of_left).alias("of_left"),
+                "minor",
+                "band",
+                "node",
+                "comp",
+            )
+        )
+
+    return dealt(each.where("minor"), True).unionByName(dealt(each, False))
+
+
+class _Rows:
+    """The rows of one pair of blocks, and which of their pairs could be links."""
+
+    def __init__(self, t: pa.Table, percent: int) -> None:
+        self.node, self.comp = (np.array(t.column(c).to_pylist(), object) for c in ("node", "comp"))
+        self.left = np.flatnonzero(t.column("of_left").to_numpy())
+        self.right = np.flatnonzero(~t.column("of_left").to_numpy())
+        self.size, self.filled = (t.column(c).to_numpy() for c in ("n_shingles", "filled"))
+        self.minor = t.column("minor").to_numpy()
+        self.sketch = _words64(t.column("sketch").combine_chunks())
+        self.keys = t.column("bands").combine_chunks().flatten().to_numpy().reshape(t.num_rows, BANDS)
+        self.band = t.column("band")[0].as_py()
+        self.group = np.unique(self.comp, return_inverse=True)[1]
+        self.rank = np.unique(self.node, return_inverse=True)[1]
+        self.percent = percent
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of pairs of different groups whose sketches allow a link, in the first band that they share."""
+        right = self.right
+        for at in range(0, len(self.left), 64):
+            i = self.left[at : at + 64, None]
+            xor = np.bitwise_count(self.sketch[i] ^ self.sketch[None, right]).sum(axis=2)
+            ok = could_link(xor, self.size[i], self.size[None, right], self.filled[i], self.filled[None, right], self.percent)
+            ok &= self.group[i] != self.group[None, right]
+            ok &= ~self.minor[None, right] | (self.rank[i] < self.rank[None, right])  # two minor members meet twice
+            x, y = np.nonzero(ok)
+            x, y = i[x, 0], right[y]
+            first = np.argmax(self.keys[x] == self.keys[y], axis=1) == self.band
+            yield x[first], y[first]
+
+
+def _across(known: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links ``a, b`` between different groups of one bucket that make one group of two in their task."""
+    of = nodes.select("node", "n_shingles", "bands", "sketch", "filled")
+    dealt = _blocks(known)
+    schema, columns = dealt.schema, dealt.columns
+
+    def candidates(t: pa.Table) -> pa.Table:
+        rows = _Rows(t, percent)
+        keep = np.zeros(t.num_rows, bool)
+        for x, y in rows.pairs():
+            keep[x] = keep[y] = True
+        return t.select(columns).filter(pa.array(keep))
+
+    def decide(t: pa.Table) -> pa.Table:
+        rows = _Rows(t, percent)
+        found = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("shingles").combine_chunks()]
+        parent = list(range(rows.group.max() + 1))
+
+        def top(g: int) -> int:
+            while parent[g] != g:
+                parent[g] = g = parent[parent[g]]
+            return g
 
-    def compare(t: pa.Table) -> pa.Table:
-        own, lo, hi = (t.column(c).to_numpy() for c in ("own", "lo", "hi"))
-        node, comp, size, filled = (t.column(c).to_numpy() for c in ("node", "comp", "n_shingles", "filled"))
-        sketch = _words64(t.column("sketch").combine_chunks())
-        keys = t.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), BANDS)
-        band = t.column("band")[0].as_py()
-        same = lo[0] == hi[0]
-        left, right = (np.arange(len(node)),) * 2 if same else (np.flatnonzero(own == lo[0]), np.flatnonzero(own == hi[0]))
         a, b = [], []
-        for at in range(0, len(left), 64):
-            i = left[at : at + 64]
-            xor = np.bitwise_count(sketch[i, None, :] ^ sketch[None, right, :]).sum(axis=2)
-            ok = could_link(xor, size[i, None], size[None, right], filled[i, None], filled[None, right], percent)
-            ok &= comp[i, None] != comp[None, right]
-            if same:
-                ok &= i[:, None] < right[None, :]
-            x, y = (i[z] if k == 0 else right[z] for k, z in enumerate(np.nonzero(ok)))
-            first = np.argmax(keys[x] == keys[y], axis=1) == band
-            a.append(node[x[first]])
-            b.append(node[y[first]])
-        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return dealt.groupBy("key", "lo", "hi").applyInArrow(compare, "a bigint, b bigint").where("a < b").distinct()
+        for x, y in rows.pairs():
+            for i, k in zip(x.tolist(), y.tolist(), strict=True):
+                g, h = top(rows.group[i]), top(rows.group[k])
+                if g != h and linked(found[i], found[k], percent):
+                    parent[g] = h
+                    a.append(rows.node[i])
+                    b.append(rows.node[k])
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    by = ["key", "left", "right"]
+    hopeful = materialize(dealt.join(of, "node").groupBy(*by).applyInArrow(candidates, schema), "candidates")
+    return hopeful.join(of, "node").join(sets, "node").groupBy(*by).applyInArrow(decide, LINK)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -260,26 +334,53 @@ def components(links: DataFrame) -> DataFrame:
     Stars are contracted in turn: each node hands its larger, then its smaller
     neighbours to its smallest one, until nothing changes. Every round is written.
     """
+
+    def measured(edges: DataFrame):
+        return edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
-    state = None
-    while True:
+    state = measured(edges)
+    while state[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v")))
         edges = materialize(small.where("u > v").distinct(), "links")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = measured(edges)
         if now == state:
             break
         state = now
     return edges.groupBy("u").agg(F.min("v").alias("c")).select(F.col("u").alias("node"), F.col("c").alias("component"))
 
 
+def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, comp`` after further links (``a, b``); a node without a row in ``groups`` is a group of its own.
+
+    Only groups and single nodes that the links name are contracted anew.
+    """
+    if links.isEmpty():
+        return groups
+    ends = links.join(groups.toDF("a", "a_of"), "a", "left").join(groups.toDF("b", "b_of"), "b", "left")
+    ends = ends.select(F.coalesce("a_of", "a").alias("a"), F.coalesce("b_of", "b").alias("b"))
+    new = materialize(components(ends), "merged").toDF("comp", "into")
+    moved = groups.join(new, "comp", "left").select("node", F.coalesce("into", "comp").alias("comp"))
+    alone = new.join(groups, new["comp"] == groups["node"], "left_anti").select(F.col("comp").alias("node"), F.col("into").alias("comp"))
+    return materialize(moved.unionByName(alone), "groups")
+
+
+def _open(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """The members of buckets with members of more than one group, with their groups."""
+    known = members.join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    open_ = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    return known.join(open_, "key", "left_semi")
+
+
 def _judged(docs: DataFrame, percent: int, n: int) -> DataFrame:
     """``doc_id, text_hash, n_shingles, component_id, kept`` for every row of ``docs``.
 
-    A class is one node, named by a hash of its set; its smallest id names it only in the links.
+    A class is one node, named by the digest of its set; classes with one smallest id are
+    one document, and so one group from the start.
     """
     signed = materialize(signatures(docs, n), "signatures")
     classes = materialize(signed.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("id")), "classes")
@@ -287,31 +388,39 @@ def _judged(docs: DataFrame, percent: int, n: int) -> DataFrame:
         signed.join(classes, "cls")
         .where("doc_id = id")
         .dropDuplicates(["cls"])
-        .select(F.xxhash64("cls").alias("node"), "id", "text_hash", "n_shingles", "bands", "sketch", "filled"),
+        .select(F.col("cls").alias("node"), "id", "text_hash", "n_shingles", "bands", "sketch", "filled"),
         "nodes",
     )
-    banded = nodes.select("node", F.posexplode("bands").alias("band", "value"))
-    banded = banded.select(F.xxhash64("band", "value").alias("key"), "band", "node")
+    banded = nodes.select("node", "n_shingles", F.posexplode("bands").alias("band", "value"))
+    banded = banded.select(F.xxhash64("band", "value").alias("key"), "band", "node", "n_shingles")
     buckets = banded.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
     members = materialize(banded.join(buckets, "key"), "buckets")
     wanted = nodes.select("node", "id", "text_hash").join(members.select("node").distinct(), "node")
     sets = materialize(_sets(docs, wanted, n).dropDuplicates(["node"]), "sets")
 
-    led = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    first = materialize(_decide(_sift(led, nodes, percent), sets, percent), "links")
-
-    # groups so far, good enough to leave out pairs that are already together
-    up = first.groupBy("b").agg(F.min("a").alias("a"))
-    top = up.toDF("node", "a").join(up.toDF("a", "above"), "a", "left").select("node", F.coalesce("above", "a").alias("comp"))
-    known = members.where("n > 2").join(top, "node", "left").select("key", "band", "node", "n", F.coalesce("comp", "node").alias("comp"))
-    known = materialize(known, "grouped")
-    open_ = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    second = _decide(_across(known.join(open_, "key", "left_semi"), nodes, percent), sets, percent)
-
-    ids = nodes.select("node", "id")
-    links = first.unionByName(second).join(ids.toDF("a", "ia"), "a").join(ids.toDF("b", "ib"), "b")
-    named = components(links.select(F.col("ia").alias("a"), F.col("ib").alias("b"))).withColumnRenamed("node", "id")
-    by_class = classes.join(named, "id", "left").select("cls", F.coalesce("component", "id").alias("component_id"))
+    def links(pairs: DataFrame) -> DataFrame:
+        return materialize(_decide(_sift(pairs.distinct(), nodes, percent), sets, percent), "links")
+
+    led = links(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")))
+    shared = nodes.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a <> most")
+    shared = nodes.join(shared, "id").where("node <> a").select("a", F.col("node").alias("b"))
+    groups = components(led.unionByName(shared)).toDF("node", "comp")
+    groups = materialize(groups.unionByName(groups.select(F.col("comp").alias("node"), "comp").distinct()), "groups")
+
+    larger = members.where("n > 2").drop("n", "leader")
+    known = materialize(_open(larger, groups), "open")
+    if not known.isEmpty():
+        degree = led.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+        hubs = known.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node", "comp")).alias("hub"))
+        spokes = known.join(hubs, "key").where("comp <> hub.comp")
+        groups = _merged(groups, links(spokes.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))))
+        known = materialize(_open(known.drop("comp"), groups), "open")
+    if not known.isEmpty():
+        groups = _merged(groups, materialize(_across(known, nodes, sets, percent), "links"))
+
+    named = nodes.select("node", "id").join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    least = named.groupBy("comp").agg(F.min("id").alias("component_id"))
+    by_class = named.join(least, "comp").select(F.col("node").alias("cls"), "component_id")
     out = signed.select("doc_id", "text_hash", "n_shingles", "cls").join(by_class, "cls", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id")).withColumn(

@@ -139,3 +139,29 @@ def test_two_texts_under_one_id(spark):
         check(df, 80)
         kept = sorted((r.doc_id, r.text) for r in nd.keep_one_of_each(df, 80).collect())
         assert kept == sorted([(5, b), (3, a) if (3, a) in rows else (5, a)])
+
+
+@pytest.mark.parametrize("percent, groups", [(80, 1), (92, 600)])
+def test_rows_grow_with_members_not_pairs(spark, monkeypatch, percent, groups):
+    """600 copies with one word changed in each: about 0.9 alike, all mutual pairs above or below the threshold."""
+    rows = []
+    for i in range(600):
+        words = [f"w{k}" for k in range(100)]
+        words[5 + (i * 7) % 90] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    made = {}
+
+    def counted(df, label, write=nd.materialize):
+        out = write(df, label)
+        made[label] = max(made.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(nd, "materialize", counted)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = nd.near_duplicates(df, percent).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute(rows, percent)
+    assert len({r.component_id for r in found}) == groups
+    # 40 buckets hold each member at most; every member is led once in each, and dealt to few blocks
+    assert all(n <= 2 * nd.BANDS * len(rows) for n in made.values()), made
+    assert made.get("candidates", 0) <= 4 * nd.BANDS * len(rows)
+    assert made["links"] <= nd.BANDS * len(rows)
