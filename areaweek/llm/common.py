@@ -56,3 +56,21 @@ def gather(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarra
         return values[:0]
     stop = np.cumsum(size)
     return values[np.repeat(start - (stop - size), size) + np.arange(stop[-1])]
+
+
+def flat_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all texts, one after the other, and where each begins and the last ends; null: none."""
+    raw = texts.cast(pa.large_binary())
+    if raw.null_count:
+        raw = raw.fill_null(b"")
+    if not len(raw):
+        return np.empty(0, np.uint8), np.zeros(1, np.int64)
+    _, edges, data = raw.buffers()
+    edges = np.frombuffer(edges, np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    data = np.frombuffer(data, np.uint8)[edges[0] : edges[-1]] if data is not None else np.empty(0, np.uint8)
+    return data, edges - edges[0]
+
+
+def cut(data: np.ndarray, edges: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """The pieces of ``data`` between successive ``edges``, as an array of a large binary or string type."""
+    return pa.Array.from_buffers(kind, len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])

@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from areaweek.llm import (
+    alignment,
     decontaminate,
+    fingerprints,
+    importance,
     labelled,
     language_id,
     near_dedup,
@@ -235,3 +238,25 @@ def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(listed(base), 256).alias("base_sha256"),
         listed(F.col("found")).alias("spans"),
     )
+
+
+# DuckDB has no crc32, no tokenizers and no gamma variates from these hashes: tested by brute force.
+@query()
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of all documents towards the benchmark's words, and the ranks of the quarter that is drawn."""
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two tokenizers, linked and grouped, for every document."""
+    import public_tokenizers
+
+    files = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.align(table(spark, sf_dir, "documents"), *files).drop("n_overlaps")
+
+
+@query()
+def op13_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, and how near they are."""
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
