@@ -14,6 +14,7 @@ from areaweek.jobs import JOBS
 def parser() -> argparse.ArgumentParser:
     """One sub-command per job, its options taken from the job's parameters."""
     top = argparse.ArgumentParser(prog="areaweek")
+    top.add_argument("--checkpoint-dir", help="a folder that all executors share; default: spark.checkpoint.dir")
     commands = top.add_subparsers(dest="job", required=True)
     for name, job in JOBS.items():
         sub = commands.add_parser(name, help=(job.__doc__ or name).strip().splitlines()[0])
@@ -32,7 +33,11 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> int:
     options = vars(parser().parse_args(argv))
     job = JOBS[options.pop("job")]
-    job(SparkSession.builder.appName("areaweek").getOrCreate(), **options)
+    shared = options.pop("checkpoint_dir")
+    spark = SparkSession.builder.appName("areaweek").getOrCreate()
+    if shared:
+        spark.sparkContext.setCheckpointDir(shared)
+    job(spark, **options)
     return 0
 
 

@@ -48,12 +48,9 @@ class ForestParams:
     seed: int = 42
     max_bins: int = 64  # weeks have 53 values
     feature_subset: str = "all"
-    # Per-task memory for split statistics; more of it means fewer passes.
-    stats_memory_mb: int = 512
+    # Memory for the split statistics of one group of trees; more of it means fewer passes.
+    stats_memory_mb: int = 256
     bootstrap: bool = True
-    # Rows are dealt to so many parts by their keys, whatever the files and cores, as
-    # bootstrap weights are drawn part by part.
-    fit_partitions: int = 16
 
 
 # Forest sizes of the two forecasting models.

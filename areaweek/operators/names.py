@@ -54,27 +54,47 @@ def match_list(
     return tidy.withColumn(out, first_contained(F.col("_text"), ordered)).drop("_text")
 
 
-def match_by_join(df: DataFrame, text_col: str, known: DataFrame, out: str) -> DataFrame:
-    """Best contained name for every row, by an equi join on the names' beginnings.
+def grams(text: Column, size: int, step: int) -> Column:
+    """Every distinct run of ``size`` characters that begins at a multiple of ``step``.
+
+    A match with a look-ahead at these places walks the text once; cutting by position
+    would start over for each one.
+    """
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}})).{{1,{step}}}"), F.lit(1)))
 
-    Each text yields, for every position, as many characters as the longest name has.
-    Their first characters, as many as the shortest name has, are joined to those of
-    the names, and the rest is compared. Rows are told apart by the digest of their
-    text; texts themselves are not shuffled. The names are broadcast when their counted
-    size allows it. Null and empty texts take no part.
+
+def gram_index(known: DataFrame, size: int, step: int) -> DataFrame:
+    """``known`` (``_name, _pos, _part``) with ``_key``: the grams at each name's first ``step`` places.
+
+    Wherever a name of at least ``size + step - 1`` characters stands in a text, one of these
+    begins at a multiple of ``step``.
+    """
+    firsts = F.array(*[F.substring("_part", i + 1, size) for i in range(step)])
+    return known.select("_name", "_pos", "_part", F.explode(F.array_distinct(firsts)).alias("_key"))
+
+
+def match_by_join(df: DataFrame, text_col: str, known: DataFrame, out: str) -> DataFrame:
+    """Best contained name for every row, by an index of the names' grams.
+
+    A gram has half as many characters as the shortest name, so a text need only give those
+    at every ``step``-th place, each distinct one once, to meet a gram of every name in it.
+    Only names met like that are looked for in the text. Rows are told apart by the digest of their text. The index
+    is broadcast when its counted size allows it, and the hits are decided where the text
+    is; beyond that grams and digests are shuffled, and the hits come back to the texts.
+    Null and empty texts take no part.
     """
     known = known.withColumn("_part", F.lower("_name"))
     size = known.agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(2 * F.octet_length("_name") + F.octet_length("_part")).alias("bytes"),
         F.min(F.length("_part")).alias("least"),
-        F.max(F.length("_part")).alias("most"),
     ).first()
     if not size["n"]:
         return df.withColumn(out, F.lit(None).cast("string"))
-    known = known.withColumn("_key", F.substring("_part", 1, size["least"]))
-    if size["bytes"] + ROW_BYTES * size["n"] <= BROADCAST_BYTES:
-        known = F.broadcast(known)
+    width = (size["least"] + 1) // 2
+    step = size["least"] - width + 1
+    known = known.select("_name", "_pos", "_part")
+    index = gram_index(known, width, step)
 
     filled = F.coalesce(F.length(text_col) > 0, F.lit(False))
     # rows without a text get keys that match nothing and lie apart
@@ -83,15 +103,14 @@ def match_by_join(df: DataFrame, text_col: str, known: DataFrame, out: str) -> D
     texts = behind(
         df.where(filled).select(F.sha2(text_col, 256).alias("_tid"), F.col(text_col).alias("_t")),
         _text=F.lower(clean_text(F.col("_t"))),
-    )
-    # An empty match with a look-ahead at every position walks the text once;
-    # cutting by position would start over for each one.
-    every = F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{size['least']},{size['most']}}}))"), F.lit(1))
-    places = texts.select("_tid", F.explode(every).alias("_here"))
+    ).drop("_t")
+    if step * (size["bytes"] + ROW_BYTES * size["n"]) <= BROADCAST_BYTES:
+        hits = texts.select("_tid", "_text", F.explode(grams(F.col("_text"), width, step)).alias("_key")).join(F.broadcast(index), "_key")
+    else:
+        narrow = texts.select("_tid", F.explode(grams(F.col("_text"), width, step)).alias("_key")).join(index, "_key")
+        hits = texts.join(narrow.select("_tid", "_name", "_pos", "_part").distinct(), "_tid")
     best = (
-        places.withColumn("_key", F.substring("_here", 1, size["least"]))
-        .join(known, "_key")
-        .where(F.startswith("_here", "_part"))
+        hits.where(F.contains("_text", "_part"))
         .groupBy("_tid")
         .agg(F.min("_pos").alias("_best"), F.min_by("_name", "_pos").alias(out))
         .select("_tid", out)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,17 +18,70 @@ from areaweek.functions.text import slug
 CSV = {"header": True, "escape": '"'}
 
 
+@dataclass(frozen=True)
+class Headers:
+    """Files with a header, by its line; and those whose first line cannot be read, with the reason."""
+
+    groups: dict[str, list[str]]
+    broken: list[tuple[str, str]]
+
+
+def _files(spark: SparkSession, path: str) -> Iterator:
+    """The status of every file below a path or glob that is neither empty nor hidden."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
+    for top in fs.globStatus(pattern) or []:
+        root = top.getPath().toString()
+        each = fs.listFiles(top.getPath(), True)
+        while each.hasNext():
+            status = each.next()
+            below = [*status.getPath().toString().removeprefix(root).split("/"), status.getPath().getName()]
+            if status.getLen() and not any(part[:1] in ("_", ".") for part in below):
+                yield fs, status.getPath()
+
+
+def by_header(spark: SparkSession, path: str | Sequence[str]) -> Headers:
+    """Looks at the first line of every file; no more is read."""
+    io, conf = spark._jvm.java.io, spark._jsc.hadoopConfiguration()
+    codecs = spark._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+    found = Headers({}, [])
+    for p in [path] if isinstance(path, str) else path:
+        for fs, file in _files(spark, p):
+            stream = fs.open(file)
+            try:
+                codec = codecs.getCodec(file)
+                plain = codec.createInputStream(stream) if codec else stream
+                line = io.BufferedReader(io.InputStreamReader(plain, "UTF-8")).readLine()
+                found.groups.setdefault(line, []).append(file.toString())
+            except Py4JJavaError as e:
+                found.broken.append((file.toString(), str(e.java_exception)))
+            finally:
+                stream.close()
+    return found
+
+
 def read_csv(spark: SparkSession, path: str | Sequence[str], schema: StructType) -> DataFrame:
-    """One scan over a file, a folder or a glob of CSVs with headers.
+    """A file, a folder or a glob of CSVs with headers: one scan for each header there is.
 
-    Declared columns are found by name: other columns are ignored, absent ones
-    read as null. All files must share one header, which Spark verifies. A
-    pattern that matches nothing is an error.
+    Declared columns are found by name in every file: other columns are ignored, absent
+    ones read as null. A pattern that matches nothing is an error, as is a file that cannot
+    be read; ``checked.read_csv_checked`` goes on after both bad files and bad cells.
     """
-    header = spark.read.options(**CSV).csv(path).columns
+    groups = by_header(spark, path).groups
+    if len(groups) < 2:
+        return _one_header(spark, path, schema)
+    # folders named by a value keep giving that value, as they do in one scan
+    base = {"basePath": path} if isinstance(path, str) and not set(path) & set("*?[{") else {}
+    return union_sources([_one_header(spark, files, schema, base) for files in groups.values()])
+
+
+def _one_header(spark: SparkSession, path: str | Sequence[str], schema: StructType, base: dict | None = None) -> DataFrame:
+    """One scan; Spark verifies that all files share their header."""
+    options = CSV | (base or {})
+    header = spark.read.options(**options).csv(path if isinstance(path, str) else list(path)[:1]).columns
     declared = {f.name: f for f in schema.fields}
     physical = StructType([declared.get(c, StructField(c, StringType())) for c in header])
-    rows = spark.read.schema(physical).options(**CSV, enforceSchema=False)
+    rows = spark.read.schema(physical).options(**options, enforceSchema=False)
     return rows.csv(path).select(
         *[
             F.col(f.name) if f.name in header else F.lit(None).cast(f.dataType).alias(f.name)
@@ -41,11 +96,11 @@ def read_parquet(spark: SparkSession, path: str, schema: StructType | None = Non
 
 
 def read_optional(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """A CSV source that may be missing: then an empty relation of its schema."""
+    """A CSV source that may be missing or an empty folder: then an empty relation of its schema."""
     try:
         return read_csv(spark, path, schema)
     except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         return empty(spark, schema)
 
@@ -69,10 +124,15 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     writer.parquet(path)
 
 
-def write_by_area(df: DataFrame, path: str, key: str = "district") -> None:
-    """One folder per area, named by its slug; an area's rows may fill many files."""
-    named = df.withColumn("slug", slug(F.col(key)))
-    named.write.mode("overwrite").partitionBy("slug").options(**CSV).csv(path)
+def write_by_area(df: DataFrame, path: str, key: str = "district", most_rows: int = 5_000_000) -> None:
+    """Replace the files of the areas in ``df``; other areas' files stay as they are.
+
+    A folder for each area's slug, in it one for each name with that slug, and files of at
+    most ``most_rows`` rows. A null name has a folder of its own.
+    """
+    named = df.withColumns({"slug": slug(F.col(key)), "area": F.col(key)})
+    writer = named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.option("maxRecordsPerFile", most_rows).partitionBy("slug", "area").options(**CSV).csv(path)
 
 
 def trailing_days(
