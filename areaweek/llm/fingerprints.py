@@ -32,14 +32,14 @@ from pyspark.sql.window import Window
 
 from areaweek.runtime import materialize
 
-SAMPLES = 48
-STEP = 4  # samples whose priorities are computed by one operator
-BLOCKS = 2  # for each shuffle partition
+SAMPLES = 32
+STEP = 2  # samples whose priorities are computed by one operator
+BLOCKS = 3  # for each shuffle partition, and partitions of the texts
 SPLIT_SAMPLES = 16  # keys looked at for each block
 #: Terms of a block that are gathered by hash before Spark goes over to sorting them.
 HASHED_TERMS = 1 << 20
 
-_WORD = 1 << 32
+_BITS25, _BITS14 = (1 << 25) - 1, (1 << 14) - 1
 _SHIFT = 96.0  # priorities, as logarithms, lie between -90 and 4
 _SCALE = float(1 << 38)
 _CODE = 65535
@@ -103,7 +103,8 @@ def neighbours(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     keyed = _keyed(docs)
-    splitters = _splitters(keyed, BLOCKS * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    blocks = BLOCKS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    splitters = _splitters(keyed, blocks)
     dealt = keyed.withColumn("block", _block(splitters))
     first = dealt.groupBy("block").agg(F.min(F.struct("key.known", "key.id", "key.hash")).alias("key"))
     firsts = sorted(tuple([r.block, *r.key]) for r in first.collect())  # a row for each block
@@ -114,7 +115,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
     copies = texts.join(wanted, ["known", "id", "hash"]).dropDuplicates(["block"])
     columns = ["block", "known", "id", "hash", "guest", "doc_id", "text"]
     own = dealt.select("block", F.col("key.known").alias("known"), F.col("key.id").alias("id"), F.col("key.hash").alias("hash"), F.lit(0).alias("guest"), "doc_id", "text")
-    both = own.unionByName(copies.withColumn("guest", F.lit(1)).select(*columns))
+    both = own.unionByName(copies.withColumn("guest", F.lit(1)).select(*columns)).repartition(blocks, "block")
     order = Window.partitionBy("block").orderBy("guest", "known", "id", "hash")
     return both.select("block", F.row_number().over(order).alias("pos"), "guest", "doc_id", "text", F.lead("text").over(order).alias("next"))
 
@@ -122,25 +123,32 @@ def neighbours(docs: DataFrame) -> DataFrame:
 # ---- sampling -----------------------------------------------------------------------
 
 
-def term_words(text: Column) -> Column:
-    """Words in lower case, with an empty one wherever two blanks meet."""
-    return F.split(F.translate(F.lower(text), "\t\n\x0b\x0c\r", "     "), " ")
+def term_counts(texts: DataFrame) -> DataFrame:
+    """``block, place, term, n``: how often each word, by its hash, is in each text, in lower case."""
+    split = F.split(F.translate(F.lower("text"), "\t\n\x0b\x0c\r", "     "), " ")
+    place = (F.col("pos").cast("long") * 2 + F.col("which")).alias("place")
+    words = texts.select("block", place, F.explode(split).alias("word")).where("word <> ''")
+    return words.groupBy("block", "place", F.xxhash64("word").alias("term")).agg(F.count("*").alias("n"))
 
 
-def _uniform(bits: Column) -> Column:
-    """From 32 bits, between 0 and 1, never either."""
-    return (bits.cast("double") + 0.5) / float(_WORD)
+def _uniform(bits: Column, n: int) -> Column:
+    """From that many bits, between 0 and 1, never either."""
+    return (bits.cast("double") + 0.5) / float(1 << n)
 
 
 def variates(term: Column, sample: int) -> list[Column]:
-    """``r, c, h``: a gamma(2, 1) variate, the logarithm of another, and bits for a uniform one and the code."""
-    one, two, three = (F.xxhash64(term, F.lit(3 * sample + k)) for k in range(3))
+    """``r, c, h``: a gamma(2, 1) variate, the logarithm of another, and 28 bits for a uniform one and the code.
+
+    Each of two hashes gives two uniform variates of 25 bits for a gamma one, and half of ``h``.
+    """
+    one, two = (F.xxhash64(term, F.lit(2 * sample + k)) for k in range(2))
 
     def gamma(h: Column) -> Column:
-        return -F.ln(_uniform(F.shiftrightunsigned(h, 32)) * _uniform(h.bitwiseAND(F.lit(_WORD - 1))))
+        return -F.ln(_uniform(F.shiftrightunsigned(h, 39), 25) * _uniform(F.shiftrightunsigned(h, 14).bitwiseAND(F.lit(_BITS25)), 25))
 
     none = F.lit(1.0)  # logarithms count as nullable, though these never are
-    return [F.coalesce(gamma(one), none).alias(f"r{sample}"), F.coalesce(F.ln(gamma(two)), none).alias(f"c{sample}"), three.alias(f"h{sample}")]
+    rest = F.shiftleft(one.bitwiseAND(F.lit(_BITS14)), 14).bitwiseOR(two.bitwiseAND(F.lit(_BITS14)))
+    return [F.coalesce(gamma(one), none).alias(f"r{sample}"), F.coalesce(F.ln(gamma(two)), none).alias(f"c{sample}"), rest.alias(f"h{sample}")]
 
 
 def priority(weight_log: Column, sample: int) -> Column:
@@ -151,7 +159,7 @@ def priority(weight_log: Column, sample: int) -> Column:
     term, the sample and the level the lower ones.
     """
     r, c, h = (F.col(f"{n}{sample}") for n in "rch")
-    b = _uniform(F.shiftrightunsigned(h, 32))
+    b = _uniform(h, 28)
     level = F.floor(weight_log / r + b)
     log = c - r * (level - b + 1)
     code = h.bitwiseXOR(level * F.lit(40503)).bitwiseAND(F.lit(_CODE))
@@ -170,10 +178,7 @@ def sampled(texts: DataFrame) -> DataFrame:
     Terms of the documents of a block that occur equally often share one set of priorities.
     """
     texts.sparkSession.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(HASHED_TERMS))
-    words = texts.select("block", "pos", "which", F.explode(term_words(F.col("text"))).alias("word")).where("word <> ''")
-    counts = words.groupBy("block", "pos", "which", F.xxhash64("word").alias("term")).agg(F.count("*").alias("n"))
-    place = (F.col("pos").cast("long") * 2 + F.col("which")).alias("place")
-    shared = counts.select("block", "term", "n", place).groupBy("block", "term", "n").agg(F.collect_list("place").alias("places"))
+    shared = term_counts(texts).groupBy("block", "term", "n").agg(F.collect_list("place").alias("places"))
     names = [f"s{i}" for i in range(SAMPLES)]
     shared = _behind(shared, F.coalesce(F.ln(F.col("n").cast("double")), F.lit(0.0)).alias("log"))
     for i in range(0, SAMPLES, STEP):

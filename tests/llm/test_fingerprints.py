@@ -28,10 +28,10 @@ _drawn: dict[tuple[int, int], list] = {}
 
 def variates(term, sample):
     if (term, sample) not in _drawn:
-        u = lambda bits: (bits + 0.5) / 4294967296
-        one, two, three = (hashed(term, 3 * sample + k) for k in range(3))
-        r, c = (-math.log(u(h >> 32) * u(h & 0xFFFFFFFF)) for h in (one, two))
-        _drawn[term, sample] = [r, math.log(c), u(three >> 32), three]
+        one, two = (hashed(term, 2 * sample + k) for k in range(2))
+        r, c = (-math.log(((h >> 39) + 0.5) / 2**25 * (((h >> 14) % 2**25 + 0.5) / 2**25)) for h in (one, two))
+        h = (one % 2**14 << 14) | two % 2**14
+        _drawn[term, sample] = [r, math.log(c), (h + 0.5) / 2**28, h]
     return _drawn[term, sample]
 
 
