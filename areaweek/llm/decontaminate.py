@@ -15,6 +15,11 @@ in any counts: names as slots; capitalised words elsewhere as slots too; all of
 the words they are, without regard to case. Windows with too few words for that are
 joined with the values of their slots.
 
+Windows that match have the same words but for slots, so each one of an item has an anchor:
+its longest word that is no slot. Of a text, only the windows with an anchor in them are
+hashed, which leaves nothing out; only if there are more than ``ANCHORS`` of them, the
+windows of texts are all hashed.
+
 Each alignment is decided on its words. A stretch that aligns without a gap counts if it
 is thirteen words long (or the whole item), holds a joined window and is consistent in
 itself, wherever else the alignment is not; so does a stretch as long that is the item's,
@@ -42,6 +47,9 @@ ALIGNED = 13  # template words that must align
 #: Windows of items up to which they are sent to every executor; beyond it the join shuffles.
 BROADCAST_WINDOWS = 500_000
 
+#: Distinct anchors up to which texts are sifted by them; they are part of the plan.
+ANCHORS = 20_000
+
 MARK = "\u0001"  # taken out of the texts, so that it only stands for slots
 SPACES = "\t\n\u000b\f\r\u0085\u00a0\u2028\u2029\u202f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 WORD = r"\p{Lu}\p{Ll}+\p{L}*"
@@ -92,13 +100,10 @@ def caseless(word: Column) -> Column:
 FORMS = {"strict": strict, "wide": wide, "caseless": caseless, "valued": valued}
 
 
-def _each(words: Column, form, of) -> Column:
-    return F.transform(words, lambda w: of(form(w)))
-
-
-def hashed(words: Column) -> dict[str, Column]:
-    """The hashes of the words in each form."""
-    return {n: _each(words, f, F.xxhash64) for n, f in FORMS.items()}
+def window_hashes(words: Column, at: Column) -> dict[str, Column]:
+    """The hashes of the window at a place, in each form."""
+    window = F.slice(words, at + 1, F.lit(WINDOW))
+    return {n: F.xxhash64(F.transform(window, f)) for n, f in FORMS.items()}
 
 
 def windows(size: Column, of) -> Column:
@@ -107,8 +112,15 @@ def windows(size: Column, of) -> Column:
     return F.transform(places, of)
 
 
-def window_hash(hashes: Column, at: Column) -> Column:
-    return F.xxhash64(F.slice(hashes, at + 1, F.lit(WINDOW)))
+def anchored(words: Column, anchors: list[str] | None) -> Column:
+    """The places of windows that hold an anchor, ascending; of all windows without a list."""
+    size = F.size(words)
+    if anchors is None:
+        return windows(size, lambda at: at)
+    known = [p + a for a in anchors for p in ("", MARK + "a", MARK + "c")]
+    hits = F.array_compact(F.transform(words, lambda w, i: F.when(w.isin(known), i)))
+    around = F.transform(hits, lambda i: F.sequence(F.greatest(i - (WINDOW - 1), F.lit(0)), F.least(i, size - WINDOW)))
+    return F.when(size >= WINDOW, F.array_distinct(F.flatten(around))).otherwise(F.array().cast("array<int>"))
 
 
 def _behind(df: DataFrame, **cols: Column) -> DataFrame:
@@ -117,28 +129,26 @@ def _behind(df: DataFrame, **cols: Column) -> DataFrame:
     return df.select("*", F.inline(made))
 
 
-def _sum(x: Column) -> Column:
-    return F.aggregate(x, F.lit(0), lambda a, v: a + v)
-
-
 def item_windows(items: DataFrame) -> DataFrame:
-    """``item_id, item_hash, at, hash, strict, need, aligned``: windows to be joined.
+    """``item_id, item_hash, at, hash, strict, need, aligned, anchor``: windows to be joined.
 
     ``aligned`` windows make thirteen words. Of these, ``need`` are joined at least,
     wherever in the item they are: those with enough words, or else those with any.
     """
     texts = _behind(items.select("item_id", "text", F.xxhash64("text").alias("item_hash")), words=template_words(F.col("text")))
     words = F.col("words")
-    literals = {n: _each(words, f, lambda w: F.when(w.startswith(MARK), 0).otherwise(1)) for n, f in FORMS.items() if n != "valued"}
-    each = _behind(texts, **hashed(words), **{f"{n}_words": c for n, c in literals.items()})
 
     def entry(at: Column) -> Column:
-        n = {f: _sum(F.slice(f"{f}_words", at + 1, F.lit(WINDOW))) for f in literals}
-        enough = {f: n[f] >= LITERAL for f in literals} | {"valued": (n["caseless"] > 0) & (n["caseless"] < LITERAL)}
-        hashes = [F.when(enough[f], window_hash(F.col(f), at)).alias(f) for f in FORMS]
-        return F.struct(at.alias("at"), *hashes)
-
-    each = _behind(each.select("item_id", "item_hash", F.size("words").alias("size"), windows(F.size("words"), entry).alias("w")), w2=F.col("w"))
+        window = F.slice(words, at + 1, F.lit(WINDOW))
+        literal = {n: F.filter(F.transform(window, f), lambda w: ~w.startswith(MARK)) for n, f in FORMS.items()}
+        n = {f: F.size(literal[f]) for f in FORMS}
+        enough = {f: n[f] >= LITERAL for f in FORMS if f != "valued"} | {"valued": (n["caseless"] > 0) & (n["caseless"] < LITERAL)}
+        longest = {f: F.array_max(F.transform(literal[f], lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"] for f in FORMS}
+        hashes = window_hashes(words, at)
+        made = [F.when(enough[f], F.struct(hashes[f].alias("hash"), longest[f].alias("anchor"))).alias(f) for f in FORMS]
+        return F.struct(at.alias("at"), *made)
+
+    each = _behind(texts.select("item_id", "item_hash", F.size("words").alias("size"), windows(F.size("words"), entry).alias("w")), w2=F.col("w"))
     aligned = F.least(F.col("size"), F.lit(ALIGNED)) - (WINDOW - 1)
 
     def joined(at: Column) -> Column:
@@ -150,9 +160,10 @@ def item_windows(items: DataFrame) -> DataFrame:
     places = F.when(aligned > 0, F.sequence(F.lit(0), F.size("w2") - aligned)).otherwise(F.array().cast("array<int>"))
     need = F.array_min(F.transform(places, joined))
     out = _behind(each, need=need, aligned=aligned).select("item_id", "item_hash", "need", "aligned", F.inline("w2"))
-    of = F.explode(F.array(*[F.struct(F.col(f).alias("hash"), F.lit(f == "strict").alias("strict")) for f in FORMS])).alias("h")
-    out = out.select("item_id", "item_hash", "need", "aligned", "at", of).select("item_id", "item_hash", "need", "aligned", "at", "h.*")
-    return out.where("hash IS NOT NULL").groupBy("item_id", "item_hash", "need", "aligned", "at", "hash").agg(F.max("strict").alias("strict"))
+    of = F.explode(F.array(*[F.struct(F.col(f).alias("h"), F.lit(f == "strict").alias("strict")) for f in FORMS])).alias("of")
+    out = out.select("item_id", "item_hash", "need", "aligned", "at", of).where("of.h IS NOT NULL")
+    out = out.select("item_id", "item_hash", "need", "aligned", "at", "of.h.hash", "of.h.anchor", "of.strict")
+    return out.groupBy("item_id", "item_hash", "need", "aligned", "at", "hash").agg(F.max("strict").alias("strict"), F.min("anchor").alias("anchor"))
 
 
 def _consistent(pairs: Column, slot: str) -> Column:
@@ -209,13 +220,19 @@ def _gives_away(df: DataFrame) -> DataFrame:
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``doc_id, text_hash, item_id``: texts and the items that they give away, once each."""
     wanted = materialize(item_windows(items), "item-windows")
+    anchors = [r.anchor for r in wanted.select("anchor").distinct().limit(ANCHORS + 1).collect()]
+    anchors = sorted(anchors) if len(anchors) <= ANCHORS else None
+    wanted = wanted.drop("anchor")
     if wanted.count() <= BROADCAST_WINDOWS:
         wanted = F.broadcast(wanted)
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    split = _behind(texts, words=template_words(F.col("text")))
-    split = _behind(split.select("doc_id", "text_hash", "words"), **hashed(F.col("words")))
-    hashes = windows(F.size("strict"), lambda at: F.array_distinct(F.array(*[window_hash(F.col(f), at) for f in FORMS])))
-    each = split.select("doc_id", "text_hash", F.posexplode(hashes).alias("pos", "hashes"))
+    split = _behind(texts, words=template_words(F.col("text"))).select("doc_id", "text_hash", "words")
+    split = _behind(split, places=anchored(F.col("words"), anchors)).where(F.size("places") > 0)
+
+    def hashed(at: Column) -> Column:
+        return F.struct(at.alias("pos"), F.array_distinct(F.array(*window_hashes(F.col("words"), at).values())).alias("hashes"))
+
+    each = split.select("doc_id", "text_hash", F.inline(F.transform("places", hashed)))
     each = each.select("doc_id", "text_hash", "pos", F.explode("hashes").alias("hash"))
     narrow = F.when(F.col("strict"), F.col("at"))
     aligned = (

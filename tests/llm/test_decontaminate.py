@@ -34,8 +34,9 @@ def test_items_of_any_kind(spark):
 
 @pytest.mark.parametrize("broadcast", [True, False])
 def test_like_brute_force_on_verbatim_passages(spark, sf, monkeypatch, broadcast):
-    if not broadcast:
+    if not broadcast:  # beyond both bounds: windows by a shuffle, and all of them
         monkeypatch.setattr(dc, "BROADCAST_WINDOWS", -1)
+        monkeypatch.setattr(dc, "ANCHORS", -1)
     docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
     runs: dict[tuple, set] = {}
     for r in items.collect():
