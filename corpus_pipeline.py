@@ -17,7 +17,7 @@ from areaweek.runtime import materialize
 NEAR = 80
 TOKENIZER = "piece_bpe_32k.model"
 
-#: Hash signatures and merges by rank are not SQL; the tests hold each stage against brute force.
+#: Hash signatures and merges by rank are not SQL; the tests compare each stage with its operator, which has a brute-force test.
 ORACLE_SQL = None
 
 
