@@ -190,7 +190,7 @@ def op6_rans_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     folder = token_files.write_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
-    return token_files.read_files(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return token_files.read_files(spark, folder, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def _positions_sql(rule: secrets.Rule, name: str) -> str:

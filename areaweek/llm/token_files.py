@@ -15,7 +15,7 @@ checkpoints, crc32 (u32 each); lane states (u64) and word position (u32) of ever
 checkpoint, the first being the start; words (u32).
 
 Defined cases: a null or empty text has only the end id; null ids come first; rows
-with one id follow each other by their ids; repeated rows are written each;
+with one id follow each other by a hash of their ids; repeated rows are written each;
 an empty table gives no files and an empty result; further columns are ignored.
 """
 
@@ -46,6 +46,7 @@ END_ID = 2
 PRECISION = 20  # bits of the frequency scale
 LANES = 512
 BLOCK = 1 << 18  # ids
+FILE_IDS = 1 << 26  # a file has about this many ids at most, as it is read whole
 CHECKPOINT = 128  # steps of all lanes
 
 #: Words of letters, then ASCII marks but the apostrophe: the tokenizer parts them there.
@@ -324,21 +325,44 @@ def _store(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """``doc_id``, ``packed``: each text is encoded once and its ids written, packed, for the passes over them."""
+def tokenised(docs: DataFrame, tokenizer: str) -> tuple[DataFrame, DataFrame]:
+    """``doc_id``, ``packed``, ``place``: each text is encoded once and its ids written, packed, for the passes
+    over them; and ``counts``, a row for each task that says how often it met each id.
+
+    Both leave the task that encodes together, so a task that runs again brings its own counts.
+    ``place`` numbers the rows of a task.
+    """
     small_batches(docs.sparkSession, 16 << 20)  # the larger a batch, the more often a word is met again
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3)
+        total, place = np.zeros(0, np.int64), 0
         for b in batches:
             encoder = _encoder(tokenizer)
             texts = b.column(b.schema.get_field_index("text"))
-            packed = [packer.compress(i.astype(_kind(encoder.size)).tobytes()) for i in encoder.encode(texts)]
+            found = encoder.encode(texts)
+            if found:
+                total = _sum(total, np.bincount(np.concatenate(found), minlength=encoder.size))
+            packed = [packer.compress(i.astype(_kind(encoder.size)).tobytes()) for i in found]
             key = b.column(b.schema.get_field_index("doc_id"))
-            yield pa.RecordBatch.from_arrays([key, pa.array(packed, pa.binary())], names=["doc_id", "packed"])
+            places = pa.array(np.arange(place, place + len(found)))
+            place += len(found)
+            yield _packed(key, pa.array(packed, pa.binary()), places, pa.nulls(len(found), pa.binary()))
+        if total.any():
+            counts = pa.array([total.astype("<i8").tobytes()], pa.binary())
+            yield _packed(pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), counts)
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return materialize(keyed.mapInArrow(encode, "doc_id bigint, packed binary"), "token-ids")
+    both = materialize(keyed.mapInArrow(encode, "doc_id bigint, packed binary, place bigint, counts binary"), "token-ids")
+    return both.where("packed is not null").drop("counts"), both.where("counts is not null").select("counts")
+
+
+def _packed(*columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(list(columns), names=["doc_id", "packed", "place", "counts"])
+
+
+def _sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a + b if len(a) else b
 
 
 def _kind(size: int) -> str:
@@ -350,23 +374,22 @@ def _unpacked(packed: list[bytes], size: int) -> list[np.ndarray]:
     return [np.frombuffer(packer.decompress(p), _kind(size)).astype(np.uint32) for p in packed]
 
 
-def count_ids(packed: DataFrame, size: int) -> Frequencies:
-    """The frequency table over all documents; at most one row per id reaches the driver."""
+def count_ids(counts: DataFrame, size: int) -> tuple[Frequencies, int]:
+    """The frequency table over all documents, and the number of ids; at most one row per id reaches the driver."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
-        for _, (some,) in rows(batches, "packed"):
-            for ids in _unpacked(some, size):
-                seen, n = (ids, 1) if len(ids) < 2 else np.unique(ids, return_counts=True)
-                total[seen] += n
+        for _, (some,) in rows(batches, "counts"):
+            for c in some:
+                total += np.frombuffer(c, "<i8")
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["id", "n"])
 
-    found = packed.select("packed").mapInArrow(count, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(size, np.int64)
+    found = counts.mapInArrow(add, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    total = np.zeros(size, np.int64)
     for r in found:
-        counts[r.id] = r.n
-    return Frequencies.from_counts(counts)
+        total[r.id] = r.n
+    return Frequencies.from_counts(total), int(total.sum())
 
 
 def write_files(docs: DataFrame, tokenizer: str, folder: str | None = None) -> str:
@@ -378,8 +401,8 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str | None = None) -> s
     spark = docs.sparkSession
     folder = folder or run_dir(spark, "token-files")
     size = WordEncoder(tokenizer).size
-    packed = tokenised(docs, tokenizer)
-    table = count_ids(packed, size)
+    packed, counts = tokenised(docs, tokenizer)
+    table, n_ids = count_ids(counts, size)
     fs, path = _store(folder)
     fs.create_dir(path, recursive=True)
     with fs.open_output_stream(f"{path}/table") as out:
@@ -402,14 +425,19 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str | None = None) -> s
             fs.move(hidden, f"{path}/{name}")
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([writer.n_ids], pa.int64())], names=["file", "n"])
 
-    ordered = packed.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "packed")
+    # Rows with one id, null ids among them, are dealt to many files by their ids' hash and their place.
+    by = ["doc_id", F.xxhash64("packed").alias("hash"), "place"]
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_ids // FILE_IDS))
+    ordered = packed.select("packed", *by).repartitionByRange(ranges, "doc_id", "hash", "place")
+    ordered = ordered.sortWithinPartitions("doc_id", "hash", "place")
     ordered.mapInArrow(write, "file string, n bigint").write.parquet(f"{folder}/files")
     return folder
 
 
-def read_files(spark: SparkSession, folder: str) -> DataFrame:
+def read_files(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32, ids`` of every document, from the files alone.
 
+    Without ``with_ids`` they are decoded and checked as well, but don't leave the task.
     ``start`` counts the ids of all documents before it; the checksum is over the ids as
     little-endian unsigned 32-bit integers.
     """
@@ -430,32 +458,32 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
                     start += len(ids)
                     held += len(ids)
                     if held > BLOCK:
-                        yield _batch(some)
+                        yield _batch(some, with_ids)
                         held, some = 0, []
                 if some:
-                    yield _batch(some)
+                    yield _batch(some, with_ids)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.ids").load(folder).select("path", "content")
-    docs = files.mapInArrow(read, "file string, doc_id bigint, first bigint, n_tokens bigint, ids_crc32 bigint, ids array<int>")
+    kind = "file string, doc_id bigint, first bigint, n_tokens bigint, ids_crc32 bigint"
+    docs = files.mapInArrow(read, kind + ", ids array<int>" * with_ids)
     done = spark.read.schema("file string, n bigint").parquet(f"{folder}/files")
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
     offsets = done.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     return docs.join(F.broadcast(offsets), "file").select(
-        "doc_id", (F.col("offset") + F.col("first")).alias("start"), "n_tokens", "ids_crc32", "ids"
+        "doc_id", (F.col("offset") + F.col("first")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids
     )
 
 
-def _batch(some: list[tuple[str, int | None, int, np.ndarray]]) -> pa.RecordBatch:
+def _batch(some: list[tuple[str, int | None, int, np.ndarray]], with_ids: bool) -> pa.RecordBatch:
     ids = [s[3] for s in some]
-    edges = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([s[0] for s in some]),
-            pa.array([s[1] for s in some], pa.int64()),
-            pa.array([s[2] for s in some], pa.int64()),
-            pa.array([len(i) for i in ids], pa.int64()),
-            pa.array([zlib.crc32(i.astype("<u4").tobytes()) for i in ids], pa.int64()),
-            pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(ids).astype(np.int32))),
-        ],
-        names=["file", "doc_id", "first", "n_tokens", "ids_crc32", "ids"],
-    )
+    columns = {
+        "file": pa.array([s[0] for s in some]),
+        "doc_id": pa.array([s[1] for s in some], pa.int64()),
+        "first": pa.array([s[2] for s in some], pa.int64()),
+        "n_tokens": pa.array([len(i) for i in ids], pa.int64()),
+        "ids_crc32": pa.array([zlib.crc32(i.astype("<u4", copy=False)) for i in ids], pa.int64()),
+    }
+    if with_ids:
+        edges = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
+        columns["ids"] = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(ids).astype(np.int32)))
+    return pa.RecordBatch.from_pydict(columns)

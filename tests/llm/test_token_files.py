@@ -88,3 +88,17 @@ def test_query_rows(spark, docs, wide, none, sf):
     check(spark, wide)
     assert tf.read_files(spark, tf.write_files(none, PATH)).collect() == []
     check(spark, spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 300"))
+
+
+def test_one_id_for_many_rows_fills_many_files(spark, tmp_path):
+    rows = spark.range(400).selectExpr("cast(if(id < 300, null, id) as bigint) doc_id", "concat('word ', id % 7) text")
+    check(spark, rows)
+    folder = tf.write_files(rows, PATH)
+    assert spark.read.parquet(f"{folder}/files").where("n > 0").count() == 4
+    whole_rows = tf.read_files(spark, folder).drop("ids").collect()
+    assert sorted(whole_rows, key=repr) == sorted(tf.read_files(spark, folder, with_ids=False).collect(), key=repr)
+
+
+def test_files_are_cut_by_their_ids(spark, docs, monkeypatch):
+    monkeypatch.setattr(tf, "FILE_IDS", 50)
+    check(spark, docs)
