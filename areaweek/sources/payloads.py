@@ -140,11 +140,12 @@ def full_rows(payloads: DataFrame, key: str = "district", digits: int | None = N
     Same result as joining ``daily_rows`` with the rolled-up ``hourly_rows``, for
     one payload per key: both kinds of rows leave the body together and meet in
     one aggregate, so the text is read and parsed once and nothing is joined.
+    Several payloads for a key would be mixed; see ``newest_rows``.
     """
-    return _full_rows(_parsed(payloads, "full"), key, digits)
+    return _full_rows(_parsed(payloads, "full"), [key], digits)
 
 
-def _full_rows(parsed: DataFrame, key: str, digits: int | None) -> DataFrame:
+def _full_rows(parsed: DataFrame, keys: Sequence[str], digits: int | None) -> DataFrame:
     def rows(block: str, arrays: Mapping[str, str]) -> Column:
         n = F.size(f"_j.{block}.time")
         blank = F.array_repeat(F.lit(None).cast("double"), n)
@@ -165,8 +166,8 @@ def _full_rows(parsed: DataFrame, key: str, digits: int | None) -> DataFrame:
     both = F.concat(rows("daily", DAILY_ARRAYS), rows("hourly", HOURLY_ARRAYS))
     has_hours = F.count_if(~F.col("is_day")) > 0
     per_day = (
-        parsed.select(key, F.inline(both))
-        .groupBy(key, "date")
+        parsed.select(*keys, F.inline(both))
+        .groupBy(*keys, "date")
         .agg(
             F.bool_or("is_day").alias("_listed"),
             *[F.max(c).alias(c) for c in DAILY_ARRAYS],
@@ -184,14 +185,41 @@ def parse_weather(payloads: DataFrame, kind: str, digits: int | None = None) ->
     """Payloads of one kind to daily rows; unusable payloads are left out.
 
     ``map``: observation service; ``daily``: 14-day arrays; ``full``: 7-day
-    forecast with hourly readings averaged into their dates.
+    forecast with hourly readings averaged into their dates. One payload for each
+    area; of several that overlap, ``newest_rows`` lets the newest win.
     """
-    good = _parsed(payloads, kind).where(_is_valid(kind))
+    return _weather_rows(_parsed(payloads, kind).where(_is_valid(kind)), kind, ["district"], digits)
+
+
+def _weather_rows(good: DataFrame, kind: str, keys: Sequence[str], digits: int | None) -> DataFrame:
+    one = F.struct(*keys)  # the keys travel as one column through the generators
     if kind == "map":
-        return _map_rows(good, "district", MAP_PARAMETERS)
-    if kind == "daily":
-        return _daily_rows(good, DAILY_14_ARRAYS, "district")
-    return _full_rows(good, "district", digits).select(*schemas.FORECAST_7DAY.fieldNames())
+        rows = _map_rows(good.withColumn("_key", one), "_key", MAP_PARAMETERS)
+    elif kind == "daily":
+        rows = _daily_rows(good.withColumn("_key", one), DAILY_14_ARRAYS, "_key")
+    else:
+        return _full_rows(good, keys, digits).select(*keys, *schemas.FORECAST_7DAY.fieldNames()[1:])
+    return rows.select("_key.*", *[c for c in rows.columns if c != "_key"])
+
+
+def newest_rows(
+    payloads: DataFrame, kind: str, fetched: str = "fetched_at", digits: int | None = None
+) -> DataFrame:
+    """Daily rows of several payloads for one area: for each date the newest fetch that lists it.
+
+    A row is taken whole, so a null of the newest fetch stays null and is not filled from
+    an older one; dates that only an older fetch lists remain. Unusable payloads, however
+    new, hide nothing. A payload without a fetch time is the oldest; of equal times the
+    body with the larger checksum wins, so that the result doesn't depend on row order.
+    Rows without an area or date are left out. Each task keeps one row for an area and
+    date before the shuffle, however many fetches there are.
+    """
+    fetch = F.struct(F.col(fetched), F.sha2("body", 256))
+    good = _parsed(payloads, kind).where(_is_valid(kind)).withColumn("_fetch", fetch)
+    rows = _weather_rows(good, kind, ["district", "_fetch"], digits).dropna(subset=["district", "date"])
+    values = [c for c in rows.columns if c not in ("district", "_fetch", "date")]
+    newest = rows.groupBy("district", "date").agg(F.max_by(F.struct(*values), "_fetch").alias("_row"))
+    return newest.select("district", "date", "_row.*")
 
 
 def request_manifest(areas: DataFrame, api: WeatherApi = WeatherApi()) -> DataFrame:

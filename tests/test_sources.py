@@ -163,6 +163,44 @@ def test_daily_payload(spark):
         payloads.parse_weather(df, "weekly")
 
 
+def fetched(spark, rows):
+    out = [(d, b if isinstance(b, str) or b is None else json.dumps(b), t) for d, b, t in rows]
+    return spark.createDataFrame(out, "district string, body string, fetched_at int")
+
+
+def test_the_newest_fetch_of_a_day_wins(spark):
+    old = forecast_body()
+    new = forecast_body(daily__time=["2025-12-07", "2025-12-08"], daily__rain_sum=[None, 9.0],
+                        hourly__time=["2025-12-07T00:00", "2025-12-08T00:00"])
+    cut = json.dumps(forecast_body(daily__rain_sum=[77.0, 77.0]))[:-3]
+    out = payloads.newest_rows(fetched(spark, [("A", new, 2), ("A", cut, 3), ("A", old, 1), ("B", old, None)]), "full")
+    assert out.columns == schemas.FORECAST_7DAY.fieldNames()
+    got = {(r.district, r.date.day): (r.rain_sum, r.temp_max, r.temp_daily_avg, r.rain_daily_total) for r in out.collect()}
+    assert got == {
+        ("A", 6): (0.5, 30.0, 27.0, 0.75), ("A", 7): (None, 30.0, 26.0, 0.25), ("A", 8): (9.0, 31.0, 28.0, 0.5),
+        ("B", 6): (0.5, 30.0, 27.0, 0.75), ("B", 7): (0.0, 31.0, None, None),
+    }
+
+
+def test_fetches_without_a_time_and_at_one_time(spark):
+    a, b = forecast_body(), forecast_body(daily__rain_sum=[5.0, None])
+    timed = [("A", a, None), ("A", b, 0), ("B", a, 4), ("B", b, 4), ("B", a, 4), ("C", None, 9), (None, a, 1)]
+    got = [sorted(map(tuple, payloads.newest_rows(fetched(spark, r), "daily").collect()), key=repr) for r in (timed, timed[::-1])]
+    assert got[0] == got[1] and {r[0] for r in got[0]} == {"A", "B"}
+    assert [r[2] for r in got[0] if r[0] == "A"] == [5.0, None]  # a missing time is the oldest, a null is kept
+    assert [r[2] for r in got[0] if r[0] == "B"] in ([0.5, 0.0], [5.0, None])  # one of them as a whole
+    assert payloads.newest_rows(fetched(spark, []), "map").collect() == []
+
+
+def test_maps_overlay_by_date(spark):
+    def body(**days):
+        return {"properties": {"parameter": {"PRECTOTCORR": {k[1:]: v for k, v in days.items()}}}}
+
+    df = fetched(spark, [("A", body(d20240101=1.0, d20240102=2.0), 1), ("A", body(d20240102=None, d20240103=3.0), 2)])
+    got = sorted((r.date.day, r.PRECTOTCORR) for r in payloads.newest_rows(df, "map").collect())
+    assert got == [(1, 1.0), (2, None), (3, 3.0)]
+
+
 def test_request_manifest(spark):
     got = {r.district: r.url for r in payloads.request_manifest(area_frame(spark, AREA_CAPITALS)).collect()}
     assert len(got) == 25
