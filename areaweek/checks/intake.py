@@ -339,6 +339,22 @@ def page_links(spark, sf):
     return L.page_links(_pages(spark, sf), MARKER)
 
 
+@check(
+    """
+    SELECT page_id, url, regexp_extract(url, '^(https?://[^/?#]+)', 1) || link AS link, pos
+    FROM (SELECT page_id, url, '/doc?planted=1&page=' || page_id AS link, CAST(0 AS INTEGER) AS pos FROM pages
+          UNION ALL SELECT page_id, url, '/open?planted=2', CAST(1 AS INTEGER) FROM pages)"""
+)
+def page_links_marked_up(spark, sf):
+    """Every page with anchors put in: one in another tag's quotes, one with marks in its
+    quotes and character references, one that is never closed."""
+    hidden = """<p title="<a href='/no?planted=0'>no</a>">"""
+    first = """<a data-href="/no?planted=3" title='x > y' href="/doc?planted=&#x31;&amp;page="""
+    rest = """">one <img alt="1 > 0"> &#8804; two<a href=/open?planted=2>last"""
+    page = F.concat(F.col("html"), F.lit(hidden + first), F.col("page_id").cast("string"), F.lit(rest))
+    return L.page_links(_pages(spark, sf).withColumn("html", page), "planted=")
+
+
 @check(
     f"""WITH {ANCHORS_SQL},
     hits AS (

@@ -9,9 +9,25 @@ from pyspark.sql import functions as F
 
 # The generic URI split of RFC 3986, appendix B.
 _URI = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
-_HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script>"
-_ANCHOR = r"(?is)<a\b[^>]*\bhref\s*=[^>]*>.*?</a>"
-_HREF = r"""(?is)^<a\b[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)"""
+_HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script>|\z)"
+
+# Tags as HTML reads them: a quote opens a value only behind an equals sign, and what
+# stands in it neither ends the tag nor begins another. A quote that is never closed is
+# an ordinary character.
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s>]++)"""
+_SET = rf"(?:\s*+=\s*+(?:{_VALUE})?+)?+"
+_ATTRIBUTES = rf"(?:[\s/]*+(?:[^\s/>=]++|=){_SET})*+[\s/]*+"
+_BEFORE_HREF = rf"(?:[\s/]*+(?!href[\s/>=])(?:[^\s/>=]++|=){_SET})*+[\s/]*+"
+_OPEN = rf"<a(?=[\s/]){_BEFORE_HREF}href\s*+=\s*+({_VALUE})?+{_ATTRIBUTES}>"
+_TAG = rf"</?[a-z][^\s/>]*+{_ATTRIBUTES}>"
+# An anchor that isn't closed ends at the next one, with its table cell or with the page.
+_ANCHOR = rf"(?is){_OPEN}.*?(?=</?a[\s/>]|</t[dh][\s/>]|\z)|{_TAG}"
+_HREF = rf"(?is)^{_OPEN}"
+_ANY_TAG = rf"(?is){_TAG}|<[!?][^>]*+>"
+
+# Named character references that occur in links and link texts.
+_NAMED = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
+_REFERENCE = r"&(?:#[0-9]{1,9}|#[xX][0-9a-fA-F]{1,8}|lt|gt|quot|apos|nbsp|amp);|[^&]+|&"
 
 
 _SEP = "\x01"
@@ -56,33 +72,44 @@ def query(url: Column) -> Column:
     return _query(parts(url))
 
 
+def _referred(token: Column) -> Column:
+    """The character that a reference stands for, any other text as it is."""
+    digits = F.regexp_extract(token, "^&#[xX]?([0-9a-fA-F]+);$", 1)
+    code = F.when(token.rlike("^&#[xX]"), F.upper(digits)).otherwise(F.conv(digits, 10, 16))
+    code = F.lpad(F.regexp_replace(code, "^0+", ""), 8, "0")
+    # Nothing, halves of pairs and what lies beyond the last character have no character.
+    none = (code == "00000000") | (code > "0010FFFF") | code.between("0000D800", "0000DFFF")
+    char = F.decode(F.unhex(F.when(none, "0000FFFD").otherwise(code)), "UTF-32")
+    out = F.when(F.startswith(token, F.lit("&#")) & (F.length(token) > 2), char)
+    for name, plain in _NAMED.items():
+        out = out.when(token == name, F.lit(plain))
+    return out.otherwise(token)
+
+
 def unescape(c: Column) -> Column:
-    """The HTML entities that occur in links and link texts; ``&amp;`` goes last."""
-    out = c
-    for entity, char in (
-        ("&lt;", "<"),
-        ("&gt;", ">"),
-        ("&quot;", '"'),
-        ("&#39;", "'"),
-        ("&nbsp;", " "),
-        ("&amp;", "&"),
-    ):
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return out
+    """Numeric and the usual named character references, each decoded once, in one pass.
+
+    Numbers that are no character give U+FFFD; unknown names stay as they are.
+    """
+    tokens = F.regexp_extract_all(c, F.lit(_REFERENCE), F.lit(0))
+    return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(tokens, _referred), "")).otherwise(c)
 
 
 def anchors(html: Column) -> Column:
-    """All anchors with a target, in page order: array<struct<href, text>>."""
+    """All anchors with a target, in page order: array<struct<href, text>>.
+
+    Every tag is scanned, so that an anchor inside another tag's quoted value is none.
+    """
     shown_html = F.regexp_replace(F.coalesce(html, F.lit("")), _HIDDEN, "")
     tags = F.regexp_extract_all(shown_html, F.lit(_ANCHOR), F.lit(0))
 
     def anchor(tag: Column) -> Column:
-        target = F.regexp_replace(F.regexp_extract(tag, _HREF, 1), r"""^["']|["']$""", "")
-        shown = F.regexp_replace(tag, r"(?s)<[^>]*>", "")
+        target = F.regexp_replace(F.regexp_extract(tag, _HREF, 1), r"""(?s)^(["'])(.*)\1$""", "$2")
+        shown = F.regexp_replace(tag, _ANY_TAG, "")
         shown = F.regexp_replace(unescape(shown), r"(?U)^\s+|\s+$", "")
         return F.struct(unescape(target).alias("href"), shown.alias("text"))
 
-    return F.transform(tags, anchor)
+    return F.transform(F.filter(tags, lambda tag: tag.rlike(_HREF)), anchor)
 
 
 def _drop_dots(p: Column) -> Column:

@@ -253,3 +253,28 @@ def test_anchors(one):
         ("/a?download=1&x=2", "One two"), ("/b", ">"), ("/c", "Next"),
     ]
     assert one([(None,)], "h string", urls.anchors(C("h"))) == [[]]
+
+
+def test_anchors_as_html_reads_them(one):
+    def found(html):
+        (got,) = one([(html,)], "h string", urls.anchors(C("h")))
+        return [(a.href, a.text) for a in got]
+
+    assert found("<a title='x > y' href=\"/a>b\">1 <img alt=\"2 > 1\"> < 2</a>") == [("/a>b", "1  < 2")]
+    assert found("<a data-href='/no' xhref=/no title=\"href='/no'\" HREF = /b>b</a>") == [("/b", "b")]
+    assert found("<p title=\"<a href='/no'>no</a>\">t</p><a href='/c'>c</a>") == [("/c", "c")]
+    assert found("<a href=/d>d<a href=/e>e</a><td><a href=/f>f</td>g<a href=/h/>h") == [
+        ("/d", "d"), ("/e", "e"), ("/f", "f"), ("/h/", "h")
+    ]
+    assert found("<a href>x</a><a class=y>x</a><abbr href=/no>x</abbr><!-- <a href=/no>") == []
+    assert found("<a class=it's href=\"/i'j\">k</a><a = href=''>l</a>") == [("/i'j", "k"), ("", "l")]
+    assert found("<a href='/?x=1&#38;y=&#x32;&amp;#51;'>&#8804; &#x1F600; &lt&copy;</a>") == [
+        ("/?x=1&y=2&#51;", "≤ \U0001f600 &lt&copy;")
+    ]
+    assert len(found("<a href=/m " + "data-x='>' " * 3000 + ">n</a>" + "<b>" * 20_000)) == 1
+
+
+def test_references_are_decoded_once(one):
+    texts = ["&amp;lt;", "&#0;&#xD800;&#x110000;&#55555555;", "&#00065;&#X41;", "&#;&#x;&#12345678901;&", "", None, "&apos;&nbsp;|"]
+    want = ["&lt;", "����", "AA", "&#;&#x;&#12345678901;&", "", None, "' |"]
+    assert one([(t,) for t in texts], "t string", urls.unescape(C("t"))) == want
