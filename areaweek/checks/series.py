@@ -19,6 +19,7 @@ from areaweek.operators.features import (
     push_last,
     temporal_split,
 )
+from areaweek.operators import weekly_state
 from areaweek.operators.lookups import (
     resolve_weather,
     spread_targets,
@@ -37,7 +38,7 @@ from areaweek.operators.rollup import (
     weekly_forecast,
     weekly_midpoint,
 )
-from areaweek.runtime import materialize
+from areaweek.runtime import materialize, run_dir
 from areaweek.sources.payloads import join_daily_hourly
 from areaweek.sources.tables import trailing_days, union_sources
 
@@ -654,3 +655,23 @@ def preview_top(spark, sf):
         .orderBy(F.desc("o_totalprice"), "o_orderkey")
         .limit(5)
     )
+
+
+@check(
+    """
+    SELECT CAST(user_id AS VARCHAR) AS district, CAST(isoyear(ts) AS INTEGER) AS year, CAST(week(ts) AS INTEGER) AS week,
+           CAST(SUM(CAST(floor(value * 100 + 0.5) AS BIGINT)) AS DOUBLE) / 100 AS total,
+           CAST(SUM(CAST(floor(value * 100 + 0.5) AS BIGINT)) AS DOUBLE) / 100 / COUNT(value) AS mean
+    FROM events GROUP BY 1, 2, 3
+    """
+)
+def weekly_increments(spark, sf):
+    """Three runs over parts of the days, the second with days of the first and repeated, as one run over all."""
+    state = run_dir(spark, "weeks")
+    rows = R.table(spark, sf, "events").select(
+        F.col("user_id").cast("string").alias("district"), F.to_date("ts").alias("date"), "value"
+    )
+    part = F.dayofmonth("date") % 4
+    for run, which in ((1, (0, 1)), (2, (1, 2)), (2, (0, 1, 2)), (3, (0, 2, 3))):
+        weekly_state.add_run(spark, state, run, rows.where(part.isin(*which)), {"total": "value"}, {"mean": "value"}, 2)
+    return weekly_state.weeks(spark, state, ["total"], ["mean"], 2)

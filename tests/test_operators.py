@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from areaweek import runtime, schemas
 from areaweek.config import ForestParams
-from areaweek.operators import features, lookups, model, names, panel, ranking, rollup
+from areaweek.operators import features, lookups, model, names, panel, ranking, rollup, weekly_state
 from areaweek.plans import alerts
 
 NAN = float("nan")
@@ -328,3 +328,27 @@ def test_parts_merge_to_the_weekly_rollup(spark):
     parts = rollup.weekly_parts(df, {"rain": "r"}, {"temp": "t"}, key="part", date="date", digits=2)
     merged = rollup.merge_parts(parts.withColumn("district", F.lit("A")), ["rain"], ["temp"], digits=2)
     assert rows(merged) == rows(whole.select(*merged.columns))
+
+
+def test_weekly_sums_grow_by_run(spark, tmp_path):
+    def add(run, rows):
+        df = spark.createDataFrame(rows, "district string, date string, v double")
+        weekly_state.add_run(spark, state, run, df, {"total": "v"}, {"mean": "v"}, 1)
+
+    def now():
+        return sorted(tuple(r) for r in weekly_state.weeks(spark, state, ["total"], ["mean"], 1).collect())
+
+    state = str(tmp_path / "state")
+    assert now() == []
+    add(1, [("A", "2024-12-30", 1.5), ("A", "2024-12-30", 0.5), ("A", "2024-12-31", None), (None, "2025-01-01", 9.0), ("A", None, 9.0)])
+    assert now() == [("A", 2025, 1, 2.0, 1.0)]
+    add(2, [("A", "2024-12-31", 8.0), ("A", "2025-01-05", 4.0)])  # the first day was seen, with a missing value
+    want = [("A", 2025, 1, 6.0, 2.0)]
+    assert now() == want
+    add(2, [("A", "2024-12-31", 8.0), ("A", "2025-01-05", 4.0)])  # the same run again
+    assert now() == want
+    add(3, [])
+    add(4, [("A", "2025-01-05", 7.0), ("A", "2025-01-06", float("nan")), ("B", "2025-01-05", 1.0)])
+    assert now() == [("A", 2025, 1, 6.0, 2.0), ("A", 2025, 2, 0.0, None), ("B", 2025, 1, 1.0, 1.0)]
+    touched = spark.read.parquet(f"{state}/runs").where("run = 4").select("district", "days").collect()
+    assert sorted(map(tuple, touched)) == [("A", 1), ("B", 64)]
