@@ -16,9 +16,9 @@ the words they are, without regard to case. Windows with too few words for that
 joined with the values of their slots.
 
 Windows that match have the same words but for slots, so each one of an item has an anchor:
-its longest word that is no slot. Of a text, only the windows with an anchor in them are
-hashed, which leaves nothing out; only if there are more than ``ANCHORS`` of them, the
-windows of texts are all hashed.
+its longest word that is no slot and the nearest other one, so many words apart. Of a text, only the
+windows with an anchor in them are hashed, which leaves nothing out; only if there are more
+than ``ANCHORS`` of them, the windows of texts are all hashed.
 
 Each alignment is decided on its words. A stretch that aligns without a gap counts if it
 is thirteen words long (or the whole item), holds a joined window and is consistent in
@@ -51,10 +51,15 @@ BROADCAST_WINDOWS = 500_000
 ANCHORS = 20_000
 
 MARK = "\u0001"  # taken out of the texts, so that it only stands for slots
-SPACES = "\t\n\u000b\f\r\u0085\u00a0\u2028\u2029\u202f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+#: White space and the mark; what most characters are is ruled out first.
+SPACE = rf"[[^!-~]&&[ \t\n\x0b\f\r\x85\xa0{MARK}\u2000-\u200a\u2028\u2029\u202f\u3000]]"
+SPACES = rf" {SPACE}+|(?! ){SPACE}{SPACE}*"  # more or other than one blank
+OTHER = rf"[^\p{{L}}\p{{N}}{MARK}]"
+OTHERS = rf" {OTHER}+|(?! ){OTHER}{OTHER}*"
+# A capital is looked for before what stands in front of it.
 WORD = r"\p{Lu}\p{Ll}+\p{L}*"
-NAME = rf"(?<=[\p{{L}}\p{{N}},;] ){WORD}"
-CAPITAL = rf"(?<![\p{{L}}\p{{N}}]){WORD}"  # may be a name
+NAME = rf"(?=\p{{Lu}})(?<=[\p{{L}}\p{{N}},;] ){WORD}"
+CAPITAL = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}]){WORD}"  # may be a name
 UNITS = (
     "mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres "
     "kilometer kilometers mg g kg lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces "
@@ -67,12 +72,11 @@ NUMBER = rf"(\d+)(?: (?:{MARK}[ac])?(" + "|".join(sorted(UNITS, key=len, reverse
 
 def template_words(text: Column) -> Column:
     """Template words of a text, slots with their values."""
-    x = F.translate(F.coalesce(text, F.lit("")), MARK + SPACES, " " * (1 + len(SPACES)))
-    x = F.regexp_replace(F.regexp_replace(x, "  +", " "), NAME, f" {MARK}a$0 ")
-    x = F.regexp_replace(x, CAPITAL, f" {MARK}c$0 ")
-    x = F.regexp_replace(F.lower(x), rf"[^\p{{L}}\p{{N}}{MARK}]+", " ")
-    x = F.trim(F.regexp_replace(x, NUMBER, f" {MARK}n$1 {MARK}u$2 "))
-    return F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(x, " +"))
+    x = F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " ")
+    x = F.regexp_replace(F.regexp_replace(x, NAME, f" {MARK}a$0 "), CAPITAL, f" {MARK}c$0 ")
+    x = F.regexp_replace(F.lower(x), OTHERS, " ")
+    x = F.regexp_replace(x, NUMBER, f" {MARK}n$1 {MARK}u$2 ")
+    return F.array_remove(F.split(x, " "), "")
 
 
 def valued(word: Column) -> Column:
@@ -112,15 +116,43 @@ def windows(size: Column, of) -> Column:
     return F.transform(places, of)
 
 
-def anchored(words: Column, anchors: list[str] | None) -> Column:
-    """The places of windows that hold an anchor, ascending; of all windows without a list."""
+def with_anchor(df: DataFrame) -> DataFrame:
+    """Adds ``anchor`` of ``word, gap, other`` for ``literal`` words ``(n, w, i)``: the longest
+    one and the nearest to it; one word alone is its own other."""
+
+    def distance(b: Column) -> Column:
+        gap = b["i"] - F.col("place")
+        return F.struct(F.abs(gap).alias("far"), (-b["n"]).alias("n"), b["w"].alias("w"), gap.alias("gap"))
+
+    longest = F.array_max("literal")
+    df = _behind(df, word=longest["w"], place=longest["i"])
+    df = _behind(df, near=F.array_sort(F.transform("literal", distance)))
+    other = F.coalesce(F.get("near", F.lit(1)), F.get("near", F.lit(0)))
+    anchor = F.struct("word", other["gap"].alias("gap"), other["w"].alias("other"))
+    return df.withColumn("anchor", anchor).drop("literal", "word", "place", "near")
+
+
+def anchored(words: Column, anchors: list[tuple[str, int, str]] | None) -> Column:
+    """The places of windows that hold an anchor; of all windows without a list."""
     size = F.size(words)
     if anchors is None:
         return windows(size, lambda at: at)
-    known = [p + a for a in anchors for p in ("", MARK + "a", MARK + "c")]
+    none = F.array().cast("array<int>")
+    if not anchors:
+        return none
+    known = [p + w for w in sorted({w for w, _, _ in anchors}) for p in ("", MARK + "a", MARK + "c")]
+    pairs = [f"{gap} {w} {other}" for w, gap, other in anchors]
+    gaps = F.array(*[F.lit(g) for g in sorted({gap for _, gap, _ in anchors})])
     hits = F.array_compact(F.transform(words, lambda w, i: F.when(w.isin(known), i)))
-    around = F.transform(hits, lambda i: F.sequence(F.greatest(i - (WINDOW - 1), F.lit(0)), F.least(i, size - WINDOW)))
-    return F.when(size >= WINDOW, F.array_distinct(F.flatten(around))).otherwise(F.array().cast("array<int>"))
+
+    def around(i: Column, gap: Column) -> Column:
+        pair = F.concat(gap.cast("string"), F.lit(" "), caseless(F.get(words, i)), F.lit(" "), caseless(F.get(words, i + gap)))
+        start = F.greatest(i, i + gap) - (WINDOW - 1)
+        places = F.sequence(F.greatest(start, F.lit(0)), F.greatest(F.least(i, i + gap, size - WINDOW), start, F.lit(0)))
+        return F.when(pair.isin(pairs), places)
+
+    each = F.transform(hits, lambda i: F.flatten(F.array_compact(F.transform(gaps, lambda gap: around(i, gap)))))
+    return F.when(size >= WINDOW, F.array_distinct(F.flatten(each))).otherwise(none)
 
 
 def _behind(df: DataFrame, **cols: Column) -> DataFrame:
@@ -138,14 +170,16 @@ def item_windows(items: DataFrame) -> DataFrame:
     texts = _behind(items.select("item_id", "text", F.xxhash64("text").alias("item_hash")), words=template_words(F.col("text")))
     words = F.col("words")
 
+    def numbered(window: Column) -> Column:
+        return F.transform(window, lambda w, i: F.struct(F.length(w).alias("n"), w.alias("w"), i.alias("i")))
+
     def entry(at: Column) -> Column:
         window = F.slice(words, at + 1, F.lit(WINDOW))
-        literal = {n: F.filter(F.transform(window, f), lambda w: ~w.startswith(MARK)) for n, f in FORMS.items()}
+        literal = {n: F.filter(numbered(F.transform(window, f)), lambda x: ~x["w"].startswith(MARK)) for n, f in FORMS.items()}
         n = {f: F.size(literal[f]) for f in FORMS}
         enough = {f: n[f] >= LITERAL for f in FORMS if f != "valued"} | {"valued": (n["caseless"] > 0) & (n["caseless"] < LITERAL)}
-        longest = {f: F.array_max(F.transform(literal[f], lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"] for f in FORMS}
         hashes = window_hashes(words, at)
-        made = [F.when(enough[f], F.struct(hashes[f].alias("hash"), longest[f].alias("anchor"))).alias(f) for f in FORMS]
+        made = [F.when(enough[f], F.struct(hashes[f].alias("hash"), literal[f].alias("literal"))).alias(f) for f in FORMS]
         return F.struct(at.alias("at"), *made)
 
     each = _behind(texts.select("item_id", "item_hash", F.size("words").alias("size"), windows(F.size("words"), entry).alias("w")), w2=F.col("w"))
@@ -162,8 +196,9 @@ def item_windows(items: DataFrame) -> DataFrame:
     out = _behind(each, need=need, aligned=aligned).select("item_id", "item_hash", "need", "aligned", F.inline("w2"))
     of = F.explode(F.array(*[F.struct(F.col(f).alias("h"), F.lit(f == "strict").alias("strict")) for f in FORMS])).alias("of")
     out = out.select("item_id", "item_hash", "need", "aligned", "at", of).where("of.h IS NOT NULL")
-    out = out.select("item_id", "item_hash", "need", "aligned", "at", "of.h.hash", "of.h.anchor", "of.strict")
-    return out.groupBy("item_id", "item_hash", "need", "aligned", "at", "hash").agg(F.max("strict").alias("strict"), F.min("anchor").alias("anchor"))
+    out = out.select("item_id", "item_hash", "need", "aligned", "at", "of.h.hash", "of.h.literal", "of.strict")
+    one = out.groupBy("item_id", "item_hash", "need", "aligned", "at", "hash")
+    return with_anchor(one.agg(F.max("strict").alias("strict"), F.min("literal").alias("literal")))
 
 
 def _consistent(pairs: Column, slot: str) -> Column:
@@ -220,7 +255,7 @@ def _gives_away(df: DataFrame) -> DataFrame:
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``doc_id, text_hash, item_id``: texts and the items that they give away, once each."""
     wanted = materialize(item_windows(items), "item-windows")
-    anchors = [r.anchor for r in wanted.select("anchor").distinct().limit(ANCHORS + 1).collect()]
+    anchors = [tuple(r) for r in wanted.select("anchor.*").distinct().limit(ANCHORS + 1).collect()]
     anchors = sorted(anchors) if len(anchors) <= ANCHORS else None
     wanted = wanted.drop("anchor")
     if wanted.count() <= BROADCAST_WINDOWS:
