@@ -9,8 +9,9 @@
 3. A higher-order fold turns a chunk's edges into ids. For unigram models that is
    Viterbi: the best score for each end, from left to right. For BPE models, whose
    scores are merge ranks, Viterbi over the scores is not what the model means; there
-   the fold takes edges by rank where they join two neighbours. The few chunks for
-   which one pass in that order is not enough say so, and are merged from a heap.
+   the fold takes edges by rank where they join two neighbours; its state is the cuts,
+   as bits of one number where they fit. The few chunks for which one pass in that
+   order is not enough say so, and are merged from a heap.
 4. What a split of the input needs of the dictionary is written to its own folder, and
    a second pass over the texts looks the chunks up. Texts are never shuffled.
 
@@ -40,13 +41,15 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areaweek.llm.common import gather, rows, small_batches
+from areaweek.llm.common import cut, flat_bytes, gather, rows, small_batches
 from areaweek.runtime import materialize, run_dir
 
 MARK = "▁"
 #: Chunks, and pieces while they are matched, have plain blanks for the marks.
 CHUNK = re.compile(r"\n| *[^ \n]+| +")
 FOLD_MOST = 200  # characters
+#: The places between so many characters are bits of a number, and its sign is free.
+BITS_MOST = 62
 
 
 @dataclass(frozen=True)
@@ -85,28 +88,69 @@ class Pieces:
         return out
 
     def table(self, spark: SparkSession) -> DataFrame:
-        """``piece, rank, score, id``: as many rows as the vocabulary has."""
-        rows_ = [(p, r, float(self.score[i]), i) for p, (r, i) in self.rank().items()]
-        return spark.createDataFrame(rows_, "piece string, rank int, score double, id int")
+        """``piece, rank, score, id, passed``: as many rows as the vocabulary has.
+
+        A piece is marked if a longer one that begins or ends with it ranks no worse.
+        """
+        rank = self.rank()
+        passed = {x for p, (r, _) in rank.items() for n in range(1, len(p)) for x in (p[:n], p[n:]) if rank.get(x, (-1,))[0] >= r}
+        rows_ = [(p, r, float(self.score[i]), i, p in passed) for p, (r, i) in rank.items()]
+        return spark.createDataFrame(rows_, "piece string, rank int, score double, id int, passed boolean")
 
 
 def chunks(text: str | None) -> list[str]:
     return CHUNK.findall(" " + text.replace(MARK, " ")) if text else []
 
 
+def chunks_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """What ``chunks`` finds in all texts, one after the other, and where each text's chunks begin and the last ones end."""
+    kind = pa.large_string()
+    plain = pc.replace_substring(pc.fill_null(texts.cast(kind), ""), MARK, " ")
+    marked = pc.binary_join_element_wise(pa.scalar(" ", kind), plain, pa.scalar("", kind))
+    data, edges = flat_bytes(pc.if_else(pc.equal(plain, ""), plain, marked))
+    blank, end = data == 0x20, data == 0x0A
+    start = blank | end
+    start[1:] |= end[:-1]
+    start[1:] &= ~(blank[1:] & blank[:-1])
+    start[edges[:-1][np.diff(edges) > 0]] = True
+    at = np.flatnonzero(start)
+    return cut(data, np.append(at, len(data)), kind), np.searchsorted(at, edges)
+
+
 # ---- from chunks to ids ---------------------------------------------------------
 
 
-#: An edge in one number: rank, start, length and id, from high to low bits.
+#: An edge in one number: rank, start, length, whether it may be passed, and id, from high to low bits.
 _RANK, _START, _LENGTH = 40, 28, 20
 _PLACE = (1 << 20) - 1  # start and length, after shifting
-_ID = (1 << 20) - 1
+_PASSED = 1 << 19
+_ID = _PASSED - 1
+_NONE = _ID  # the id of a character without a piece, whose edge comes last
+_LAST = (1 << 23) - 1
+_LATE = -(1 << 63)
+
+
+def _shift(value: Column | int, by: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(value).cast("long"), by)
+
+
+def _first_bits(n: Column) -> Column:
+    return F.bitwise_not(_shift(-1, n))
 
 
 def rank_edge() -> Column:
     """An edge as one number, which sorts by rank."""
-    edge = F.shiftleft(F.col("rank").cast("long"), _RANK) + F.shiftleft(F.col("s").cast("long"), _START)
-    return edge + F.shiftleft(F.col("l").cast("long"), _LENGTH) + F.col("id")
+    rank, id_ = F.coalesce("rank", F.lit(_LAST)).cast("long"), F.coalesce("id", F.lit(_NONE))
+    edge = F.shiftleft(rank, _RANK) + F.shiftleft(F.col("s").cast("long"), _START) + F.shiftleft(F.col("l").cast("long"), _LENGTH)
+    return edge + F.when(F.col("passed"), _PASSED).otherwise(0) + id_
+
+
+def start_of(edge: Column) -> Column:
+    return F.shiftright(edge, _START).bitwiseAND(F.lit((1 << (_RANK - _START)) - 1)).cast("int")
+
+
+def length_of(edge: Column) -> Column:
+    return F.shiftright(edge, _LENGTH).bitwiseAND(F.lit((1 << (_START - _LENGTH)) - 1)).cast("int")
 
 
 def score_edge() -> Column:
@@ -115,8 +159,8 @@ def score_edge() -> Column:
     return F.when(F.col("id").isNotNull(), F.struct(end, F.col("s").alias("s"), F.col("score").alias("score"), F.col("id").alias("id")))
 
 
-def lattice(words: DataFrame, pieces: DataFrame, longest: int, edge: Column) -> DataFrame:
-    """``word, edges``: every piece at every place, sorted; empty where no piece fits.
+def lattice(words: DataFrame, pieces: DataFrame, longest: int, **edges: Column) -> DataFrame:
+    """``word`` and lists of ``edges``: of every piece at every place, and every character, sorted; nulls are left out.
 
     ``words`` should be hash-partitioned by ``word``: exploding and the broadcast join
     keep that, so grouping needs no further exchange.
@@ -127,10 +171,52 @@ def lattice(words: DataFrame, pieces: DataFrame, longest: int, edge: Column) ->
     found = (
         spans.withColumn("piece", F.substring(F.col("word"), F.col("s") + 1, F.col("l")))
         .join(F.broadcast(pieces), "piece", "left")  # the vocabulary: a fixed size
-        .where("id IS NOT NULL OR (s = 0 AND l = 1)")  # so that each word keeps a row
+        .where("id IS NOT NULL OR l = 1")  # a character may have no piece
     )
-    edges = found.select("word", edge.alias("edge")).groupBy("word")
-    return edges.agg(F.sort_array(F.collect_list("edge")).alias("edges"))  # of one word: at most length x longest
+    each = found.select("word", *[e.alias(n) for n, e in edges.items()]).groupBy("word")
+    return each.agg(*[F.sort_array(F.collect_list(n)).alias(n) for n in edges])  # of one word: at most length x longest
+
+
+def as_bits(edges: Column) -> Column:
+    """Each edge with its two ends, and all places from one to the other, as bits."""
+
+    def each(edge: Column) -> Column:
+        s, n = start_of(edge), length_of(edge)
+        ends = _shift(_shift(1, n).bitwiseOR(F.lit(1)), s)
+        return F.struct(edge.alias("edge"), ends.alias("ends"), _shift(_first_bits(n + 1), s).alias("span"))
+
+    return F.transform(edges, each)
+
+
+def fold_bits(edges: Column, length: Column) -> Column:
+    """Cuts by merges in the order of rank, as bits; negative where that order was not enough.
+
+    One pass over the edges (see ``as_bits``): an edge is taken if it spans just two segments. Merging
+    takes the best edge of all at any time, so the pass is exact unless a merge makes two
+    segments fit a better edge that has been passed, which few pieces can have.
+    """
+
+    def fits(cuts: Column, x: Column) -> Column:
+        return (cuts.bitwiseAND(x.ends) == x.ends) & (F.bit_count(cuts.bitwiseAND(x.span)) == 3)
+
+    def step(cuts: Column, x: Column) -> Column:
+        merged = cuts.bitwiseAND(F.bitwise_not(x.span)).bitwiseOR(x.ends)
+        late = (x.edge.bitwiseAND(F.lit(_PASSED)) != 0) & F.exists(edges, lambda y: (y.edge < x.edge) & fits(merged, y))
+        taken = F.when(late, merged.bitwiseOR(F.lit(_LATE))).otherwise(merged)
+        return F.when((cuts >= 0) & fits(cuts, x), taken).otherwise(cuts)
+
+    return F.aggregate(edges, _first_bits(length + 1), step)
+
+
+def between_bits(edges: Column, single: Column, cuts: Column) -> Column:
+    """The edges between successive cuts, without their ranks, from left to right."""
+
+    def plain(x: Column) -> Column:
+        return x.bitwiseAND(F.lit((1 << _RANK) - 1))
+
+    chosen = F.filter(edges, lambda x: cuts.bitwiseAND(x.span) == x.ends)
+    alone = F.filter(single, lambda x: F.call_function("shiftright", cuts, start_of(x)).bitwiseAND(F.lit(3)) == 3)
+    return F.sort_array(F.concat(F.transform(chosen, lambda x: plain(x.edge)), F.transform(alone, plain)))
 
 
 def _place(s: Column, length: Column) -> Column:
@@ -138,12 +224,7 @@ def _place(s: Column, length: Column) -> Column:
 
 
 def fold_merges(edges: Column, places: Column, length: Column) -> Column:
-    """Cuts by merges in the order of rank, and whether that order was not enough.
-
-    One pass over the edges: an edge is taken if it spans just two segments. Merging
-    takes the best edge of all at any time, so the pass is exact unless a merge makes
-    two segments fit a better edge that has been passed; ``late`` tells that.
-    """
+    """The same pass for more places than a number has bits: cuts, and whether it was not enough."""
     start = F.struct(F.sequence(F.lit(0), length).alias("cuts"), F.lit(0).alias("i"), F.lit(False).alias("late"))
 
     def passed(acc: Column, s: Column, e: Column) -> Column:
@@ -151,8 +232,8 @@ def fold_merges(edges: Column, places: Column, length: Column) -> Column:
         return F.coalesce((at > 0) & (at <= acc.i), F.lit(False))
 
     def step(acc: Column, edge: Column) -> Column:
-        s = F.shiftright(edge, _START).bitwiseAND(F.lit((1 << (_RANK - _START)) - 1)).cast("int")
-        e = s + F.shiftright(edge, _LENGTH).bitwiseAND(F.lit((1 << (_START - _LENGTH)) - 1)).cast("int")
+        s = start_of(edge)
+        e = s + length_of(edge)
         k = F.array_position(acc.cuts, s).cast("int")
         hit = (k > 0) & (F.get(acc.cuts, k + 1) == e)
         late = passed(acc, F.get(acc.cuts, k - 2), e) | passed(acc, s, F.get(acc.cuts, k + 2))
@@ -203,28 +284,28 @@ def _bytes_of(c: Column, first_byte: int) -> Column:
     )
 
 
-def segments(cuts: Column, places: Column) -> Column:
-    """Start of each segment and where its edge stands, from 1; 0 for a character without a piece."""
+def between(edges: Column, places: Column, cuts: Column) -> Column:
+    """The edges between successive cuts, without their ranks, from left to right."""
     return F.zip_with(
         F.slice(cuts, F.lit(1), F.size(cuts) - 1),
         F.slice(cuts, F.lit(2), F.size(cuts) - 1),
-        lambda s, e: F.struct(s.alias("s"), F.array_position(places, _place(s, e - s)).cast("int").alias("p")),
+        lambda s, e: F.get(edges, F.array_position(places, _place(s, e - s)).cast("int") - 1).bitwiseAND(F.lit((1 << _RANK) - 1)),
     )
 
 
-def ids_of(word: Column, at: Column, edges: Column, first_byte: int) -> Column:
-    """Ids of the segments ``at``; a character without a piece has the pieces of its bytes."""
+def ids_of(word: Column, chosen: Column, first_byte: int) -> Column:
+    """Ids of the edges ``chosen``; a character without a piece has the pieces of its bytes."""
 
-    def known(x: Column) -> Column:
-        return F.get(edges, x.p - 1).bitwiseAND(F.lit(_ID)).cast("int")
+    def id_(x: Column) -> Column:
+        return x.bitwiseAND(F.lit(_ID)).cast("int")
 
     each = F.transform(
-        at,
-        lambda x: F.when(x.p > 0, F.array(known(x))).otherwise(
-            _bytes_of(F.substring(word, x.s + 1, F.lit(1)), first_byte)
+        chosen,
+        lambda x: F.when(id_(x) != _NONE, F.array(id_(x))).otherwise(
+            _bytes_of(F.substring(word, start_of(x) + 1, F.lit(1)), first_byte)
         ),
     )
-    return F.when(F.forall(at, lambda x: x.p > 0), F.transform(at, known)).otherwise(F.flatten(each))
+    return F.when(F.forall(chosen, lambda x: id_(x) != _NONE), F.transform(chosen, id_)).otherwise(F.flatten(each))
 
 
 def merge_long(word: str, rank: dict[str, tuple[int, int]], first_byte: int) -> list[int]:
@@ -268,7 +349,7 @@ def _fold(words: DataFrame, pieces: Pieces, viterbi: bool) -> DataFrame:
     first_byte = pieces.first_byte
     table, longest = pieces.table(words.sparkSession), max(map(len, pieces.rank()))
     if viterbi:
-        edges = lattice(words, table, longest, score_edge())
+        edges = lattice(words, table, longest, edges=score_edge())
         folded = edges.select("word", F.inline(F.array(fold_viterbi(F.col("edges"), F.length("word")))))
         pairs = F.zip_with(F.slice("cuts", F.lit(1), F.size("way")), "way", lambda s, i: F.struct(s.alias("s"), i.alias("i")))
         each = F.transform(
@@ -276,13 +357,19 @@ def _fold(words: DataFrame, pieces: Pieces, viterbi: bool) -> DataFrame:
             lambda p: F.when(p.i >= 0, F.array(p.i)).otherwise(_bytes_of(F.substring(F.col("word"), p.s + 1, F.lit(1)), first_byte)),
         )
         return folded.select("word", F.flatten(each).alias("ids"))
-    edges = lattice(words.where(F.length("word") <= FOLD_MOST), table, longest, rank_edge())
-    places = F.transform("edges", lambda x: F.shiftright(x, _LENGTH).bitwiseAND(F.lit(_PLACE)))
-    edges = _behind(edges, places=places, length=F.length("word"))
-    folded = edges.select("*", F.inline(F.array(fold_merges(F.col("edges"), F.col("places"), F.col("length")))))
-    folded = _behind(folded.select("word", "edges", "places", "cuts", "late"), at=segments(F.col("cuts"), F.col("places")))
-    ids = F.when(~F.col("late"), ids_of(F.col("word"), F.col("at"), F.col("edges"), first_byte))
-    return folded.select("word", ids.alias("ids"))
+    by_rank = {"edges": F.when(F.col("l") > 1, rank_edge()), "single": F.when(F.col("l") == 1, rank_edge())}
+    edges = lattice(words.where(F.length("word") <= FOLD_MOST), table, longest, **by_rank)
+    length, fit = F.length("word"), F.length("word") <= BITS_MOST
+    all_ = F.concat("edges", "single")
+    places = F.transform(all_, lambda x: F.shiftright(x, _LENGTH).bitwiseAND(F.lit(_PLACE)))
+    edges = _behind(edges, bits=F.when(fit, as_bits(F.col("edges"))), places=F.when(~fit, places))
+    many = F.when(~fit, fold_merges(F.col("edges"), F.col("places"), length))
+    folded = _behind(edges, few=F.when(fit, fold_bits(F.col("bits"), length)), many=many)
+    chosen = F.when(F.col("few") >= 0, between_bits(F.col("bits"), F.col("single"), F.col("few"))).when(
+        ~F.col("many.late"), between(all_, F.col("places"), F.col("many.cuts"))
+    )
+    folded = _behind(folded, chosen=chosen)
+    return folded.select("word", ids_of(F.col("word"), F.col("chosen"), first_byte).alias("ids"))
 
 
 def _parts(spark: SparkSession) -> int:
@@ -326,17 +413,21 @@ def _in_files(docs: DataFrame) -> DataFrame:
 HELD = 400_000  # chunks in memory at a time
 
 
-def _groups(texts: list[str | None], splits: list[int]) -> Iterator[tuple[int, list[int], list[str]]]:
-    """Runs of texts of one split with few chunks: the split, how many chunks each text has, and all of them."""
-    counts: list[int] = []
-    held: list[str] = []
-    for i, (t, s) in enumerate(zip(texts, splits, strict=True)):
-        some = chunks(t)
-        counts.append(len(some))
-        held.extend(some)
-        if len(held) >= HELD or i + 1 == len(texts) or splits[i + 1] != s:
-            yield s, counts, held
-            counts, held = [], []
+def _groups(texts: pa.Array, splits: np.ndarray) -> Iterator[tuple[int, np.ndarray, pa.Array]]:
+    """Runs of texts of one split with few chunks: the split, the edges between the texts' chunks, and all of them."""
+    ends = [*(np.flatnonzero(np.diff(splits)) + 1).tolist(), len(splits)] if len(splits) else []
+    for x, y in zip([0, *ends], ends, strict=False):
+        some, edges = chunks_of(texts.slice(x, y - x))
+        i = 0
+        while i < y - x:
+            j = max(i + 1, int(np.searchsorted(edges, edges[i] + HELD, "right")) - 1)
+            yield int(splits[x]), edges[i : j + 1] - edges[i], some.slice(edges[i], edges[j] - edges[i])
+            i = j
+
+
+def _text_and_split(b: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
+    text, split = (b.column(b.schema.get_field_index(n)) for n in ("text", "split"))
+    return text, split.to_numpy()
 
 
 def dictionary(docs: DataFrame, pieces: Pieces, viterbi: bool = False) -> str:
@@ -350,11 +441,11 @@ def dictionary(docs: DataFrame, pieces: Pieces, viterbi: bool = False) -> str:
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, seen = None, set()
-        for _, (texts, splits) in rows(batches, "text", "split"):
-            for s, _, held in _groups(texts, splits):
+        for b in batches:
+            for s, _, held in _groups(*_text_and_split(b)):
                 if s != current or len(seen) > 3 * HELD:  # splits follow one another
                     current, seen = s, set()
-                new = list(set(held) - seen)
+                new = [w for w in held.unique().to_pylist() if w not in seen]
                 seen.update(new)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(new, pa.string()), pa.array(np.full(len(new), s, np.int32))], names=["word", "split"]
@@ -426,24 +517,23 @@ def _encoded(docs: DataFrame, pieces: Pieces, viterbi: bool, emit: Callable, col
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, known, flat, start, size = None, None, None, None, None
-        for b, (some, splits) in rows(batches, "text", "split"):
+        for b in batches:
             keys, at = b.column(b.schema.get_field_index("doc_id")), 0
-            for s, counts, held in _groups(some, splits):
-                if held and s != current:
-                    current = s
-                    known, flat, start, size = _dictionary_of(folder, s)
-                ids, edges = np.empty(0, np.int32), np.zeros(len(counts) + 1, np.int32)
-                if held:
-                    named = pa.array(held, pa.string()).dictionary_encode()
-                    found = pc.index_in(named.dictionary, value_set=known)
+            for s, edges, held in _groups(*_text_and_split(b)):
+                ids, n = np.empty(0, np.int32), len(edges) - 1
+                if len(held):
+                    if s != current:
+                        current = s
+                        known, flat, start, size = _dictionary_of(folder, s)
+                    named = held.dictionary_encode()
+                    found = pc.index_in(named.dictionary.cast(pa.string()), value_set=known)
                     if found.null_count:
                         raise ValueError("the texts have changed since their dictionary was written")
                     place = found.to_numpy()[named.indices.to_numpy()]
                     ids = gather(flat, start[place], size[place])
-                    sums = np.concatenate([[0], np.cumsum(size[place])])
-                    edges = sums[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
-                yield emit(keys.slice(at, len(counts)), edges, ids)
-                at += len(counts)
+                    edges = np.concatenate([[0], np.cumsum(size[place])])[edges]
+                yield emit(keys.slice(at, n), edges.astype(np.int32), ids)
+                at += n
 
     return texts.mapInArrow(look_up, f"doc_id {kind}, {columns}")
 

@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -74,3 +76,45 @@ def test_viterbi_fold(spark):
         assert b"".join(parts[i] for i in r.ids).decode() == r.word
         total = sum(pieces.score[i] if usable[i] else -1e6 for i in r.ids)
         assert total == pytest.approx(best_way(r.word, score))
+
+
+def test_chunks_of_many_texts():
+    """Taken from bytes, text by text as the pattern finds them, in runs of few chunks."""
+    rng = random.Random(11)
+    texts = [None, "", "\n", " ", "▁", "\n\n", " a", "a ", "a  b\n c"]
+    texts += ["".join(rng.choices([" ", "\n", "a", "b▁", "ä\t", "日", "\r"], k=rng.randrange(14))) for _ in range(500)]
+    found, edges = sl.chunks_of(pa.array([*texts, "x"]).slice(0, len(texts)))
+    found = found.to_pylist()
+    assert [found[i:j] for i, j in zip(edges, edges[1:], strict=False)] == [sl.chunks(t) for t in texts]
+    assert [len(x) for x in sl.chunks_of(pa.array([], pa.string()))] == [0, 1]
+
+
+def test_runs_of_one_split(monkeypatch):
+    monkeypatch.setattr(sl, "HELD", 5)
+    texts = ["a b c", "d e f", None, "g", "h i j k l m n o", "p", "q"]
+    got = []
+    for s, edges, held in sl._groups(pa.array(texts), np.array([1, 1, 1, 1, 1, 2, 3], np.int32)):
+        got.append((s, [held.to_pylist()[i:j] for i, j in zip(edges, edges[1:], strict=False)]))
+    assert [s for s, _ in got] == [1, 1, 1, 2, 3]
+    assert [c for _, some in got for c in some] == [sl.chunks(t) for t in texts]
+    assert list(sl._groups(pa.array([], pa.string()), np.empty(0, np.int32))) == []
+
+
+def test_fold_of_any_ranks(spark):
+    """Cuts as bits and as lists: what the fold doesn't leave to the heap is what the heap gives."""
+    rng = random.Random(13)
+    texts = [*"abc", *sorted({"".join(rng.choices("abc", k=rng.randrange(2, 6))) for _ in range(60)})]
+    usable = [True] * len(texts) + [False] * 256
+    score = [float(-x) for x in rng.sample(range(len(texts)), len(texts))]
+    pieces = sl.Pieces([*texts, *["byte"] * 256], [*score, *[0.0] * 256], usable, len(texts))
+    edge = sl.BITS_MOST
+    sizes = [*range(1, 12), edge - 1, edge, edge + 1, sl.FOLD_MOST]
+    words = sorted({"".join(rng.choices("abcä", [9, 9, 9, 1], k=n)) for n in sizes for _ in range(30)})
+    dealt = spark.createDataFrame([(w,) for w in words], "word string").repartition(3, "word")
+    rank, late = pieces.rank(), 0
+    got = sl._fold(dealt, pieces, False).collect()
+    assert sorted(r.word for r in got) == words
+    for r in got:
+        late += r.ids is None
+        assert r.ids is None or list(r.ids) == sl.merge_long(r.word, rank, pieces.first_byte)
+    assert 0 < late < len(words)
