@@ -9,7 +9,7 @@ weights over that of the larger ones. A fingerprint holds sixteen bits of each s
 the share of equal places estimates that similarity.
 
 How the work is dealt: documents are cut into blocks of consecutive ids at splitters from a
-bounded sample, and moved once, to the partition of their block. A copy of the next block's
+bounded sample, and moved once (one exchange has two readers), to the partition of their block. A copy of the next block's
 first document goes with each block, so that every document has the next one beside it. All
 that follows is grouped by block first, so it needs no further exchange of texts or terms:
 counts of terms, one set of priorities for all documents of a block that hold a term as
@@ -105,19 +105,27 @@ def neighbours(docs: DataFrame) -> DataFrame:
     keyed = _keyed(docs)
     blocks = BLOCKS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     splitters = _splitters(keyed, blocks)
-    dealt = keyed.withColumn("block", _block(splitters))
+    zero = F.lit(0)  # blocks are never null: a join on them adds no filter to one of its sides
+    dealt = keyed.withColumn("block", F.coalesce(_block(splitters), zero))
     first = dealt.groupBy("block").agg(F.min(F.struct("key.known", "key.id", "key.hash")).alias("key"))
-    firsts = sorted(tuple([r.block, *r.key]) for r in first.collect())  # a row for each block
-    here = [f[0] for f in firsts]
-    guests = [(here[i - 1], *f[1:]) for i, f in enumerate(firsts)]  # the first block's goes to the last one
-    wanted = F.broadcast(spark.createDataFrame(guests, "block int, known int, id long, hash long"))
-    texts = keyed.select("doc_id", "text", F.col("key.known").alias("known"), F.col("key.id").alias("id"), F.col("key.hash").alias("hash"))
-    copies = texts.join(wanted, ["known", "id", "hash"]).dropDuplicates(["block"])
-    columns = ["block", "known", "id", "hash", "guest", "doc_id", "text"]
-    own = dealt.select("block", F.col("key.known").alias("known"), F.col("key.id").alias("id"), F.col("key.hash").alias("hash"), F.lit(0).alias("guest"), "doc_id", "text")
-    both = own.unionByName(copies.withColumn("guest", F.lit(1)).select(*columns)).repartition(blocks, "block")
+    firsts = {r.block: r.key for r in first.collect()}  # a row for each block
+    here = sorted(firsts)
+    before = dict(zip(here, [here[-1], *here], strict=False)) if here else {}  # the first block's guest goes to the last one
+    names = ("known", "id", "hash")
+    listed = [{"guest_of": before[i], "key": dict(zip(names, firsts[i], strict=True))} if i in firsts else None for i in range(blocks)]
+    at = F.from_json(F.lit(json.dumps(listed)), "array<struct<guest_of: int, key: struct<known: int, id: bigint, hash: bigint>>>")
+    own = dealt.select("block", *[F.col(f"key.{n}").alias(n) for n in names], "text")
+    mine = F.get(at, F.col("block"))
+    copies = own.where(mine.key == F.struct(*names)).select(F.coalesce(mine.guest_of, zero).alias("block"), *names, "text")
+    both = own.withColumn("guest", F.lit(0)).unionByName(copies.withColumn("guest", F.lit(1))).repartition(blocks, "block")
     order = Window.partitionBy("block").orderBy("guest", "known", "id", "hash")
-    return both.select("block", F.row_number().over(order).alias("pos"), "guest", "doc_id", "text", F.lead("text").over(order).alias("next"))
+    # Both users of these rows read the same columns of the exchange, and nothing below it
+    # was made on the driver or moved, so that Spark sees that they are alike and texts move
+    # once. Of equal rows that could all be the guest, the first is kept.
+    doc_id = F.when(F.col("known") == 1, F.col("id")).alias("doc_id")
+    last = F.lag("guest", 1, 0).over(order).alias("last")
+    rows = both.select("block", F.row_number().over(order).alias("pos"), "guest", doc_id, "text", F.lead("text").over(order).alias("next"), last)
+    return rows.where("guest = 0 OR last = 0").drop("last")
 
 
 # ---- sampling -----------------------------------------------------------------------
@@ -209,11 +217,8 @@ def edited(text: Column, following: Column) -> Column:
     return F.concat(F.substr(text, F.lit(1), F.length(text) - half), F.substr(following, F.lit(1), half))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next`` of every row.
-
-    Runs jobs for the splitters when called, and writes the fingerprints.
-    """
+def printed(docs: DataFrame) -> DataFrame:
+    """``block, pos, guest, doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint`` of every row and guest."""
     beside = neighbours(docs)
     # a guest's own neighbour is never asked for
     none = F.lit("")
@@ -224,10 +229,17 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         F.max(F.when(F.col("which") == 0, F.col("fingerprint"))).alias("fingerprint"),
         F.max(F.when(F.col("which") == 1, F.col("fingerprint"))).alias("edited_fingerprint"),
     )
-    prints = materialize(prints, "fingerprints")
     known = both.select("block", "pos", "guest", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("changed", 256).alias("edited_sha256"))
     rows = known.join(prints, ["block", "pos"], "left")
-    rows = rows.withColumns({c: F.coalesce(c, none) for c in ("fingerprint", "edited_fingerprint")})
+    return rows.withColumns({c: F.coalesce(c, none) for c in ("fingerprint", "edited_fingerprint")})
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next`` of every row.
+
+    Runs jobs for the splitters when called, and writes the fingerprints.
+    """
+    rows = materialize(printed(docs), "fingerprints")
     following = F.lead("fingerprint").over(Window.partitionBy("block").orderBy("pos"))
     rows = rows.withColumn("following", following).where("guest = 0")
     return rows.select(

@@ -140,3 +140,21 @@ def test_repeated_rows_and_many_blocks(spark):
 def test_no_python_in_the_plan(docs):
     plan = fp.fingerprints(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_texts_move_once(docs, monkeypatch):
+    """What is written and what is returned have one exchange of texts; its second reader uses it again."""
+    written, keep = [], fp.materialize
+
+    def noted(df, label):
+        written.append(df)
+        return keep(df, label)
+
+    monkeypatch.setattr(fp, "materialize", noted)
+    frames = [fp.fingerprints(docs), *written]
+    moves = []
+    for df in frames:
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        moves += [line for line in plan.split("\n") if "REPARTITION_BY_NUM" in line and "ReusedExchange" not in line]
+    assert len(moves) == 1
