@@ -116,8 +116,10 @@ def neighbours(docs: DataFrame) -> DataFrame:
     at = F.from_json(F.lit(json.dumps(listed)), "array<struct<guest_of: int, key: struct<known: int, id: bigint, hash: bigint>>>")
     own = dealt.select("block", *[F.col(f"key.{n}").alias(n) for n in names], "text")
     mine = F.get(at, F.col("block"))
-    copies = own.where(mine.key == F.struct(*names)).select(F.coalesce(mine.guest_of, zero).alias("block"), *names, "text")
-    both = own.withColumn("guest", F.lit(0)).unionByName(copies.withColumn("guest", F.lit(1))).repartition(blocks, "block")
+    one = F.struct(F.col("block").alias("block"), zero.alias("guest"))
+    other = F.struct(F.coalesce(mine.guest_of, zero).alias("block"), F.lit(1).alias("guest"))
+    places = F.when(mine.key == F.struct(*names), F.array(one, other)).otherwise(F.array(one))
+    both = own.select(F.inline(places), *names, "text").repartition(blocks, "block")
     order = Window.partitionBy("block").orderBy("guest", "known", "id", "hash")
     # Both users of these rows read the same columns of the exchange, and nothing below it
     # was made on the driver or moved, so that Spark sees that they are alike and texts move
